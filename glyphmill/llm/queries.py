@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import decontam, minhash, mixing, quality, substrings, suffixes
+from glyphmill.llm import decontam, hmm, lines, minhash, mixing, pages, pii, quality, substrings, suffixes
 from glyphmill.session import table
 
 
@@ -16,11 +16,15 @@ def _documents(op: Callable) -> Callable:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_site_style_tree": lambda spark, d: pages.op1(table(spark, d, "pages")),
         "op2_entropy_mix": _documents(mixing.op2),
         "op3_weak_supervision": _documents(quality.op3),
         "op4_tensored_minhash": _documents(minhash.op4),
         "op5_wu_manber": lambda spark, d: decontam.op5(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op6_super_kmers": _documents(substrings.op6),
+        "op7_hidden_markov": _documents(hmm.op7),
+        "op8_semi_markov_crf": _documents(pii.op8),
+        "op9_line_chunks": _documents(lines.op9),
         "op10_prefix_free_parsing": _documents(suffixes.op10),
     }
 
