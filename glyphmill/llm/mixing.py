@@ -42,8 +42,8 @@ def targets(sources: DataFrame) -> DataFrame:
         .withColumn("rest", F.sum("w").over(full.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
         .withColumn("level", (F.col("total") - F.col("capped")) / F.col("rest"))
     )
-    # The first source, by cap per weight, that the level doesn't fill sets the level for all after it.
-    df = df.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everyone))
+    # The first source, by cap per weight, that its level doesn't fill sets it for all after; later levels are lower.
+    df = df.withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everyone))
     return df.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 

@@ -183,7 +183,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs whose verdict is kept, with the columns of docs."""
     own = [f"_in{i}" for i in range(len(docs.columns))]
     inner = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)]).alias("_row"))
-    kept = judge(inner).filter("kept")
+    # A filter would be pushed below the measures, with their whole expressions in it once for each mention; an explode isn't.
+    kept = judge(inner).select("_row", F.explode(F.when(F.col("kept"), F.array(F.lit(0)))))
     return kept.select(*[F.col(f"_row.{o}").alias(c) for c, o in zip(docs.columns, own)])
 
 
