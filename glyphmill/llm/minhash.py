@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from glyphmill.storage import materialize
 
+U = np.uint64
+
 #: A pair with similarity 0.8 shares no table with probability 2 * (1 - 0.8 ** WIDTH) ** ROWS = 2e-5.
 ROWS, WIDTH = 16, 3
 PERCENT = 80
-#: Unlike one-bit minhashes, of 2 * ROWS * WIDTH, beyond which a pair is not compared: 0.8 has 10 of 96 on average, deviation 3.
-MOST_UNLIKE = 34
+#: Longs of a set's parity bitmap. Each bit that differs between two bitmaps is at least one shingle that only one set has.
+LONGS = 8
 #: Shingles hashed at once.
 STEP = 400_000
 
@@ -52,7 +54,7 @@ def _signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, n_shingles, same (identity of the set), bands, b0, b1 (one-bit minhashes)."""
+    """doc_id, text -> doc_id, n_shingles, same (identity of the set), bands, bits (parity bitmap)."""
     prime = np.uint64(0x100000001B3)
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
@@ -65,7 +67,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += 1
             full = [i for i, s in enumerate(sets) if s]
             n = [len(s) for s in sets]
-            bands, b0, b1, same = [None] * len(sets), [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            bands, bits, same = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if full:
                 counts = np.array([n[i] for i in full])
                 starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
@@ -79,22 +81,23 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # Order-free digests of the whole set: sums of two mixings, with its size.
                 mix1 = np.add.reduceat(hashes * (hashes >> np.uint64(7) | np.uint64(1)), starts)
                 mix2 = np.add.reduceat((hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93), starts)
-                bits = (sig >> np.uint64(17)) & np.uint64(1)
-                half = bits.shape[1] // 2
-                powers = np.uint64(1) << np.arange(half, dtype=np.uint64)
-                lo, hi = (bits[:, :half] * powers).sum(1, dtype=np.uint64).view(np.int64), (bits[:, half:] * powers).sum(1, dtype=np.uint64).view(np.int64)
+                bit, word = U(1) << (hashes & U(63)), (hashes >> U(6)) % U(LONGS)
+                odd = np.stack([np.bitwise_xor.reduceat(np.where(word == U(k), bit, U(0)), starts) for k in range(LONGS)], axis=1).view(np.int64)
                 key = key.view(np.int64)
                 for r, i in enumerate(full):
-                    bands[i], b0[i], b1[i] = key[r], int(lo[r]), int(hi[r])
+                    bands[i], bits[i] = key[r], odd[r]
                     same[i] = f"{int(mix1[r]):016x}{int(mix2[r]):016x}{n[i]:x}"
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[begin:at], pa.int64()), pa.array(n, pa.int64()), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(b0, pa.int64()), pa.array(b1, pa.int64())],
-                names=["doc_id", "n_shingles", "same", "bands", "b0", "b1"],
+                [pa.array(ids[begin:at], pa.int64()), pa.array(n, pa.int64()), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "same", "bands", "bits"],
             )
 
 
-def _unlike() -> Column:
-    return F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
+def _fits(n: str, bits: str, m: str, others: str) -> Column:
+    """Whether two sets may be similar enough, by their sizes and bitmaps: never false for a pair that is."""
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    unlike = sum((F.bit_count(F.get(bits, k).bitwiseXOR(F.get(others, k))) for k in range(LONGS)), F.lit(0))
+    return sizes & (unlike * (100 + PERCENT) <= (F.col(n) + F.col(m)) * (100 - PERCENT))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -120,6 +123,35 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = batch.column("node").to_numpy()
+        for a in range(0, len(nodes), 500):
+            sets = [shingles(t.as_py()) for t in batch.column("text")[a : a + 500]]
+            n = [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[a : a + 500], n)), pa.array(_hash(sets).view(np.int64))], names=["node", "g"])
+
+
+def _by_prefix(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among rest that may have the similarity; none that has it is left out.
+
+    In any order of shingles two such sets share one among the first 20 % + 1 of each. The order here is rarest first: in a
+    group of near copies these are the words that set a copy apart, so the copies of a large group don't all meet.
+    Shingles of a single text come before all others and meet nothing; they are counted, not moved.
+    """
+    rows = texts.join(rest.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_shingle_rows, "node long, g long")
+    rows = materialize(rows.distinct(), "shingles")
+    common = rows.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    own = rows.join(common, "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    held = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("gs"))
+    first = own.join(rest, "node").filter(held > 0).select("node", "n", "bits", "comp", F.explode(F.slice("gs", F.lit(1), held.cast("int"))).alias("s"))
+    first = materialize(first.select(F.col("s.g").alias("g"), F.struct("node", "n", "bits").alias("x"), "comp"), "prefixes")
+    again = first.select(F.col("g").alias("h"), F.col("x").alias("y"), F.col("comp").alias("other"))
+    fits = _fits("x.n", "x.bits", "y.n", "y.bits")
+    pairs = first.join(again, F.col("g") == F.col("h")).filter((F.col("x.node") < F.col("y.node")) & (F.col("comp") != F.col("other")) & fits)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node -> comp, the smallest node reachable, for the nodes of edges (a, b). Labels spread and jump until none changes."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
@@ -145,40 +177,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table key's members with the smallest only; later work is left for members that are still apart.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = base.mapInArrow(_sign, "doc_id long, n_shingles long, same string, bands array<long>, b0 long, b1 long")
+    signed = base.mapInArrow(_sign, "doc_id long, n_shingles long, same string, bands array<long>, bits array<long>")
     signed = materialize(signed, "signed")
     filled = signed.filter("doc_id is not null and same is not null")
-    classes = filled.groupBy("same").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "b0", "b1"), "doc_id").alias("r"))
-    classes = classes.select(F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"), "r.bands", "r.b0", "r.b1")
+    classes = filled.groupBy("same").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "bits"), "doc_id").alias("r"))
+    classes = classes.select(F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"), "r.bands", "r.bits")
     members = filled.join(filled.groupBy("same").agg(F.min("doc_id").alias("node")), "same").select("doc_id", "node").filter("doc_id <> node").distinct()
-    bands = classes.select("node", "n", "b0", "b1", F.posexplode("bands").alias("place", "band"))
+    bands = classes.select("node", "n", F.posexplode("bands").alias("place", "band"))
     # A collection that nobody shares makes no table key.
     common = bands.groupBy("place", "band").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("place").alias("p"), F.col("band").alias("g"))
     shared = bands.join(common, (F.col("place") == F.col("p")) & (F.col("band") == F.col("g")))
-    shared = shared.groupBy("node", "n", "b0", "b1").agg(
+    shared = shared.groupBy("node", "n").agg(
         F.collect_list(F.when(F.col("place") < ROWS, F.struct("place", "band"))).alias("first"),
         F.collect_list(F.when(F.col("place") >= ROWS, F.struct("place", "band"))).alias("second"),
     )
     keys = shared.withColumn("first", F.explode("first")).withColumn("second", F.explode("second"))
-    keys = keys.select(F.xxhash64("first", "second").alias("key"), "node", "n", "b0", "b1")
-    heads = keys.groupBy("key").agg(F.min(F.struct("node", "n", "b0", "b1")).alias("y"), F.count("*").alias("k")).filter("k > 1").select(F.col("key").alias("k"), "y")
+    keys = keys.select(F.xxhash64("first", "second").alias("key"), "node", "n")
+    heads = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("y"), F.count("*").alias("k")).filter("k > 1").select(F.col("key").alias("k"), "y")
     heads = materialize(heads, "heads")
-    fits = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT) & (_unlike() <= MOST_UNLIKE)
-    x = F.struct("node", "n", "b0", "b1").alias("x")
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
+    x = F.struct("node", "n").alias("x")
     keys = materialize(keys.select("key", x).join(heads.select("k"), F.col("key") == F.col("k"), "left_semi"), "keys")
-    star = keys.join(heads, F.col("key") == F.col("k")).filter((F.col("x.node") > F.col("y.node")) & fits)
-    star = materialize(star.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), "pairs")
+    star = keys.join(heads, F.col("key") == F.col("k")).filter((F.col("x.node") > F.col("y.node")) & sizes)
+    star = star.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+    left, right = classes.select(F.col("node").alias("a"), "n", "bits"), classes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
+    star = materialize(star.join(left, "a").join(right, "b").filter(_fits("n", "bits", "m", "others")).select("a", "b").distinct(), "pairs")
     wanted = star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))).distinct()
     texts = base.withColumnRenamed("doc_id", "node")
     links = materialize(_confirm(star, texts.join(wanted, "node", "left_semi")), "links")
     comp = components(links)
-    # Members of one key that are still apart, and that no comparison has rejected.
-    placed = keys.join(comp, F.col("x.node") == comp["node"], "left").select("key", "x", F.coalesce(comp["comp"], F.col("x.node")).alias("comp"))
+    # Members of one key that are still apart; pairs with the key's smallest have been compared.
+    others = keys.join(heads, F.col("key") == F.col("k")).filter(F.col("x.node") != F.col("y.node")).select("key", "x")
+    placed = others.join(comp, F.col("x.node") == comp["node"], "left").select("key", "x", F.coalesce(comp["comp"], F.col("x.node")).alias("comp"))
     apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("key").alias("k"))
-    rest = materialize(placed.join(apart, F.col("key") == F.col("k"), "left_semi"), "apart")
-    y = rest.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("comp").alias("other"))
-    more = rest.join(y, F.col("key") == F.col("k")).filter((F.col("x.node") < F.col("y.node")) & (F.col("comp") != F.col("other")) & fits)
-    more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = placed.join(apart, F.col("key") == F.col("k"), "left_semi").select(F.col("x.node").alias("node"), "comp").distinct().join(classes.select("node", "n", "bits"), "node")
+    more = _by_prefix(materialize(rest, "apart"), texts).join(star, ["a", "b"], "left_anti")
     more = materialize(more, "pairs")
     wanted = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
     found = materialize(_confirm(more, texts.join(wanted, "node", "left_semi")), "links")
