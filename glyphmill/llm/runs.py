@@ -28,7 +28,11 @@ from glyphmill.storage import materialize
 GROUP = 262_144
 #: Distinct strings of one minimiser up to which they are compared in one row.
 TOGETHER = 48
+#: Windows of a block, where more strings share a minimiser.
+BLOCK = 8
 LAST = (1 << 63) - 1
+#: More than any start of a window in its text.
+_PLACE = 1 << 33
 #: More than the units of a group.
 _PLACES = 1 << 20
 
@@ -95,6 +99,8 @@ class Runs(NamedTuple):
     start: np.ndarray
     count: np.ndarray
     h: np.ndarray
+    #: Units from the run's start to its minimiser.
+    place: np.ndarray
     #: Byte offsets in data of each run's packed string.
     at: np.ndarray
     to: np.ndarray
@@ -147,7 +153,7 @@ def _runs(rows: list[int], offsets: list[int], pieces: list[bytes], sizes: list[
     p = piece[begin]
     stop = end + spec.k - 1
     return Runs(
-        np.asarray(rows)[p], begin - first[p] + np.asarray(offsets)[p], end - begin + 1, hashes[least[begin]].view(np.int64),
+        np.asarray(rows)[p], begin - first[p] + np.asarray(offsets)[p], end - begin + 1, hashes[least[begin]].view(np.int64), least[begin].astype(np.int64) - begin,
         starts[begin], ends[stop] if words else stop + 1, data,
     )
 
@@ -160,12 +166,12 @@ def windows(packed: bytes, spec: Spec) -> list[bytes]:
     return [b" ".join(words[i : i + spec.k]) for i in range(len(words) - spec.k + 1)]
 
 
-def _minimiser_rows(spec: Spec) -> Callable:
+def _minimiser_rows(spec: Spec, *carried: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order, key = batch.column("ord").to_numpy(), batch.column("key").to_numpy()
+            values = [batch.column(c).to_numpy() for c in carried]
             for r in find(batch.column("text").to_pylist(), spec):
-                yield pa.RecordBatch.from_arrays([pa.array(r.h), pa.array(order[r.row]), pa.array(key[r.row])], names=["h", "ord", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(r.h), *[pa.array(v[r.row]) for v in values]], names=["h", *carried])
 
     return run
 
@@ -238,6 +244,48 @@ def _deal(spec: Spec) -> Callable:
     return run
 
 
+def _blocks(spec: Spec) -> Callable:
+    """Strings -> their blocks of BLOCK windows, in step with the minimiser, which all strings of one minimiser have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("p1", "p2", "ord", "start", "packed")
+        for batch in batches:
+            out = []
+            for p1, p2, order, start, packed in zip(*[batch.column(c).to_pylist() for c in names]):
+                (r,) = find([packed], spec)
+                units, glue = (packed.split(b" "), b" ".join) if spec.unit == "words" else (packed, bytes)
+                n = len(units) - spec.k + 1
+                j = 0
+                while j < n:
+                    end = min(n, j + BLOCK - (j - int(r.place[0])) % BLOCK)
+                    block = glue(units[j : end + spec.k - 1])
+                    b1, b2 = np.frombuffer(xxhash.xxh3_128_digest(block), np.int64).tolist()
+                    out.append((p1, p2, j, end - j, b1, b2, order, start + j if spec.within else 0, block))
+                    j = end
+            columns = list(zip(*out)) if out else [()] * 9
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["p1", "p2", "j", "n", "b1", "b2", "ord", "start", "packed"])
+
+    return run
+
+
+def _among_many(strings: DataFrame, spec: Spec) -> DataFrame:
+    """As _compare, for minimisers with many strings: blocks first, each distinct one once, then the windows of distinct blocks, dealt out."""
+    schema = "p1 long, p2 long, j int, n int, b1 long, b2 long, ord long, start long, packed binary"
+    blocks = materialize(strings.mapInArrow(_blocks(spec), schema), "blocks")
+    heads = blocks.groupBy("b1", "b2", "packed").agg(F.min(F.struct("ord", "start")).alias("lo"))
+    heads = materialize(heads.select(F.col("b1").alias("p1"), F.col("b2").alias("p2"), "lo.ord", "lo.start", "packed"), "heads")
+    each = materialize(heads.mapInArrow(_deal(spec), "w binary, p1 long, p2 long, j int, ord long, place long"), "windows")
+    first = each.groupBy("w").agg(F.min(F.struct("ord", "place")).alias("head"), F.count("*").alias("k")).filter("k > 1").select("w", "head")
+    later = each.join(first, "w").filter(F.struct("ord", "place") > F.col("head")).groupBy("p1", "p2").agg(F.collect_list("j").alias("within"))
+    known = heads.select("p1", "p2", F.struct("ord", "start").alias("lo")).join(later, ["p1", "p2"], "left")
+    known = known.select(F.col("p1").alias("b1"), F.col("p2").alias("b2"), "lo", "within")
+    placed = blocks.drop("packed").join(known, ["b1", "b2"])
+    js = F.when(F.struct("ord", "start") > F.col("lo"), F.sequence(F.col("j"), F.col("j") + F.col("n") - 1)).otherwise(F.transform("within", lambda x: x + F.col("j")))
+    found = placed.withColumn("js", js).filter("js is not null")
+    return found.groupBy("p1", "p2").agg(F.flatten(F.collect_list("js")).alias("js"))
+
+
 def prepared(docs: DataFrame) -> DataFrame:
     """doc_id, text -> ord (null ids last), key (equal for equal rows) and text as bytes."""
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
@@ -251,24 +299,27 @@ def repeated(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     A mark without js says that all n windows from start on stand earlier too; one with js that those at start + j do.
     Rows that are equal in id and text are one text.
     """
-    found = docs.filter("text is not null").mapInArrow(_minimiser_rows(spec), "h long, ord long, key long")
-    twice = F.col("k") > 1 if spec.within else F.col("lo") < F.col("hi")
-    shared = found.groupBy("h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("k")).filter(twice).select("h")
-    shared = materialize(shared, "shared")
-    hits = found.select("h", "key").join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
+    full = docs.filter("text is not null")
+    if spec.within:
+        shared = full.mapInArrow(_minimiser_rows(spec), "h long").groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    else:
+        shared = full.mapInArrow(_minimiser_rows(spec, "ord"), "h long, ord long").groupBy("h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi")
+    shared = materialize(shared.select("h"), "shared")
+    hits = full.mapInArrow(_minimiser_rows(spec, "key"), "h long, key long").join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
     texts = materialize(docs.join(hits, "key"), "texts")
     first = texts.mapInArrow(_run_rows(spec, True), f"{_RUN}, packed binary")
-    strings = first.groupBy("h", "p1", "p2").agg(F.min(F.struct("ord", "start")).alias("lo"), F.first("packed").alias("packed"))
-    strings = materialize(strings.select("h", "p1", "p2", "lo.ord", "lo.start", "packed"), "strings")
+    # One number for a place, and the string among the keys, so that the aggregation needs no sort.
+    place = F.col("ord").cast("decimal(20,0)") * F.lit(_PLACE).cast("decimal(11,0)") + F.col("start")
+    strings = first.groupBy("h", "p1", "p2", "packed").agg(F.min(place).alias("lo"))
+    start = F.pmod(F.col("lo"), F.lit(_PLACE).cast("decimal(11,0)"))
+    strings = strings.select("h", "p1", "p2", ((F.col("lo") - start) / F.lit(_PLACE).cast("decimal(11,0)")).cast("long").alias("ord"), start.cast("long").alias("start"), "packed")
+    strings = materialize(strings, "strings")
     sizes = strings.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
     sized = strings.join(sizes, "h")
     few = sized.filter(F.col("k") <= TOGETHER).groupBy("h").agg(F.collect_list(F.struct("p1", "p2", "ord", "start", "packed")).alias("strings"))
     few = few.select("strings").mapInArrow(_compare(spec), _EARLIER)
     many = sized.filter(F.col("k") > TOGETHER).select("p1", "p2", "ord", "start", "packed")
-    many = materialize(many.mapInArrow(_deal(spec), "w binary, p1 long, p2 long, j int, ord long, place long"), "windows")
-    heads = many.groupBy("w").agg(F.min(F.struct("ord", "place")).alias("head"), F.count("*").alias("k")).filter("k > 1").select("w", "head")
-    later = many.join(heads, "w").filter(F.struct("ord", "place") > F.col("head")).groupBy("p1", "p2").agg(F.collect_list("j").alias("js"))
-    earlier = few.union(later.select("p1", "p2", "js"))
+    earlier = few.union(_among_many(many, spec))
     known = strings.select("p1", "p2", F.col("ord").alias("ord0"), F.col("start").alias("start0")).join(earlier, ["p1", "p2"], "left")
     known = materialize(known, "known")
     places = texts.mapInArrow(_run_rows(spec, False), _RUN)
