@@ -27,7 +27,7 @@ from glyphmill.storage import materialize
 #: Units hashed at once, and most of one text.
 GROUP = 262_144
 #: Distinct strings of one minimiser up to which they are compared in one row.
-TOGETHER = 48
+TOGETHER = 400
 #: Windows of a block, where more strings share a minimiser.
 BLOCK = 8
 LAST = (1 << 63) - 1
@@ -275,7 +275,7 @@ def _among_many(strings: DataFrame, spec: Spec) -> DataFrame:
     blocks = materialize(strings.mapInArrow(_blocks(spec), schema), "blocks")
     heads = blocks.groupBy("b1", "b2", "packed").agg(F.min(F.struct("ord", "start")).alias("lo"))
     heads = materialize(heads.select(F.col("b1").alias("p1"), F.col("b2").alias("p2"), "lo.ord", "lo.start", "packed"), "heads")
-    each = materialize(heads.mapInArrow(_deal(spec), "w binary, p1 long, p2 long, j int, ord long, place long"), "windows")
+    each = heads.mapInArrow(_deal(spec), "w binary, p1 long, p2 long, j int, ord long, place long")
     first = each.groupBy("w").agg(F.min(F.struct("ord", "place")).alias("head"), F.count("*").alias("k")).filter("k > 1").select("w", "head")
     later = each.join(first, "w").filter(F.struct("ord", "place") > F.col("head")).groupBy("p1", "p2").agg(F.collect_list("j").alias("within"))
     known = heads.select("p1", "p2", F.struct("ord", "start").alias("lo")).join(later, ["p1", "p2"], "left")

@@ -78,7 +78,7 @@ def brute_bytes(docs, k):
     return out
 
 
-@pytest.mark.parametrize("together", [48, 1])
+@pytest.mark.parametrize("together", [400, 1])
 def test_words(spark, monkeypatch, together):
     monkeypatch.setattr(runs, "TOGETHER", together)
     docs = texts(1)
@@ -87,7 +87,7 @@ def test_words(spark, monkeypatch, together):
     assert got == sorted(brute_words(docs, 50), key=str)
 
 
-@pytest.mark.parametrize("together", [48, 1])
+@pytest.mark.parametrize("together", [400, 1])
 def test_bytes(spark, monkeypatch, together):
     monkeypatch.setattr(runs, "TOGETHER", together)
     docs = texts(2)
