@@ -163,20 +163,22 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> Model:
     return model
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, keep: tuple[str, ...] = ("text",)) -> DataFrame:
     """Rows of docs with the measures, base_failed, posterior and kept.
 
     kept: not base_failed and the posterior is at least POSTERIOR. Null and empty texts have no words, so fail.
-    Equal texts get equal verdicts; rows are never merged. Two passes over the texts: one for the pattern counts,
-    one for the verdicts.
+    Equal texts get equal verdicts; rows are never merged. If the texts are to be kept there are two passes over
+    them, for the pattern counts and for the verdicts; else one, whose measures are written.
     """
     names = list(votes())
-    voted = measure(docs).withColumns(votes())
+    voted = measure(docs).withColumns(votes()).drop("_q")
+    if "text" not in keep:
+        voted = materialize(voted.drop("text"), "measures")
     patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes")
     model = fit(patterns, names)
     out = voted.withColumn("posterior", model.posterior())
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= POSTERIOR))
-    return out.drop("_q", *names)
+    return out.drop(*names)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -190,5 +192,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op3(docs: DataFrame) -> DataFrame:
     """The result rows of the quality query."""
-    out = judge(docs.select("doc_id", "text"))
+    out = judge(docs.select("doc_id", "text"), keep=())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

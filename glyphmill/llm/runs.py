@@ -203,25 +203,26 @@ _EARLIER = "p1 long, p2 long, js array<int>"
 
 
 def _compare(spec: Spec) -> Callable:
-    """Rows of strings that share a minimiser -> for each string the windows that are elsewhere earlier. Sorting brings equal windows together."""
+    """Rows of strings that share a minimiser -> for each string the windows that are elsewhere earlier.
+
+    The strings are sorted by their first places, so the first of equal windows is the earliest: runs of a text don't overlap.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for group in batch.column("strings"):
-                strings = group.as_py()
-                rows = []
+                strings = sorted(group.as_py(), key=lambda x: (x["ord"], x["start"]))
+                found: dict[int, list[int]] = {}
+                heads: dict[bytes, int] = {}
+                size = 0
                 for s, x in enumerate(strings):
+                    order = x["ord"]
                     for j, w in enumerate(windows(x["packed"], spec)):
-                        rows.append((w, x["ord"], x["start"] + j if spec.within else 0, s, j))
-                rows.sort()
-                found: dict[int, list[int]] = {}
-                head: tuple = (None,)
-                for w, order, place, s, j in rows:
-                    if w != head[0]:
-                        head = (w, order, place)
-                    elif (order, place) > head[1:]:
-                        found.setdefault(s, []).append(j)
+                        head = heads.setdefault(w, order)
+                        if spec.within and len(heads) == size or head < order:
+                            found.setdefault(s, []).append(j)
+                        size = len(heads)
                 out += [(strings[s]["p1"], strings[s]["p2"], js) for s, js in found.items()]
             a, b, js = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(js, pa.list_(pa.int32()))], names=["p1", "p2", "js"])
