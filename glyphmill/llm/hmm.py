@@ -87,39 +87,41 @@ def _class_rows(own: dict[bytes, int]):
     return run
 
 
-def _encode(shared, known: bool):
+class _Places(dict):
+    """token -> its place: that of a frequent token among them, else their number plus the token's class."""
+
+    def __init__(self, head: Head):
+        super().__init__((t, i) for i, t in enumerate(head.counts))
+        self.own, self.frequent = head.classes, len(head.counts)
+
+    def __missing__(self, token: bytes) -> int:
+        place = self.frequent + class_of(token, self.own)
+        if len(self) < self.frequent + 400_000:
+            self[token] = place
+        return place
+
+
+def _encode(shared):
     """Rows of texts -> classes of their tokens, and sums over frequent tokens; the others go to rare, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, own = shared.value
-        cache: dict[bytes, tuple[int, float]] = {}
+        head = Head(*shared.value)
+        places, frequent = _Places(head), len(head.counts)
+        codes_at = np.concatenate((np.fromiter((class_of(t, head.classes) for t in head.counts), np.uint16, frequent), np.arange(OWN + ENDINGS, dtype=np.uint16)))
+        value_at = np.concatenate((np.log10(np.fromiter(head.counts.values(), np.float64, frequent) + 0.5), np.zeros(OWN + ENDINGS)))
         for batch in batches:
             codes, sums, n, n_known, rare, rare_n = [], [], [], [], [], []
             for text in batch.column("text"):
                 tokens = tokens_of(text.as_py())
-                if len(cache) > 400_000:
-                    cache.clear()
-                out = np.empty(len(tokens), np.uint16)
-                seen = Counter(tokens)
-                total, k, t_rare, n_rare = 0.0, 0, [], []
-                for t, times in seen.items():
-                    if t not in cache:
-                        c = counts.get(t)
-                        cache[t] = (class_of(t, own), np.nan if c is None else float(np.log10(c + 0.5)))
-                    value = cache[t][1]
-                    if value == value:
-                        total += times * value
-                        k += times
-                    else:
-                        t_rare.append(t)
-                        n_rare.append(times)
-                out[:] = [cache[t][0] for t in tokens]
-                codes.append(out.tobytes())
-                sums.append(total)
+                at = np.fromiter(map(places.__getitem__, tokens), np.int32, len(tokens))
+                seldom = np.flatnonzero(at >= frequent)
+                met = Counter([tokens[i] for i in seldom.tolist()])
+                codes.append(codes_at[at].tobytes())
+                sums.append(float(value_at[at].sum()))
                 n.append(len(tokens))
-                n_known.append(k)
-                rare.append(t_rare)
-                rare_n.append(n_rare)
+                n_known.append(len(tokens) - len(seldom))
+                rare.append(list(met))
+                rare_n.append(list(met.values()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int32()))],
                 names=["doc_id", "held_out", "n_tokens", "head_known", "head_sum", "codes", "rare", "rare_n"],
@@ -263,7 +265,7 @@ def score(docs: DataFrame) -> DataFrame:
     for cls, c, n in vocab.mapInArrow(_class_rows(head.classes), "cls int, c long").groupBy("cls").agg(F.sum("c"), F.count("*")).collect():
         by_class[cls], kinds[cls] = c, n
     within = np.log10(by_class + 0.5 * (kinds + 1))
-    encoded = base.mapInArrow(_encode(spark.sparkContext.broadcast(tuple(head)), True), "doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, codes binary, rare array<binary>, rare_n array<int>")
+    encoded = base.mapInArrow(_encode(spark.sparkContext.broadcast(tuple(head))), "doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, codes binary, rare array<binary>, rare_n array<int>")
     encoded = materialize(encoded.withColumn("rid", F.monotonically_increasing_id()), "encoded")
     model = train(encoded, by_class, within)
     scored = encoded.select("rid", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "codes").mapInArrow(
