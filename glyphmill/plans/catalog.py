@@ -1,15 +1,218 @@
-"""All queries of the engine with their SQL, by name."""
+"""Queries over the driver's tables with their SQL, by name.
+
+The reference has no query over such tables: each is one of its operators aimed at the table named.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glyphmill.functions import text
+from glyphmill.operators import discovery, jobs, rasters
+from glyphmill.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
 
+def query(sql: str):
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        _sql[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+@query("""SELECT *, CASE WHEN status = 'FAILED' THEN 'STYLES_FAILED' END AS error_code FROM (SELECT user_id, count(*) AS styles_total, count(*) FILTER (event_type <> 'error') AS styles_done,
+  count(*) FILTER (event_type = 'error') AS styles_failed, CASE WHEN count(*) FILTER (event_type <> 'error') = count(*) THEN 'DONE'
+  WHEN count(*) FILTER (event_type <> 'error') = 0 THEN 'FAILED' ELSE 'DONE_WITH_ERRORS' END AS status FROM events GROUP BY user_id)""")
+def job_outcome(spark, d):
+    """Counters and outcome of each job: a user's events as children."""
+    return jobs.rollup(table(spark, d, "events"), "user_id", F.col("event_type") == "error")
+
+
+STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'DONE' WHEN 'O' THEN 'QUEUED' ELSE 'RESOLVING' END"
+
+
+def _orders(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "DONE").when(F.col("o_orderstatus") == "O", "QUEUED").otherwise("RESOLVING")
+    return table(spark, d, "orders").withColumn("status", status)
+
+
+@query(f"SELECT n AS open_jobs, n < 10000 AS admitted FROM (SELECT count(*) FILTER ({STATUS_SQL} NOT IN ('DONE', 'DONE_WITH_ERRORS', 'FAILED', 'CANCELLED')) AS n FROM orders)")
+def admission_guard(spark, d):
+    return jobs.admission(_orders(spark, d), "status", 10000)
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+def recent_jobs(spark, d):
+    """A top-k report: the 50 latest orders."""
+    return jobs.recent(_orders(spark, d), "o_orderdate", "o_orderkey", 50).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("""SELECT user_id, event_id, CAST(position AS INTEGER) AS position, coalesce(nullif(trim(CASE WHEN event_type = 'view' THEN '' ELSE event_type END), ''), 'Style ' || position) AS name
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events) WHERE position <= 40""")
+def register_children(spark, d):
+    name = F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type"))
+    return jobs.register(table(spark, d, "events"), "user_id", [F.col("ts"), F.col("event_id")], name, 40).select("user_id", "event_id", "position", "name")
+
+
+@query("SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS event_type, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY user_id")
+def child_last_state(spark, d):
+    return jobs.last_state(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type", "value"])
+
+
+NOW = "2024-01-30 12:00:00"
+
+
+@query(f"SELECT user_id FROM (SELECT user_id, max(ts) FILTER (event_type = 'click') AS beat FROM events GROUP BY user_id) WHERE CASE WHEN beat IS NULL THEN user_id % 2 <> 0 ELSE beat <= TIMESTAMP '{NOW}' - INTERVAL 90 SECONDS END")
+def stale_workers(spark, d):
+    beats = table(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "click", F.col("ts"))).alias("beat"))
+    return jobs.stale(beats, "beat", F.lit(NOW).cast("timestamp_ntz"), 90, (F.col("user_id") % 2).cast("string"), "0").select("user_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F')) < 1000000 ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def claim_oldest(spark, d):
+    return jobs.claim(_orders(spark, d), "status", "o_orderdate", "o_orderkey", "QUEUED", ["RESOLVING"], 1_000_000).select("o_orderkey")
+
+
+@query(f"SELECT CAST(place AS INTEGER) AS place, status, count(o_orderkey) AS n FROM (VALUES (0, 'QUEUED'), (1, 'RESOLVING'), (2, 'DONE'), (3, 'FAILED')) l(place, status) LEFT JOIN (SELECT o_orderkey, {STATUS_SQL} AS s FROM orders) ON s = status GROUP BY ALL")
+def status_histogram(spark, d):
+    return jobs.histogram(_orders(spark, d), "status", ["QUEUED", "RESOLVING", "DONE", "FAILED"])
+
+
+@query("SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS children FROM lineitem GROUP BY l_orderkey")
+def nested_report(spark, d):
+    """Children of each job in order. A job's children are few."""
+    item = F.struct("l_linenumber", "l_returnflag", F.concat(F.col("l_linenumber").cast("string"), F.lit(":"), "l_returnflag").alias("t"))
+    got = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(item)).alias("c"))
+    return got.select("l_orderkey", "n", F.concat_ws(",", F.transform("c", lambda x: x["t"])).alias("children"))
+
+
+@query("""SELECT o_orderkey, CAST(CASE WHEN o_custkey % 7 = 0 THEN 404 WHEN o_orderstatus <> 'F' THEN 409 WHEN o_totalprice < 50000 THEN 409 WHEN o_orderkey % 5 = 0 THEN 404 ELSE 200 END AS INTEGER) AS code FROM orders""")
+def download_code(spark, d):
+    code = jobs.download(F.col("o_custkey") % 7 != 0, F.col("status"), F.col("o_totalprice") >= 50000, F.col("o_orderkey") % 5 != 0)
+    return _orders(spark, d).select("o_orderkey", code.alias("code"))
+
+
+PAGES_SQL = """
+WITH p AS (SELECT user_id, page_no, list(event_type || CAST(floor(value / 10) AS BIGINT) ORDER BY rn) AS entries FROM (SELECT *, CAST(1 + (rn - 1) // 8 AS INTEGER) AS page_no FROM
+  (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)) GROUP BY user_id, page_no),
+s AS (SELECT *, len(entries) AS n, row_number() OVER (PARTITION BY user_id, array_to_string(list_sort(entries), ',') ORDER BY page_no) > 1 AS again FROM p),
+e AS (SELECT user_id, x, min(page_no) AS page_no FROM (SELECT user_id, page_no, unnest(entries) AS x FROM p) GROUP BY user_id, x),
+w AS (SELECT user_id, page_no, count(*) AS new FROM e GROUP BY ALL),
+r AS (SELECT s.*, w.new, CASE WHEN n = 0 THEN 'empty_layout' WHEN again THEN 'repeated_signature' WHEN new IS NULL THEN 'no_new_glyphs' WHEN n < 8 THEN 'short_page' WHEN s.page_no >= 40 THEN 'max_pages' END AS reason
+  FROM s LEFT JOIN w ON s.user_id = w.user_id AND s.page_no = w.page_no),
+t AS (SELECT user_id, min(page_no) FILTER (reason IS NOT NULL) AS stop, max(page_no) AS last FROM r GROUP BY user_id)
+SELECT r.user_id, count(*) AS pages, coalesce(max(reason) FILTER (r.page_no = t.stop), 'max_pages') AS stop_reason,
+  CAST(sum(CASE WHEN coalesce(reason, '') IN ('', 'short_page', 'max_pages') THEN coalesce(new, 0) ELSE 0 END) AS BIGINT) AS found
+FROM r JOIN t ON r.user_id = t.user_id WHERE r.page_no <= coalesce(stop, last) GROUP BY r.user_id"""
+
+
+@query(PAGES_SQL)
+def paginate_stop(spark, d):
+    """A user's events in pages of eight entries, with all stop rules."""
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = table(spark, d, "events").withColumn("rn", rn).withColumn("page_no", F.floor((F.col("rn") - 1) / 8).cast("int") + 1)
+    entry = F.struct("rn", F.concat("event_type", F.floor(F.col("value") / 10).cast("long").cast("string")).alias("e"))
+    pages = e.groupBy("user_id", "page_no").agg(F.array_sort(F.collect_list(entry)).alias("x")).select("user_id", "page_no", F.transform("x", lambda v: v["e"]).alias("entries"))
+    return discovery.paginate(pages, "user_id", 8, 40)
+
+
+@query("SELECT p_brand, min(p_partkey) AS first_key, arg_min(p_name, p_partkey) FILTER (p_size > 10 AND trim(p_name) <> '') AS p_name FROM part GROUP BY p_brand")
+def first_wins_late_fill(spark, d):
+    rows = table(spark, d, "part").withColumn("p_name", F.when(F.col("p_size") > 10, F.col("p_name")).otherwise(""))
+    return discovery.first_wins(rows, "p_brand", ["p_partkey"], "p_name").select("p_brand", F.col("first.p_partkey").alias("first_key"), "p_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
+def missing_observations(spark, d):
+    have = table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return discovery.missing(table(spark, d, "customer").select("c_custkey"), have, ["c_custkey"])
+
+
+@query("""SELECT c_custkey, coalesce(f.v, o.v) AS v, CASE WHEN f.v IS NOT NULL THEN 'cache' WHEN o.v IS NOT NULL THEN 'direct' ELSE 'missing' END AS source FROM customer
+  LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) f ON f.o_custkey = c_custkey
+  LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS v FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey""")
+def source_priority(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    best = lambda x: x.groupBy("c_custkey").agg(F.max("o_totalprice").alias("v"))
+    return discovery.by_priority(table(spark, d, "customer").select("c_custkey"), [("cache", best(o.filter("o_orderstatus = 'F'"))), ("direct", best(o))], "c_custkey", "v")
+
+
+@query("SELECT p_brand, list_sort(list(DISTINCT p_size) FILTER (p_size > 3)) AS coverage FROM (SELECT p_brand, CASE WHEN p_size > 3 THEN p_size ELSE 0 END AS p_size FROM part) GROUP BY p_brand")
+def brand_coverage(spark, d):
+    cp = F.when(F.col("p_size") > 3, F.col("p_size")).otherwise(0)
+    return table(spark, d, "part").groupBy("p_brand").agg(discovery.coverage(cp).alias("coverage"))
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_full_match(lower(trim(m)), '[0-9a-f]{32}') THEN lower(trim(m)) END AS md5, substr(sha256(coalesce(p_name, '') || chr(31) || coalesce(p_brand, '') || chr(31) || ''), 1, 32) AS fallback
+  FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN ' ' || upper(md5(p_name)) ELSE p_name END AS m FROM part)""")
+def style_identity(spark, d):
+    raw = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), F.upper(F.md5("p_name")))).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", text.md5_identity(raw).alias("md5"), text.fallback_identity(F.col("p_name"), F.col("p_brand"), F.lit(None).cast("string")).alias("fallback"))
+
+
+@query("""SELECT p_partkey, CASE WHEN cp <= 0 THEN 'gid_' || p_partkey WHEN cp = 32 THEN 'space' WHEN cp <= 65535 THEN 'uni' || lpad(to_hex(cp), 4, '0') ELSE 'u' || lpad(to_hex(cp), 6, '0') END AS name
+  FROM (SELECT p_partkey, CAST(p_partkey AS BIGINT) * (CASE WHEN p_size % 3 = 0 THEN 997 WHEN p_size % 3 = 1 THEN 1 ELSE 0 END) AS cp FROM part)""")
+def glyph_names(spark, d):
+    cp = F.col("p_partkey") * F.when(F.col("p_size") % 3 == 0, 997).when(F.col("p_size") % 3 == 1, 1).otherwise(0)
+    return table(spark, d, "part").select("p_partkey", text.glyph_name(cp, F.col("p_partkey")).alias("name"))
+
+
+@query("""SELECT page_id, CASE WHEN url IS NULL OR trim(url) = '' THEN 'bad_format' WHEN length(url) > 2048 THEN 'too_long' WHEN NOT starts_with(url, 'https://') THEN 'bad_scheme'
+  WHEN split_part(split_part(url, '/', 3), '?', 1) <> 'thther.example.org' THEN 'bad_host' WHEN regexp_extract(url, '^https://[^/?#]*([^?#]*)', 1) LIKE '%..%' THEN 'traversal'
+  WHEN NOT starts_with(regexp_extract(url, '^https://[^/?#]*([^?#]*)', 1), '/en') THEN 'bad_path' ELSE 'ok' END AS code FROM pages""")
+def url_guard(spark, d):
+    return table(spark, d, "pages").select("page_id", text.url_code(F.col("url"), F.lit("thther.example.org"), "/en").alias("code"))
+
+
+@query("SELECT l_orderkey, l_linenumber, substr(sha256(concat_ws('|', 'm', l_partkey, CAST(l_quantity AS INTEGER), printf('%.2f', l_discount), printf('%.2f', l_tax))), 1, 24) AS key FROM lineitem")
+def observation_keys(spark, d):
+    key = text.observation_key(F.lit("m"), F.col("l_partkey"), F.col("l_quantity").cast("int"), F.col("l_discount"), F.col("l_tax"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", key.alias("key"))
+
+
+@query("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title FROM pages")
+def page_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", text.page_title(F.col("html")).alias("title"))
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, CASE WHEN coalesce(json_extract_string(props, '$.k'), '') IN ('', '0') THEN FALSE ELSE TRUE END AS flag, round_even(value / 1000, 3) AS seconds FROM events")
+def scalar_fields(spark, d):
+    k = F.get_json_object("props", "$.k")
+    return table(spark, d, "events").select("event_id", text.number(k).alias("k"), text.flag(k).alias("flag"), text.seconds(F.col("value")).alias("seconds"))
+
+
+E64 = "SELECT vec_id, label, embedding AS e, list_min(embedding) AS lo, list_max(embedding) AS hi FROM embeddings"
+
+
+@query(f"""WITH b AS ({E64}), m AS (SELECT vec_id, CAST(e[i + 1] AS DOUBLE) AS v, i, lo, hi FROM b, range(64) t(i)), k AS (SELECT vec_id, i, CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END >= 0.5 AS x FROM m)
+  SELECT a.vec_id, CAST(count(*) FILTER (a.x) AS INTEGER) AS ink, CASE WHEN count(*) FILTER (a.x OR coalesce(s.x, FALSE)) = 0 THEN 1 ELSE count(*) FILTER (a.x AND coalesce(s.x, FALSE)) / count(*) FILTER (a.x OR coalesce(s.x, FALSE)) END AS overlap
+  FROM k a LEFT JOIN k s ON a.vec_id = s.vec_id AND s.i = a.i - 1 AND a.i % 8 > 0 GROUP BY a.vec_id""")
+def raster_overlap(spark, d):
+    """Each vector as an 8 x 8 raster: its ink, and the overlap with itself moved by a pixel."""
+    e = table(spark, d, "embeddings").select("vec_id", rasters.mask(rasters.rescaled(F.col("embedding").cast("array<double>"))).alias("m"))
+    e = e.withColumn("s", rasters.shifted(F.col("m"), 8, 8, 1, 0))
+    return e.select("vec_id", F.size(F.filter("m", lambda v: v)).alias("ink"), rasters.iou(F.col("m"), F.col("s")).alias("overlap"))
+
+
+@query("""WITH p AS (SELECT vec_id, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embedding[2 * i + 2] AS DOUBLE) AS y, CAST(embedding[2 * ((i + 1) % 32) + 1] AS DOUBLE) AS u, CAST(embedding[2 * ((i + 1) % 32) + 2] AS DOUBLE) AS v FROM embeddings, range(32) t(i))
+  SELECT vec_id, round(sum(x * v - u * y) / 2, 6) AS area, round(sum(sqrt((u - x) * (u - x) + (v - y) * (v - y))), 6) AS perimeter FROM p GROUP BY vec_id""")
+def polygon_measures(spark, d):
+    """Each vector as a closed polyline of 32 points."""
+    e = table(spark, d, "embeddings").select("vec_id", rasters.points(F.col("embedding")).alias("p"))
+    return e.select("vec_id", F.round(rasters.signed_area(F.col("p")), 6).alias("area"), F.round(rasters.perimeter(F.col("p")), 6).alias("perimeter"))
