@@ -202,9 +202,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = star.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
     left, right = classes.select(F.col("node").alias("a"), "n", "bits"), classes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
     star = materialize(star.join(left, "a").join(right, "b").filter(_fits("n", "bits", "m", "others")).select("a", "b").distinct(), "pairs")
-    wanted = star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))).distinct()
-    texts = base.withColumnRenamed("doc_id", "node")
-    links = materialize(_confirm(star, texts.join(wanted, "node", "left_semi")), "links")
+    # The texts of nodes that have candidates at all; every comparison reads only these.
+    texts = materialize(base.withColumnRenamed("doc_id", "node").join(keys.select("x.node").distinct(), "node", "left_semi"), "texts")
+    links = materialize(_confirm(star, texts), "links")
     comp = components(links)
     # Members of one key that are still apart; pairs with the key's smallest have been compared.
     others = keys.join(heads, F.col("key") == F.col("k")).filter(F.col("x.node") != F.col("y.node")).select("key", "x")
@@ -213,8 +213,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = placed.join(apart, F.col("key") == F.col("k"), "left_semi").select(F.col("x.node").alias("node"), "comp").distinct().join(classes.select("node", "n", "bits"), "node")
     more = _by_prefix(materialize(rest, "apart"), texts).join(star, ["a", "b"], "left_anti")
     more = materialize(more, "pairs")
-    wanted = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
-    found = materialize(_confirm(more, texts.join(wanted, "node", "left_semi")), "links")
+    found = materialize(_confirm(more, texts), "links")
     links = links.union(found)
     comp = components(links.union(members.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))))
     out = signed.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -211,21 +211,23 @@ def _compare(spec: Spec) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for group in batch.column("strings"):
-                strings = sorted(group.as_py(), key=lambda x: (x["ord"], x["start"]))
+            lists = batch.column("strings")
+            ends, values = lists.offsets.to_pylist(), lists.values
+            rows = list(zip(*[values.field(c).to_pylist() for c in ("ord", "start", "p1", "p2", "packed")]))
+            for a, b in zip(ends, ends[1:]):
+                strings = sorted(rows[a:b])
                 found: dict[int, list[int]] = {}
                 heads: dict[bytes, int] = {}
                 size = 0
-                for s, x in enumerate(strings):
-                    order = x["ord"]
-                    for j, w in enumerate(windows(x["packed"], spec)):
+                for s, (order, _, _, _, packed) in enumerate(strings):
+                    for j, w in enumerate(windows(packed, spec)):
                         head = heads.setdefault(w, order)
                         if spec.within and len(heads) == size or head < order:
                             found.setdefault(s, []).append(j)
                         size = len(heads)
-                out += [(strings[s]["p1"], strings[s]["p2"], js) for s, js in found.items()]
-            a, b, js = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(js, pa.list_(pa.int32()))], names=["p1", "p2", "js"])
+                out += [(*strings[s][2:4], js) for s, js in found.items()]
+            p1, p2, js = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(p1, pa.int64()), pa.array(p2, pa.int64()), pa.array(js, pa.list_(pa.int32()))], names=["p1", "p2", "js"])
 
     return run
 
@@ -295,9 +297,9 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """docs as from prepared -> (texts with runs that may repeat: key, ord, text; marks: key, marks array<struct<start, n, js>>).
+    """docs as from prepared -> (texts with runs that may repeat: key, ord, text; marks: key, full array<struct<start, n>>, some array<long>).
 
-    A mark without js says that all n windows from start on stand earlier too; one with js that those at start + j do.
+    full: runs of which all n windows from start on stand earlier too; some: starts of single windows that do.
     Rows that are equal in id and text are one text.
     """
     full = docs.filter("text is not null")
@@ -328,21 +330,16 @@ def repeated(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     later = F.col("ord") > F.col("ord0")
     if spec.within:
         later = later | ((F.col("ord") == F.col("ord0")) & (F.col("start") > F.col("start0")))
-    marks = placed.filter(later | F.col("js").isNotNull()).groupBy("key").agg(F.collect_set(F.struct("start", "n", F.when(~later, F.col("js")).alias("js"))).alias("marks"))
+    full = F.collect_list(F.when(later, F.struct("start", "n"))).alias("full")
+    some = F.flatten(F.collect_list(F.when(~later, F.transform("js", lambda j: F.col("start") + j)))).alias("some")
+    marks = placed.filter(later | F.col("js").isNotNull()).groupBy("key").agg(full, some)
     return texts, marks
 
 
-def _covered(n_units: int, marks: list[dict], k: int) -> np.ndarray:
+def _covered(n_units: int, starts: np.ndarray, counts: np.ndarray, singles: np.ndarray, k: int) -> np.ndarray:
     """Which units are covered by marked windows."""
-    edges = np.zeros(n_units + 1, np.int32)
-    for m in marks:
-        if m["js"] is None:
-            edges[m["start"]] += 1
-            edges[m["start"] + m["n"] + k - 1] -= 1
-        else:
-            at = m["start"] + np.asarray(m["js"])
-            np.add.at(edges, at, 1)
-            np.add.at(edges, at + k, -1)
+    edges = np.bincount(np.concatenate((starts, singles)), minlength=n_units + 1)
+    edges -= np.bincount(np.concatenate((starts + counts + k - 1, singles + k)), minlength=n_units + 1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -352,10 +349,14 @@ def removed(texts: DataFrame, marks: DataFrame, spec: Spec) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, text, marked in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("marks")):
+            full, some = batch.column("full"), batch.column("some")
+            starts, counts = full.values.field("start").to_numpy(), full.values.field("n").to_numpy()
+            singles, at, to = some.values.to_numpy(), full.offsets.to_numpy(), some.offsets.to_numpy()
+            for r, (key, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text"))):
                 text = text.as_py()
+                own, ones = slice(at[r], at[r + 1]), slice(to[r], to[r + 1])
                 units = text.split() if spec.unit == "words" else text
-                gone = _covered(len(units), marked.as_py(), spec.k)
+                gone = _covered(len(units), starts[own], counts[own], singles[ones], spec.k)
                 if spec.unit == "words":
                     kept = b" ".join([units[i] for i in np.flatnonzero(~gone)])
                 else:
