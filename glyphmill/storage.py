@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -22,12 +23,16 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "part") -> DataFrame:
+def materialize(df: DataFrame, name: str = "part", release: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
-    Cuts lineage: later reads need no executor that took part in the write.
+    Cuts lineage: later reads need no executor that took part in the write. release: let the driver collect its garbage, upon
+    which Spark deletes the shuffle files of the jobs behind it; worth it after large shuffles.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
