@@ -140,7 +140,7 @@ def _by_prefix(rest: DataFrame, texts: DataFrame) -> DataFrame:
     Shingles of a single text come before all others and meet nothing; they are counted, not moved.
     """
     rows = texts.join(rest.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_shingle_rows, "node long, g long")
-    rows = materialize(rows.distinct(), "shingles")
+    rows = materialize(rows.distinct(), "shingles", release=True)
     common = rows.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
     own = rows.join(common, "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
     held = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("gs"))
@@ -154,7 +154,7 @@ def _by_prefix(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node -> comp, the smallest node reachable, for the nodes of edges (a, b). Labels spread and jump until none changes."""
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
+    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links", release=True)
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
     labels = materialize(labels, "labels")
     while True:
@@ -194,17 +194,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = shared.withColumn("first", F.explode("first")).withColumn("second", F.explode("second"))
     keys = keys.select(F.xxhash64("first", "second").alias("key"), "node", "n")
     heads = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("y"), F.count("*").alias("k")).filter("k > 1").select(F.col("key").alias("k"), "y")
-    heads = materialize(heads, "heads")
+    heads = materialize(heads, "heads", release=True)
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
     x = F.struct("node", "n").alias("x")
-    keys = materialize(keys.select("key", x).join(heads.select("k"), F.col("key") == F.col("k"), "left_semi"), "keys")
+    keys = materialize(keys.select("key", x).join(heads.select("k"), F.col("key") == F.col("k"), "left_semi"), "keys", release=True)
     star = keys.join(heads, F.col("key") == F.col("k")).filter((F.col("x.node") > F.col("y.node")) & sizes)
     star = star.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
     left, right = classes.select(F.col("node").alias("a"), "n", "bits"), classes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
-    star = materialize(star.join(left, "a").join(right, "b").filter(_fits("n", "bits", "m", "others")).select("a", "b").distinct(), "pairs")
+    star = materialize(star.join(left, "a").join(right, "b").filter(_fits("n", "bits", "m", "others")).select("a", "b").distinct(), "pairs", release=True)
     # The texts of nodes that have candidates at all; every comparison reads only these.
-    texts = materialize(base.withColumnRenamed("doc_id", "node").join(keys.select("x.node").distinct(), "node", "left_semi"), "texts")
-    links = materialize(_confirm(star, texts), "links")
+    texts = materialize(base.withColumnRenamed("doc_id", "node").join(keys.select("x.node").distinct(), "node", "left_semi"), "texts", release=True)
+    links = materialize(_confirm(star, texts), "links", release=True)
     comp = components(links)
     # Members of one key that are still apart; pairs with the key's smallest have been compared.
     others = keys.join(heads, F.col("key") == F.col("k")).filter(F.col("x.node") != F.col("y.node")).select("key", "x")
@@ -212,8 +212,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("key").alias("k"))
     rest = placed.join(apart, F.col("key") == F.col("k"), "left_semi").select(F.col("x.node").alias("node"), "comp").distinct().join(classes.select("node", "n", "bits"), "node")
     more = _by_prefix(materialize(rest, "apart"), texts).join(star, ["a", "b"], "left_anti")
-    more = materialize(more, "pairs")
-    found = materialize(_confirm(more, texts), "links")
+    more = materialize(more, "pairs", release=True)
+    found = materialize(_confirm(more, texts), "links", release=True)
     links = links.union(found)
     comp = components(links.union(members.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))))
     out = signed.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -275,9 +275,9 @@ def _blocks(spec: Spec) -> Callable:
 def _among_many(strings: DataFrame, spec: Spec) -> DataFrame:
     """As _compare, for minimisers with many strings: blocks first, each distinct one once, then the windows of distinct blocks, dealt out."""
     schema = "p1 long, p2 long, j int, n int, b1 long, b2 long, ord long, start long, packed binary"
-    blocks = materialize(strings.mapInArrow(_blocks(spec), schema), "blocks")
+    blocks = materialize(strings.mapInArrow(_blocks(spec), schema), "blocks", release=True)
     heads = blocks.groupBy("b1", "b2", "packed").agg(F.min(F.struct("ord", "start")).alias("lo"))
-    heads = materialize(heads.select(F.col("b1").alias("p1"), F.col("b2").alias("p2"), "lo.ord", "lo.start", "packed"), "heads")
+    heads = materialize(heads.select(F.col("b1").alias("p1"), F.col("b2").alias("p2"), "lo.ord", "lo.start", "packed"), "heads", release=True)
     each = heads.mapInArrow(_deal(spec), "w binary, p1 long, p2 long, j int, ord long, place long")
     first = each.groupBy("w").agg(F.min(F.struct("ord", "place")).alias("head"), F.count("*").alias("k")).filter("k > 1").select("w", "head")
     later = each.join(first, "w").filter(F.struct("ord", "place") > F.col("head")).groupBy("p1", "p2").agg(F.collect_list("j").alias("within"))
@@ -307,16 +307,16 @@ def repeated(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
         shared = full.mapInArrow(_minimiser_rows(spec), "h long").groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
     else:
         shared = full.mapInArrow(_minimiser_rows(spec, "ord"), "h long, ord long").groupBy("h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi")
-    shared = materialize(shared.select("h"), "shared")
+    shared = materialize(shared.select("h"), "shared", release=True)
     hits = full.mapInArrow(_minimiser_rows(spec, "key"), "h long, key long").join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
-    texts = materialize(docs.join(hits, "key"), "texts")
+    texts = materialize(docs.join(hits, "key"), "texts", release=True)
     first = texts.mapInArrow(_run_rows(spec, True), f"{_RUN}, packed binary")
     # One number for a place, and the string among the keys, so that the aggregation needs no sort.
     place = F.col("ord").cast("decimal(20,0)") * F.lit(_PLACE).cast("decimal(11,0)") + F.col("start")
     strings = first.groupBy("h", "p1", "p2", "packed").agg(F.min(place).alias("lo"))
     start = F.pmod(F.col("lo"), F.lit(_PLACE).cast("decimal(11,0)"))
     strings = strings.select("h", "p1", "p2", ((F.col("lo") - start) / F.lit(_PLACE).cast("decimal(11,0)")).cast("long").alias("ord"), start.cast("long").alias("start"), "packed")
-    strings = materialize(strings, "strings")
+    strings = materialize(strings, "strings", release=True)
     sizes = strings.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
     sized = strings.join(sizes, "h")
     few = sized.filter(F.col("k") <= TOGETHER).groupBy("h").agg(F.collect_list(F.struct("p1", "p2", "ord", "start", "packed")).alias("strings"))
@@ -324,7 +324,7 @@ def repeated(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     many = sized.filter(F.col("k") > TOGETHER).select("p1", "p2", "ord", "start", "packed")
     earlier = few.union(_among_many(many, spec))
     known = strings.select("p1", "p2", F.col("ord").alias("ord0"), F.col("start").alias("start0")).join(earlier, ["p1", "p2"], "left")
-    known = materialize(known, "known")
+    known = materialize(known, "known", release=True)
     places = texts.mapInArrow(_run_rows(spec, False), _RUN)
     placed = places.join(known, ["p1", "p2"])
     later = F.col("ord") > F.col("ord0")
