@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ def materialize(df: DataFrame, name: str = "part", release: bool = False) -> Dat
     path = f"{scratch_root(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what the job leaves to listeners is let go a little later
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)
