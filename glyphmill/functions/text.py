@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import functools
+import json
 import operator
+import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Weights by word.
 WEIGHTS = {
@@ -56,12 +61,18 @@ def weight_of(name: Column) -> Column:
     return F.element_at(table, F.get(F.filter(tokens, lambda t: t.isin(*WEIGHTS)), F.lit(0)))
 
 
-def error_class(message: Column) -> Column:
-    m = F.upper(message)
-    rules = (("TIMEOUT", ("TIMEOUT", "TIMED OUT")), ("NETWORK", ("HTTP", "CONNECT")), ("VALIDATION", ("VALID",)), ("CANCELLED", ("CANCEL",)), ("NO_GLYPHS", ("GLYPH",)))
-    out = F
-    for name, words in rules:
-        out = out.when(functools.reduce(operator.or_, [m.contains(w) for w in words]), name)
+# Fragments of an error code and their class, the first that fits.
+ERROR_CLASSES = (
+    ("DISCOVERY_EMPTY", ("DISCOVERY_EMPTY",)), ("NO_GLYPHS_FROZEN", ("NO_GLYPHS_FROZEN",)), ("VALIDATION_FAILED", ("VALIDATION",)), ("VIETNAMESE_PENDING", ("VIETNAMESE",)),
+    ("NETWORK", ("NETWORK", "DNS", "TIMEOUT", "CONNECT", "SOCKET", "SSL", "LIVE_")),
+)
+
+
+def error_class(code: Column) -> Column:
+    """Class of an error code; UNKNOWN for null."""
+    m, out = F.upper(code), F
+    for name, parts in ERROR_CLASSES:
+        out = out.when(functools.reduce(operator.or_, [m.contains(w) for w in parts]), name)
     return out.otherwise("UNKNOWN")
 
 
@@ -82,3 +93,85 @@ def flag(raw: Column) -> Column:
 
 def page_title(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit(""))
+
+
+@F.pandas_udf(T.StringType())
+def _decomposed(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _folded(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda x: unicodedata.normalize("NFKD", x).casefold(), na_action="ignore")
+
+
+def normalized(raw: Column) -> Column:
+    """NFKD, case folded, white space as single spaces, trimmed. Spark has no normaliser, so a pandas UDF makes the form."""
+    return F.trim(F.regexp_replace(_folded(raw), r"(?U)\s+", " "))
+
+
+def slug(raw: Column, most: int = 60) -> Column:
+    """ASCII letters and digits joined by hyphens, at most `most` long; 'unnamed' if nothing is left or raw is null."""
+    ascii_only = F.regexp_replace(_decomposed(raw), r"[^\x00-\x7F]", "")
+    s = F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(ascii_only, "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""), 1, most), "-+$", "")
+    return F.coalesce(F.nullif(s, F.lit("")), F.lit("unnamed"))
+
+
+def postscript_name(raw: Column) -> Column:
+    """ASCII letters, digits and single hyphens; 'Custom' if nothing is left."""
+    s = F.regexp_replace(_decomposed(raw), "[^A-Za-z0-9-]", "")
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(s, "-{2,}", "-"), "^-+|-+$", ""), F.lit("")), F.lit("Custom"))
+
+
+def short_digest(value: Column, digits: int = 16) -> Column:
+    return F.substring(F.sha2(value, 256), 1, digits)
+
+
+def options_key(options: Column) -> Column:
+    """Digest of a map<string, boolean> as JSON with sorted keys."""
+    items = F.array_sort(F.map_entries(options))
+    one = lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.coalesce(e["value"].cast("string"), F.lit("null")))
+    return short_digest(F.concat(F.lit("{"), F.concat_ws(",", F.transform(items, one)), F.lit("}")))
+
+
+def listed(raw: Column, separators: str) -> Column:
+    """Distinct trimmed lower-case parts that aren't empty, sorted."""
+    parts = F.transform(F.split(F.coalesce(raw, F.lit("")), f"[{separators}]"), lambda x: F.lower(F.trim(x)))
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
+
+
+def clean_title(raw: Column, site: str, most: int = 120) -> Column:
+    """The first part of a title that isn't the site's name, cut at the first separator, in order of rank, that it has."""
+    text = F.trim(F.regexp_replace(raw, r"\s+", " "))
+    ok = lambda x: (x != "") & (F.lower(x) != site.lower())
+    first = lambda sep: F.get(F.filter(F.transform(F.split(text, f"\\Q{sep}\\E"), lambda x: F.trim(x)), ok), F.lit(0))
+    out = F
+    for sep in ("|", "\u2013", "\u2014", " - "):
+        out = out.when(text.contains(sep), first(sep))
+    return F.nullif(F.substring(out.otherwise(F.when(ok(text), text)), 1, most), F.lit(""))
+
+
+def timestamp(raw: Column) -> Column:
+    """ISO text as a timestamp in the session's zone (UTC) where it has none; null if it is none."""
+    return raw.try_cast("timestamp")
+
+
+def _without(value, pattern, count):
+    if isinstance(value, dict):
+        kept = {k: v for k, v in value.items() if not pattern.search(k)}
+        count[0] += len(value) - len(kept)
+        return {k: _without(v, pattern, count) for k, v in kept.items()}
+    return [_without(v, pattern, count) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(T.StructType().add("json", "string").add("dropped", "integer"))
+def redacted(raw: pd.Series) -> pd.DataFrame:
+    """JSON without secret keys at any depth, and how many were dropped; null and 0 for what is no JSON."""
+    pattern, out = re.compile("token|cookie|secret|password|authorization", re.IGNORECASE), []
+    for x in raw:
+        count = [0]
+        try:
+            out.append((json.dumps(_without(json.loads(x), pattern, count), sort_keys=True, separators=(",", ":"), ensure_ascii=False), count[0]))
+        except (TypeError, ValueError):
+            out.append((None, 0))
+    return pd.DataFrame(out, columns=["json", "dropped"])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text
-from glyphmill.operators import discovery, jobs, rasters
+from glyphmill.operators import discovery, jobs, ledger, metrics, rasters
 from glyphmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,3 +216,209 @@ def polygon_measures(spark, d):
     """Each vector as a closed polyline of 32 points."""
     e = table(spark, d, "embeddings").select("vec_id", rasters.points(F.col("embedding")).alias("p"))
     return e.select("vec_id", F.round(rasters.signed_area(F.col("p")), 6).alias("area"), F.round(rasters.perimeter(F.col("p")), 6).alias("perimeter"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'miss' WHEN st = 'success' AND p_size % 2 = 0 AND p_size % 3 <> 0 THEN 'binary' WHEN st = 'success' AND p_size % 5 <> 1 AND p_size % 3 = 0 THEN 'fontmodel'
+  WHEN st = 'in_progress' AND p_size > 25 THEN 'partial' ELSE 'miss' END AS admitted FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'in_progress' ELSE 'success' END AS st FROM part)""")
+def cache_lookup(spark, d):
+    """Parts as ledger rows."""
+    n, status = F.col("p_size"), F.when(F.col("p_partkey") % 3 == 0, "in_progress").otherwise("success")
+    got = ledger.lookup(n % 10 != 0, status, n % 2 == 0, n % 3 != 0, n % 5 != 1, F.when(n > 25, n).otherwise(0))
+    return table(spark, d, "part").select("p_partkey", got.alias("admitted"))
+
+
+@query("""WITH l AS (SELECT user_id, max(o) FILTER (k = 'begin') AS b, max(o) FILTER (k = 'model') AS m, max(o) FILTER (k = 'final') AS f, max(o) FILTER (k = 'invalidate') AS x, arg_max(value > 20, o) FILTER (k = 'final') AS passed
+  FROM (SELECT *, struct_pack(a := ts, b := event_id) AS o, CASE event_type WHEN 'signup' THEN 'begin' WHEN 'click' THEN 'model' WHEN 'purchase' THEN 'final' WHEN 'error' THEN 'invalidate' END AS k FROM events) GROUP BY user_id),
+  r AS (SELECT *, CASE WHEN b IS NULL THEN f WHEN f IS NULL OR b > f THEN b ELSE f END AS reset, CASE WHEN m IS NULL THEN f WHEN f IS NULL OR m > f THEN m ELSE f END AS good FROM l),
+  z AS (SELECT *, x IS NOT NULL AND (reset IS NULL OR x > reset) AS failed FROM r)
+  SELECT user_id, CASE WHEN failed THEN 'failed' WHEN good IS NOT NULL AND (b IS NULL OR good > b) THEN 'success' WHEN b IS NOT NULL THEN 'in_progress' END AS status, failed, passed AS validation_passed FROM z""")
+def ledger_fold(spark, d):
+    """A user's events as the life of a cache entry."""
+    kind = F.col("event_type")
+    kind = F.when(kind == "signup", "begin").when(kind == "click", "model").when(kind == "purchase", "final").when(kind == "error", "invalidate")
+    return ledger.fold(table(spark, d, "events"), "user_id", ["ts", "event_id"], kind, F.col("value") > 20)
+
+
+@query("SELECT o_orderkey, least(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END, o_totalprice / 2) <= 20000 AS hollow FROM orders")
+def hollow_artifacts(spark, d):
+    a = F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice"))
+    return table(spark, d, "orders").select("o_orderkey", ledger.hollow([a, F.col("o_totalprice") / 2]).alias("hollow"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN coalesce(a.c_name, b.c_name) END AS artifact, CASE WHEN o_orderstatus = 'F' AND coalesce(a.c_name, b.c_name) IS NOT NULL THEN 'DONE' ELSE 'FAILED' END AS status,
+  CASE WHEN o_orderstatus = 'F' AND coalesce(a.c_name, b.c_name) IS NULL THEN 'ARTIFACT_MISSING' WHEN o_orderstatus <> 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'E' ELSE 'UNKNOWN' END END AS error_code
+  FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 12) a ON a.c_custkey = o_custkey LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 12) b ON b.c_custkey = o_custkey + 1""")
+def resolve_packages(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", (F.col("o_custkey") + 1).alias("next"))
+    have = table(spark, d, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("artifact"))
+    got = ledger.resolve(rows, have, ["o_custkey", "next"], F.col("o_orderstatus") == "F", F.when(F.col("o_orderkey") % 2 == 0, "E"))
+    return got.select("o_orderkey", "artifact", "status", "error_code")
+
+
+@query("""WITH x AS (SELECT l_suppkey, l_partkey, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linestatus = 'O' THEN 'gate' ELSE 'UNKNOWN' END END AS r FROM lineitem), n AS (SELECT l_suppkey, r, count(*) AS n FROM x WHERE r IS NOT NULL GROUP BY ALL)
+  SELECT x.l_suppkey, count(*) AS total, count(*) FILTER (r IS NULL) AS frozen, array_to_string(list_sort(coalesce(list(DISTINCT l_partkey) FILTER (r IS NOT NULL), [])), ',') AS failed_glyphs,
+  coalesce((SELECT string_agg(n.r || ':' || n.n, ',' ORDER BY n.r) FROM n WHERE n.l_suppkey = x.l_suppkey), '') AS reasons FROM x GROUP BY x.l_suppkey""")
+def style_report(spark, d):
+    got = ledger.report(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "O", "gate"))
+    return got.select("l_suppkey", "total", "frozen", F.concat_ws(",", F.col("failed_glyphs").cast("array<string>")).alias("failed_glyphs"), F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query("""SELECT o_custkey, count(*) FILTER (ok) AS n_done, count(*) FILTER (NOT ok) AS n_failed, count(*) FILTER (h) AS n_hollow, sha256(coalesce(string_agg(x, ',' ORDER BY x) FILTER (ok), '')) AS sha256
+  FROM (SELECT *, s = 'DONE' AND NOT h AS ok FROM (SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'DONE' ELSE 'FAILED' END AS s, o_totalprice <= 20000 AS h, md5(CAST(o_orderkey AS VARCHAR)) AS x FROM orders)) GROUP BY o_custkey""")
+def manifest_rollup(spark, d):
+    rows = _orders(spark, d).withColumn("status", F.when(F.col("status") == "DONE", "DONE").otherwise("FAILED"))
+    return ledger.manifest(rows, "o_custkey", "status", F.col("o_totalprice") <= 20000, F.md5(F.col("o_orderkey").cast("string")))
+
+
+@query("SELECT c_custkey, coalesce(v, c_acctbal) AS c_acctbal FROM customer FULL JOIN (SELECT o_custkey, arg_max(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) AS v FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey WHERE c_custkey IS NOT NULL")
+def upsert_latest(spark, d):
+    """Balances replaced by the price of the latest order."""
+    changes = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderdate", "o_orderkey")
+    return ledger.upsert(table(spark, d, "customer"), changes, "c_custkey", "c_acctbal", ["o_orderdate", "o_orderkey"]).filter("c_custkey is not null")
+
+
+@query("""SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS status, min(ts) FILTER (event_type IN ('click', 'view')) AS started_at, max(ts) FILTER (event_type IN ('purchase', 'error')) AS finished_at,
+  arg_max(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), struct_pack(a := ts, b := event_id)) FILTER (event_type = 'error') AS error_code FROM events GROUP BY user_id""")
+def child_updates(spark, d):
+    error = F.when(F.col("event_type") == "error", F.floor("value").cast("string"))
+    return ledger.child_update(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", error, ["click", "view"], ["purchase", "error"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN m > 0 THEN m WHEN l_tax > 0.02 THEN round_even(l_quantity * 1000 / 60 * 1.18, 1) ELSE 500 END AS advance, CASE WHEN m > 0 THEN 'meta' WHEN l_tax > 0.02 THEN 'ink' ELSE 'fallback' END AS via
+  FROM (SELECT *, CASE WHEN l_discount > 0.05 THEN 0.0 WHEN l_linenumber % 2 = 0 THEN l_quantity * 20 END AS m FROM lineitem)""")
+def advance_waterfall(spark, d):
+    """A discount over 0.05 stands for a bad advance in the metadata, which hides the second one."""
+    meta, adv = F.when(F.col("l_discount") > 0.05, 0.0), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity") * 20)
+    seen = F.col("l_tax") > 0.02
+    got = metrics.advance(meta, adv, F.when(seen, 0.0), F.when(seen, F.col("l_quantity")), F.lit(60.0))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", got.alias("a")).select("l_orderkey", "l_linenumber", "a.advance", "a.via")
+
+
+@query("""SELECT l_orderkey, CASE WHEN count(*) FILTER (l_tax > 0.02) = 0 THEN 800 ELSE greatest(600, least(1000, max((48 - l_linenumber) * 1000 / 60.0::DOUBLE) FILTER (l_tax > 0.02))) END::DOUBLE AS ascender,
+  CASE WHEN count(*) FILTER (l_tax > 0.02) = 0 THEN -200 ELSE greatest(-400, least(-50, min((48 - l_quantity * 1.5) * 1000 / 60.0::DOUBLE) FILTER (l_tax > 0.02))) END::DOUBLE AS descender FROM lineitem GROUP BY l_orderkey""")
+def vertical_extents(spark, d):
+    seen = F.col("l_tax") > 0.02
+    return metrics.extents(table(spark, d, "lineitem"), "l_orderkey", F.when(seen, F.col("l_linenumber")), F.when(seen, F.col("l_quantity") * 1.5), F.lit(60.0))
+
+
+@query("""WITH c AS (SELECT vec_id, embedding[1]::DOUBLE * 1000 AS a, embedding[2]::DOUBLE * 1000 AS b, embedding[3]::DOUBLE * 1000 AS c, embedding[4]::DOUBLE * 1000 AS d FROM embeddings),
+  s AS (SELECT vec_id, a * (1 - t) ** 3 + 3 * b * (1 - t) ** 2 * t + 3 * c * (1 - t) * t ** 2 + d * t ** 3 AS v FROM c, (SELECT k / 8 AS t FROM range(1, 8) r(k)) UNION ALL SELECT vec_id, unnest([a, b, c, d]) FROM c)
+  SELECT vec_id, CAST(round_even(min(v), 0) AS INTEGER) AS lo, CAST(round_even(max(v), 0) AS INTEGER) AS hi FROM s GROUP BY vec_id""")
+def cubic_bounds(spark, d):
+    lo, hi = metrics.cubic_bounds([F.get("embedding", i).cast("double") * 1000 for i in range(4)])
+    return table(spark, d, "embeddings").select("vec_id", lo.alias("lo"), hi.alias("hi"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_tax > 0.07 THEN 'not_closed' END, CASE WHEN -l_quantity * 6 < -250 OR l_extendedprice / 50 > 1250 THEN 'bbox_guard' END,
+  CASE WHEN l_linenumber = 1 THEN CASE WHEN l_quantity * 3 < 100 THEN 'advance_range' END WHEN l_quantity * 3 NOT BETWEEN 15 AND 2000 THEN 'advance_range' END, CASE WHEN l_discount > 0.08 THEN 'bezier_residual' END,
+  CASE WHEN l_quantity <= 2 THEN 'degenerate_segment' END, CASE WHEN l_linenumber > 5 THEN 'self_intersection' END, CASE WHEN 1 - l_tax * 4 < 0.8 THEN 'edge_agreement' END], lambda x: x IS NOT NULL), ',') AS failures FROM lineitem""")
+def quality_gate(spark, d):
+    """Measures made from a line's numbers; all failures in order."""
+    q = F.col("l_quantity")
+    rules = metrics.gate_rules(
+        F.when(F.col("l_tax") > 0.07, 1.0).otherwise(0.0), -q * 6, F.col("l_extendedprice") / 50, q * 3, F.col("l_linenumber") == 1, F.col("l_discount"), F.lit(0.04),
+        F.when(q <= 2, 0.0).otherwise(q), F.col("l_linenumber") - 5, 1 - F.col("l_tax") * 4,
+    )
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(",", metrics.failures(rules)).alias("failures"))
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_totalprice > 300000 THEN 1 WHEN o_custkey % 2 = 0 THEN 2 WHEN o_orderstatus = 'F' THEN 3 ELSE 0 END AS INTEGER) AS level FROM orders")
+def refinement_ladder(spark, d):
+    levels = [lambda r: F.col("o_totalprice") > 300000, lambda r: F.col("o_custkey") % 2 == 0, lambda r: F.col("o_orderstatus") == "F"]
+    return metrics.ladder(table(spark, d, "orders"), "o_orderkey", levels)
+
+
+@query("""WITH g AS (SELECT p_brand AS brand, CASE WHEN p_size = 1 THEN 'space' WHEN p_size = 2 THEN '.notdef' ELSE p_name END AS name, p_retailprice AS adv FROM part), w AS (SELECT brand, count(*) FILTER (name = '.notdef') AS n, count(*) FILTER (name = 'space') AS s, max(adv) / 3 AS w FROM g GROUP BY brand)
+  SELECT * FROM g UNION ALL SELECT brand, '.notdef', 500 FROM w WHERE n = 0 UNION ALL SELECT brand, 'space', greatest(100, least(600, w)) FROM w WHERE s = 0""")
+def mandatory_glyphs(spark, d):
+    name = F.when(F.col("p_size") == 1, "space").when(F.col("p_size") == 2, ".notdef").otherwise(F.col("p_name"))
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("brand"), name.alias("name"), F.col("p_retailprice").alias("adv"))
+    return metrics.with_mandatory(rows, "brand", "name", "adv", F.col("adv") / 3)
+
+
+@query("SELECT lang, CAST(unicode(c) AS INTEGER) AS cp, count(*) AS n FROM (SELECT lang, unnest(list_distinct(list_filter(string_split(coalesce(text, ''), ''), lambda x: x <> ''))) AS c FROM documents) WHERE unicode(c) NOT BETWEEN 32 AND 126 GROUP BY ALL")
+def uncovered_codepoints(spark, d):
+    """Code points of the documents beyond printable ASCII, by language."""
+    cmap = spark.range(32, 127).select(F.col("id").cast("int").alias("cp"))
+    return metrics.uncovered(table(spark, d, "documents"), "text", "lang", cmap)
+
+
+CELLS_SQL = f"WITH b AS ({E64}), k AS (SELECT vec_id, i, i % 8 AS x, i // 8 AS y, CASE WHEN hi > lo THEN (CAST(e[i + 1] AS DOUBLE) - lo) / (hi - lo) ELSE 0 END >= 0.5 AS m FROM b, range(64) t(i))"
+
+
+def _masks(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", rasters.mask(rasters.rescaled(F.col("embedding").cast("array<double>"))).alias("m"))
+
+
+@query(f"{CELLS_SQL} SELECT a.vec_id, count(*) FILTER (a.m OR EXISTS (SELECT 1 FROM k b WHERE b.vec_id = a.vec_id AND b.m AND ((b.x = a.x AND (b.y = (a.y + 1) % 8 OR b.y = (a.y + 7) % 8)) OR (b.y = a.y AND (b.x = (a.x + 1) % 8 OR b.x = (a.x + 7) % 8))))) AS ink FROM k a GROUP BY a.vec_id")
+def dilated_ink(spark, d):
+    return _masks(spark, d).select("vec_id", F.size(F.filter(rasters.dilated(F.col("m"), 8, 8), lambda v: v)).cast("long").alias("ink"))
+
+
+@query(f"{CELLS_SQL}, p AS (SELECT a.vec_id, a.i, min(3 * greatest(abs(a.x - b.x), abs(a.y - b.y)) + least(abs(a.x - b.x), abs(a.y - b.y))) AS v FROM k a JOIN k b ON a.vec_id = b.vec_id AND b.m GROUP BY ALL) SELECT vec_id, CAST(sum(v) AS BIGINT) AS total, CAST(max(v) AS INTEGER) AS far FROM p GROUP BY vec_id")
+def chamfer_distance(spark, d):
+    e = _masks(spark, d).select("vec_id", rasters.chamfer(F.col("m"), 8, 8).alias("c"))
+    return e.select("vec_id", F.aggregate("c", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_max("c").alias("far"))
+
+
+RING_SQL = "WITH p AS (SELECT vec_id, i, embedding[2 * i + 1]::DOUBLE * 20 + 8 AS x, embedding[2 * i + 2]::DOUBLE * 20 + 8 AS y, embedding[2 * ((i + 1) % 32) + 1]::DOUBLE * 20 + 8 AS u, embedding[2 * ((i + 1) % 32) + 2]::DOUBLE * 20 + 8 AS v FROM embeddings, range(32) t(i))"
+
+
+def _ring(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", rasters.points(F.col("embedding")).alias("p"))
+    return e.select("vec_id", F.transform("p", lambda a: F.struct((a["x"] * 20 + 8).alias("x"), (a["y"] * 20 + 8).alias("y"))).alias("p"))
+
+
+@query(f"""{RING_SQL}, c AS (SELECT vec_id, cx, cy, count(*) FILTER ((y > cy + 0.5) <> (v > cy + 0.5) AND cx + 0.5 < (u - x) * (cy + 0.5 - y) / (v - y) + x) AS n FROM p, range(16) a(cx), range(16) b(cy) GROUP BY ALL)
+  SELECT vec_id, CAST(count(*) FILTER (n % 2 = 1) AS INTEGER) AS ink FROM c GROUP BY vec_id""")
+def rasterized_ink(spark, d):
+    return _ring(spark, d).select("vec_id", F.size(F.filter(rasters.rasterized(F.col("p"), 16, 16), lambda v: v)).alias("ink"))
+
+
+@query(f"""{RING_SQL}, t AS (SELECT vec_id, a.i, abs(degrees(atan2((a.u - a.x) * (b.v - b.y) - (a.v - a.y) * (b.u - b.x), (a.u - a.x) * (b.u - b.x) + (a.v - a.y) * (b.v - b.y)))) AS g FROM p a JOIN p b USING (vec_id) WHERE b.i = (a.i + 1) % 32)
+  SELECT vec_id, CAST(count(*) FILTER (g > 45) AS INTEGER) AS corners, round(max(g), 6) AS sharpest FROM t GROUP BY vec_id""")
+def corners(spark, d):
+    e = _ring(spark, d).select("vec_id", rasters.turns(F.col("p")).alias("t"))
+    return e.select("vec_id", F.size(F.filter("t", lambda v: v > 45)).alias("corners"), F.round(F.array_max("t"), 6).alias("sharpest"))
+
+
+@query(f"""{RING_SQL} SELECT a.vec_id, count(*) AS n FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.i - a.i > 1 AND b.i - a.i < 31
+  WHERE ((a.u - a.x) * (b.y - a.y) - (a.v - a.y) * (b.x - a.x)) * ((a.u - a.x) * (b.v - a.y) - (a.v - a.y) * (b.u - a.x)) < -1e-12
+  AND ((b.u - b.x) * (a.y - b.y) - (b.v - b.y) * (a.x - b.x)) * ((b.u - b.x) * (a.v - b.y) - (b.v - b.y) * (a.u - b.x)) < -1e-12 GROUP BY a.vec_id""")
+def self_crossings(spark, d):
+    """Proper crossings of each vector's polyline, by a grid join; vectors without any are left out."""
+    e = _ring(spark, d).select("vec_id", F.size("p").alias("n"), "p", F.posexplode("p").alias("i", "a"))
+    nxt = F.get("p", (F.col("i") + 1) % F.col("n"))
+    e = e.select("vec_id", "i", "n", F.col("a.x").alias("x"), F.col("a.y").alias("y"), nxt["x"].alias("u"), nxt["y"].alias("v"))
+    return rasters.crossings(e, "vec_id", 4.0)
+
+
+@query("""WITH a AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i)), w AS (SELECT vec_id, i, sum(v * k) / 27 AS s FROM (SELECT a.vec_id, a.i, b.v, CASE abs(d) WHEN 0 THEN 7 WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 1 END AS k
+  FROM a CROSS JOIN range(-3, 4) o(d) JOIN a b ON b.vec_id = a.vec_id AND b.i = (a.i + d + 64) % 64) GROUP BY ALL) SELECT vec_id, round(max(s), 6) AS hi, round(min(s), 6) AS lo FROM w GROUP BY vec_id""")
+def smoothed_range(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", rasters.smoothed(F.col("embedding").cast("array<double>")).alias("s"))
+    return e.select("vec_id", F.round(F.array_max("s"), 6).alias("hi"), F.round(F.array_min("s"), 6).alias("lo"))
+
+
+@query("""SELECT p_partkey, rtrim(substr(trim(regexp_replace(p_name || ' / Ete ' || p_type, '[^A-Za-z0-9]+', '-', 'g'), '-'), 1, 14), '-') AS slug, trim(regexp_replace(regexp_replace(p_brand || '--E', '[^A-Za-z0-9-]', '', 'g'), '-{2,}', '-', 'g'), '-') AS ps_name,
+  lower(p_name) || ' ss' AS norm FROM part""")
+def slugs(spark, d):
+    """Names with decomposed accents, a sharp s and odd spaces."""
+    s = text.slug(F.concat("p_name", F.lit(" / Été "), "p_type"), 14)
+    return table(spark, d, "part").select("p_partkey", s.alias("slug"), text.postscript_name(F.concat("p_brand", F.lit("--É"))).alias("ps_name"), text.normalized(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  ß"))).alias("norm"))
+
+
+@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"n":{"v":' || user_id || '}}' AS json, 3 AS dropped FROM events""")
+def redacted_json(spark, d):
+    raw = F.format_string('{"api_token":"x","k":%s,"n":{"Cookie":1,"v":%d},"Authorization":{"a":1}}', F.get_json_object("props", "$.k"), F.col("user_id"))
+    return table(spark, d, "events").select("event_id", text.redacted(raw).alias("r")).select("event_id", "r.json", "r.dropped")
+
+
+@query("""SELECT p_partkey, substr(sha256('{"a":' || (p_size > 10) || ',"b":true}'), 1, 16) AS options, substr(sha256('md5:' || p_name), 1, 16) AS identity, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'Sheet' END AS title,
+  'a,b ' || lower(p_type) AS names FROM part""")
+def keys_and_titles(spark, d):
+    options = F.create_map(F.lit("b"), F.lit(True), F.lit("a"), F.col("p_size") > 10)
+    title = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Site | "), "p_name", F.lit(" - x"))).otherwise(F.lit(" Sheet\n"))
+    title = F.when(F.col("p_size") % 2 == 0, F.regexp_replace(text.clean_title(title, "site"), " - x$", "")).otherwise(text.clean_title(title, "site"))
+    names = F.array_join(text.listed(F.concat(F.lit(" A ;;a; B "), "p_type"), ";,"), ",")
+    return table(spark, d, "part").select("p_partkey", text.options_key(options).alias("options"), text.short_digest(F.concat(F.lit("md5:"), "p_name")).alias("identity"), title.alias("title"), names.alias("names"))

@@ -19,7 +19,7 @@ def cell(x):
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in "customer part orders lineitem events pages embeddings".split():
+    for t in "customer part orders lineitem events pages embeddings documents".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = catalog.queries()[name](spark, SF)
     cur = con.execute(catalog.oracle_sql()[name])
