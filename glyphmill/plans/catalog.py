@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text
-from glyphmill.operators import discovery, jobs, ledger, metrics, rasters
+from glyphmill.operators import curves, discovery, jobs, ledger, markup, metrics, rasters
 from glyphmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,3 +422,82 @@ def keys_and_titles(spark, d):
     title = F.when(F.col("p_size") % 2 == 0, F.regexp_replace(text.clean_title(title, "site"), " - x$", "")).otherwise(text.clean_title(title, "site"))
     names = F.array_join(text.listed(F.concat(F.lit(" A ;;a; B "), "p_type"), ";,"), ",")
     return table(spark, d, "part").select("p_partkey", text.options_key(options).alias("options"), text.short_digest(F.concat(F.lit("md5:"), "p_name")).alias("identity"), title.alias("title"), names.alias("names"))
+
+
+TAG = r"<(?:a|h1|div)\b[^>]*>"
+TAG_SQL = f"""SELECT page_id, CAST(i AS INTEGER) AS i, tag, CAST(sum(len(gap) + len(tag)) OVER (PARTITION BY page_id ORDER BY i) - len(tag) AS INTEGER) AS pos, html FROM
+  (SELECT page_id, html, unnest(l) AS tag, unnest(range(len(l))) AS i, unnest(g[1:len(l)]) AS gap FROM (SELECT page_id, html, regexp_extract_all(html, '{TAG}') AS l, string_split_regex(html, '{TAG}') AS g FROM pages))"""
+
+
+@query(f"SELECT page_id, pos, nullif(regexp_extract(tag, '(?:href|class)=\"([^\"]*)\"', 1), '') AS target, nullif(substr(trim(regexp_replace(regexp_extract(substr(html, pos + len(tag) + 1, 600), '^([^<>]+)<', 1), '\\s+', ' ', 'g')), 1, 120), '') AS name FROM ({TAG_SQL})")
+def tag_candidates(spark, d):
+    """Links, headings and boxes of each page in document order, with what they lead to and the text right after them."""
+    got = markup.candidates(table(spark, d, "pages"), "page_id", "html", [TAG])
+    attrs = markup.attributes(F.col("value"))
+    text_after = F.nullif(F.substring(F.trim(F.regexp_replace(F.regexp_extract("after", "^([^<>]+)<", 1), r"\s+", " ")), 1, 120), F.lit(""))
+    return got.select("page_id", "pos", F.nullif(F.coalesce(attrs["href"], attrs["class"]), F.lit("")).alias("target"), text_after.alias("name"))
+
+
+@query(f"SELECT page_id, string_agg(k || ':' || n, ',' ORDER BY k) AS notes FROM (SELECT page_id, regexp_extract(tag, '^<(a|h1|div)', 1) AS k, count(*) AS n FROM ({TAG_SQL}) GROUP BY ALL) GROUP BY page_id")
+def candidate_notes(spark, d):
+    got = markup.candidates(table(spark, d, "pages"), "page_id", "html", [r"<a\b[^>]*>", r"<div\b[^>]*>", r"<h1\b[^>]*>"])
+    return markup.pattern_counts(got.withColumn("kind", F.element_at(F.array(F.lit("a"), F.lit("div"), F.lit("h1")), F.col("pattern") + 1)), "page_id", "kind")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN substr(trim(p_name), 1, 120) WHEN p_size % 3 = 1 THEN p_type ELSE 'Unknown Family' END AS family,
+  CASE WHEN p_size % 3 = 0 THEN 'jsonld' WHEN p_size % 3 = 1 THEN 'title' ELSE 'default' END AS source, CASE WHEN p_size % 3 = 0 THEN p_brand END AS brand FROM part""")
+def family_cascade(spark, d):
+    """Parts as pages: a name in JSON-LD behind a broken block, in the title, or nowhere."""
+    block = '<script type="application/ld+json">{bad</script><script type="application/ld+json">{"z":[1,{"name":7,"brand":"%s"}],"a":{"name":"%s","brand":"late"}}</script>'
+    page = F.when(F.col("p_size") % 3 == 0, F.format_string(block, "p_brand", "p_name")).when(F.col("p_size") % 3 == 1, F.format_string("<title>%s</title>", "p_type")).otherwise("")
+    rows = table(spark, d, "part").select("p_partkey", page.alias("page")).select("p_partkey", "page", markup.linked_data(markup.blocks(F.col("page"))).alias("l"))
+    got = markup.first_of([("jsonld", F.col("l.name")), ("title", text.page_title(F.col("page")))], "Unknown Family")
+    return rows.select("p_partkey", got.alias("f"), "l.brand").select("p_partkey", F.col("f.value").alias("family"), F.col("f.source").alias("source"), "brand")
+
+
+VERTEX_SQL = "SELECT vec_id, i, embedding[2 * i + 1]::DOUBLE AS x, embedding[2 * i + 2]::DOUBLE AS y FROM embeddings, range(32) t(i)"
+
+
+def _vertices(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(rasters.points(F.col("embedding"))).alias("i", "p"))
+    return e.select("vec_id", "i", "p.x", "p.y")
+
+
+@query(f"""WITH p AS ({VERTEX_SQL}), d AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS d FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY i)), s AS (SELECT *, sum(d) OVER (PARTITION BY vec_id ORDER BY i) / sum(d) OVER (PARTITION BY vec_id) AS t FROM d),
+  g AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(t) OVER w AS t1 FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY i)), k AS (SELECT vec_id, k, arg_min(x + (x1 - x) * (k / 16 - t) / (t1 - t), i) AS x, arg_min(y + (y1 - y) * (k / 16 - t) / (t1 - t), i) AS y FROM g, range(17) r(k)
+  WHERE t1 > t AND k / 16 >= t - 1e-10 AND k / 16 <= t1 + 1e-10 GROUP BY ALL) SELECT vec_id, count(*) AS n, round(sum(x * (k + 1)), 5) AS sx, round(sum(y * (k + 1)), 5) AS sy FROM k GROUP BY vec_id""")
+def resampled_lines(spark, d):
+    """Each vector as an open polyline, at 17 equal distances."""
+    got = curves.resampled(_vertices(spark, d), "vec_id", 17)
+    weighted = lambda c: F.round(F.sum(F.col(c) * (F.col("k") + 1)), 5)
+    return got.groupBy("vec_id").agg(F.count("*").alias("n"), weighted("x").alias("sx"), weighted("y").alias("sy"))
+
+
+@query(f"WITH p AS ({VERTEX_SQL}), m AS (SELECT a.vec_id, a.i, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS m FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i < 16 AND b.i >= 16 GROUP BY ALL) SELECT vec_id, round(sqrt(max(m)), 6) AS residual FROM m GROUP BY vec_id")
+def curve_residual(spark, d):
+    """How far the first half of a vector's points lies from the second."""
+    e = table(spark, d, "embeddings").select("vec_id", rasters.points(F.col("embedding")).alias("p"))
+    return e.select("vec_id", F.round(curves.residual(F.slice("p", 1, 16), F.slice("p", 17, 16)), 6).alias("residual"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS px, l_tax * 100 AS py, l_discount * 100 AS bx, l_linenumber AS by_ FROM lineitem),
+  t AS (SELECT *, greatest(0, least(1, (px * bx + py * by_) / (bx * bx + by_ * by_))) AS t FROM b)
+  SELECT l_orderkey, l_linenumber, round(sqrt((px - t * bx) ** 2 + (py - t * by_) ** 2), 5) AS distance, CAST(greatest(4, least(32, ceil(2 * pi() / (16384 * 0.25 / px) ** 0.25))) AS INTEGER) AS splits FROM t""")
+def segment_measures(spark, d):
+    zero = F.lit(0.0)
+    far = curves.segment_distance(F.col("l_quantity"), F.col("l_tax") * 100, zero, zero, F.col("l_discount") * 100, F.col("l_linenumber"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(far, 5).alias("distance"), curves.split_count(F.col("l_quantity"), 0.25).alias("splits"))
+
+
+@query(f"""WITH b AS ({E64}), p AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, CASE WHEN hi > lo THEN (CAST(e[i + 1] AS DOUBLE) - lo) / (hi::DOUBLE - lo) ELSE 0 END AS v FROM b, range(64) t(i)),
+  c AS (SELECT p.vec_id, p.x, p.y, p.v AS tl, q.v AS tr, r.v AS br, s.v AS bl FROM p JOIN p q ON q.vec_id = p.vec_id AND q.x = p.x + 1 AND q.y = p.y JOIN p r ON r.vec_id = p.vec_id AND r.x = p.x + 1 AND r.y = p.y + 1 JOIN p s ON s.vec_id = p.vec_id AND s.x = p.x AND s.y = p.y + 1),
+  m AS (SELECT *, (tl > 0.5)::INT + 2 * (tr > 0.5)::INT + 4 * (br > 0.5)::INT + 8 * (bl > 0.5)::INT AS k, (0.5 - tl) / (tr - tl) AS t, (0.5 - tr) / (br - tr) AS r, (0.5 - bl) / (br - bl) AS b, (0.5 - tl) / (bl - tl) AS l, (tl + tr + br + bl) / 4 > 0.5 AS j FROM c),
+  g AS (SELECT vec_id, CASE WHEN k IN (1, 14) THEN [sqrt(t * t + l * l)] WHEN k IN (2, 13) THEN [sqrt((1 - t) ** 2 + r * r)] WHEN k IN (4, 11) THEN [sqrt((1 - r) ** 2 + (1 - b) ** 2)] WHEN k IN (8, 7) THEN [sqrt(b * b + (1 - l) ** 2)] WHEN k IN (3, 12) THEN [sqrt(1 + (l - r) ** 2)]
+  WHEN k IN (6, 9) THEN [sqrt(1 + (t - b) ** 2)] WHEN (k = 5 AND j) OR (k = 10 AND NOT j) THEN [sqrt((1 - t) ** 2 + r * r), sqrt(b * b + (1 - l) ** 2)] WHEN k IN (5, 10) THEN [sqrt(t * t + l * l), sqrt((1 - r) ** 2 + (1 - b) ** 2)] ELSE [] END AS s FROM m)
+  SELECT vec_id, CAST(sum(len(s)) AS BIGINT) AS segments, round(sum(coalesce(list_sum(s), 0)), 5) AS length FROM g GROUP BY vec_id""")
+def contour_lengths(spark, d):
+    """Marching squares over each vector as an 8 x 8 raster."""
+    e = table(spark, d, "embeddings").select("vec_id", rasters.rescaled(F.col("embedding").cast("array<double>")).alias("v"))
+    e = e.select("vec_id", curves.contour_segments(F.col("v"), 8, 8, 0.5).alias("s"))
+    length = rasters.total(F.transform("s", lambda a: F.hypot(a["u"] - a["x"], a["v"] - a["y"])))
+    return e.select("vec_id", F.size("s").cast("long").alias("segments"), F.round(length, 5).alias("length"))
