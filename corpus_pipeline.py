@@ -17,7 +17,7 @@ from glyphmill.storage import scratch_root
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

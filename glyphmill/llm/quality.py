@@ -16,11 +16,15 @@ from glyphmill.storage import materialize
 
 WORD_GAPS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Abusive words of which a text must hold few.
+#: Abusive English words of which a text in any language must hold few. What labels show is learned (toxic_words).
 ABUSE = ("trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron", "whore")
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 POSTERIOR = 0.5
 ROUNDS = 20
+#: The fit of toxic words: labels of a class used at most, languages, words kept for each language, toxic texts that a word
+#: needs, its least log-odds, and the sum of log-odds from which a text is toxic (no word reaches it alone in small tables).
+LABELS, LANGUAGES, LEXICON, LEAST_TOXIC, ODDS, TOXIC = 20_000, 20, 200, 3, 3.5, 6.0
+SEPARATORS = WORD_GAPS + ".,;:!?\"'()[]{}<>|/\\*#$%&+=~`^_-"
 
 
 def _words(text: Column) -> Column:
@@ -37,10 +41,52 @@ def _covered(positions: Column, width: int) -> Column:
     )
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def _tokens(text: Column) -> Column:
+    """Lower-case words without punctuation, some of them empty."""
+    return F.split(F.lower(F.translate(text, SEPARATORS, " " * len(SEPARATORS))), " ")
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame | None) -> dict[str, dict[str, float]]:
+    """Language -> word -> log-odds of the share of toxic labelled texts with the word against that of clean ones.
+
+    At most about LABELS labels of either class are used, chosen by a hash of doc_id, so the fit doesn't grow with the
+    tables. A language whose labels single out no word is missing.
+    """
+    if labels is None or not {"doc_id", "lang"} <= set(docs.columns):
+        return {}
+    n = {r["toxic"]: r["count"] for r in labels.filter("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    if len(n) < 2:
+        return {}
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, (LABELS << 20) // n[1]).otherwise((LABELS << 20) // n[0])
+    some = F.broadcast(labels.filter("toxic in (0, 1)").filter(part).select("doc_id", F.col("toxic").cast("int").alias("toxic")))
+    # The empty word stands for the text itself: its counts are those of the texts.
+    words = F.array_distinct(F.concat(_tokens(F.col("text")), F.array(F.lit(""))))
+    rows = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null").join(some, "doc_id").select("lang", "toxic", F.explode(words).alias("w"))
+    counts = rows.groupBy("lang", "w").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).filter(F.col("pos") >= LEAST_TOXIC)
+    counts = materialize(counts, "toxic")
+    out = {}
+    for r in counts.filter("w = ''").orderBy(F.desc("pos"), "lang").limit(LANGUAGES).collect():
+        odds = F.log((F.col("pos") + 0.5) / (r["pos"] + 1)) - F.log((F.col("neg") + 0.5) / (r["neg"] + 1))
+        own = counts.filter((F.col("lang") == r["lang"]) & (F.col("w") != "")).select("w", odds.alias("odds"), (odds * F.col("pos")).alias("rank")).filter(F.col("odds") >= ODDS)
+        found = own.orderBy(F.desc("rank"), "w").limit(LEXICON).collect()
+        if found:
+            out[r["lang"]] = {x["w"]: x["odds"] for x in found}
+    return out
+
+
+def _learned(text: Column, lang: Column, words: dict[str, dict[str, float]]) -> Column:
+    """Sum of the log-odds of a text's distinct toxic words; null where its language has no evidence."""
+    if not words:
+        return F.lit(None).cast("double")
+    table = F.create_map(*[x for k, v in words.items() for x in (F.lit(k), F.create_map(*[F.lit(y) for pair in v.items() for y in pair]))])
+    own = F.try_element_at(table, lang)
+    return F.aggregate(F.array_intersect(_tokens(text), F.map_keys(own)), F.lit(0.0), lambda a, w: a + F.try_element_at(own, w))
+
+
+def measure(docs: DataFrame, words: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what else the rules need in _q.
 
-    A null text has no words; an empty table gives an empty table. Other columns of docs pass unchanged.
+    words: toxic words by language, for the column lang of docs. A null text has no words; an empty table gives an empty table. Other columns of docs pass unchanged.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("_words", _words(text)).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -70,6 +116,7 @@ def measure(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_at", repeats)
     low = F.lower(text)
     abuse = F.regexp_count(low, F.lit(r"\b(" + "|".join(ABUSE) + r")\b"))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     no_gaps = F.translate(text, WORD_GAPS, "")
     df = df.select(
         *docs.columns,
@@ -81,6 +128,8 @@ def measure(docs: DataFrame) -> DataFrame:
         F.struct(
             F.size("_lines").alias("lines"),
             abuse.alias("abuse"),
+            _learned(text, lang, words or {}).alias("toxic"),
+            F.coalesce(lang == "en", F.lit(False)).alias("listed"),
             (F.length(text) - F.length(F.translate(text, "!", ""))).alias("bangs"),
             (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÀÇÑÓÍÁÚ", ""))).alias("upper"),
             F.regexp_count(text, F.lit(r"[\x20\n]\|[\x20\n]")).alias("bars"),
@@ -92,7 +141,10 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def votes() -> dict[str, Column]:
-    """Rule name -> +1, -1 or 0 from the measures. Between its two bounds a rule abstains."""
+    """Rule name -> +1, -1 or 0 from the measures. Between its two bounds a rule abstains.
+
+    The abuse rule finds a text good only where its language has evidence: learned words, or the list for English.
+    """
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
 
@@ -100,6 +152,8 @@ def votes() -> dict[str, Column]:
         return F.when(x <= good, 1).when(x >= bad, -1).otherwise(0).cast("int")
 
     mean = chars / n
+    listed = (F.col("_q.abuse") >= 3) | (F.col("_q.abuse") / n >= 0.004)
+    toxic, known = F.coalesce("_q.toxic", F.lit(0.0)), F.col("_q.toxic").isNotNull() | F.col("_q.listed")
     return {
         "symbols": rule(F.col("n_symbols") / n, 0.05, 0.3),
         "bars": rule(F.col("_q.bars") / n, 0.03, 0.15),
@@ -109,7 +163,7 @@ def votes() -> dict[str, Column]:
         "repeats": rule(F.col("n_repeat_words") / n, 0.05, MAX_REPEAT_PERCENT / 100),
         "length": F.when(n < MIN_WORDS, -1).when(n >= 30, 1).otherwise(0).cast("int"),
         "word_length": F.when((mean < 2) | (mean > 14), -1).when((mean >= 3) & (mean <= 10), 1).otherwise(0).cast("int"),
-        "abuse": F.when(F.col("_q.abuse") == 0, 1).when((F.col("_q.abuse") >= 3) | (F.col("_q.abuse") / n >= 0.004), -1).otherwise(0).cast("int"),
+        "abuse": F.when(listed | (toxic >= TOXIC), -1).when((F.col("_q.abuse") == 0) & (toxic == 0) & known, 1).otherwise(0).cast("int"),
     }
 
 
@@ -163,15 +217,15 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> Model:
     return model
 
 
-def judge(docs: DataFrame, keep: tuple[str, ...] = ("text",)) -> DataFrame:
-    """Rows of docs with the measures, base_failed, posterior and kept.
+def judge(docs: DataFrame, keep: tuple[str, ...] = ("text",), words: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """Rows of docs with the measures, base_failed, posterior and kept. words: toxic words by language.
 
     kept: not base_failed and the posterior is at least POSTERIOR. Null and empty texts have no words, so fail.
     Equal texts get equal verdicts; rows are never merged. If the texts are to be kept there are two passes over
     them, for the pattern counts and for the verdicts; else one, whose measures are written.
     """
     names = list(votes())
-    voted = measure(docs).withColumns(votes()).drop("_q")
+    voted = measure(docs, words).withColumns(votes()).drop("_q")
     if "text" not in keep:
         voted = materialize(voted.drop("text"), "measures")
     patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes")
@@ -181,16 +235,20 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("text",)) -> DataFrame:
     return out.drop(*names)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def _judged(docs: DataFrame) -> list[str]:
+    return ["text", *(["lang"] if "lang" in docs.columns else [])]
+
+
+def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The rows of docs whose verdict is kept, with the columns of docs."""
     own = [f"_in{i}" for i in range(len(docs.columns))]
-    inner = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)]).alias("_row"))
+    inner = docs.select(*_judged(docs), F.struct(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)]).alias("_row"))
     # A filter would be pushed below the measures, with their whole expressions in it once for each mention; an explode isn't.
-    kept = judge(inner).select("_row", F.explode(F.when(F.col("kept"), F.array(F.lit(0)))))
+    kept = judge(inner, words=toxic_words(docs, labels)).select("_row", F.explode(F.when(F.col("kept"), F.array(F.lit(0)))))
     return kept.select(*[F.col(f"_row.{o}").alias(c) for c, o in zip(docs.columns, own)])
 
 
-def op3(docs: DataFrame) -> DataFrame:
-    """The result rows of the quality query."""
-    out = judge(docs.select("doc_id", "text"), keep=())
+def op3(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The result rows of the quality query. labels: doc_id, toxic; without them only the English list speaks of abuse."""
+    out = judge(docs.select("doc_id", *_judged(docs)), keep=(), words=toxic_words(docs, labels))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

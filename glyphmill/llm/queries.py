@@ -18,7 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_site_style_tree": lambda spark, d: pages.op1(table(spark, d, "pages")),
         "op2_entropy_mix": _documents(mixing.op2),
-        "op3_weak_supervision": _documents(quality.op3),
+        "op3_weak_supervision": lambda spark, d: quality.op3(table(spark, d, "documents"), table(spark, d, "labels")),
         "op4_tensored_minhash": _documents(minhash.op4),
         "op5_wu_manber": lambda spark, d: decontam.op5(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op6_super_kmers": _documents(substrings.op6),
