@@ -7,6 +7,7 @@ family's collections with any other text drop out before keys are formed. Candid
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,10 @@ _SEED = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, size=(2, 2
 _MULTIPLY, _ADD = _SEED[0] | np.uint64(1), _SEED[1]
 
 
-def shingles(text: bytes | None) -> set[bytes]:
-    """Distinct two-word shingles, A-Z as a-z; a single word is its own shingle."""
+def shingles(text: bytes | None, width: int = 2) -> set[bytes]:
+    """Distinct shingles of width words, A-Z as a-z; a text with fewer words is its own shingle."""
     words = text.lower().split() if text else []
-    return {b" ".join(p) for p in zip(words, words[1:])} if len(words) > 1 else {b" ".join(words)} if words else set()
+    return {b" ".join(p) for p in zip(*(words[k:] for k in range(width)))} if len(words) >= width else {b" ".join(words)} if words else set()
 
 
 def _hash(sets: list[set[bytes]]) -> np.ndarray:
@@ -53,7 +54,7 @@ def _signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> doc_id, n_shingles, same (identity of the set), bands, bits (parity bitmap)."""
     prime = np.uint64(0x100000001B3)
     for batch in batches:
@@ -62,7 +63,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while at < len(ids):
             sets, size, begin = [], 0, at
             while at < len(ids) and size < STEP:
-                sets.append(shingles(texts[at].as_py()))
+                sets.append(shingles(texts[at].as_py(), width))
                 size += len(sets[-1])
                 at += 1
             full = [i for i, s in enumerate(sets) if s]
@@ -100,7 +101,7 @@ def _fits(n: str, bits: str, m: str, others: str) -> Column:
     return sizes & (unlike * (100 + PERCENT) <= (F.col(n) + F.col(m)) * (100 - PERCENT))
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Of pairs (a, b) those whose sets have the similarity: exact, from the texts."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -113,8 +114,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for i in range(len(a)):
                 # Rows of one left text mostly follow each other.
                 if last[0] != a[i]:
-                    last = (a[i], shingles(batch.column("text_a")[i].as_py()))
-                one, two = last[1], shingles(batch.column("text_b")[i].as_py())
+                    last = (a[i], shingles(batch.column("text_a")[i].as_py(), width))
+                one, two = last[1], shingles(batch.column("text_b")[i].as_py(), width)
                 common = len(one & two)
                 keep.append(100 * common >= PERCENT * (len(one) + len(two) - common))
             mask = pa.array(keep, pa.bool_())
@@ -123,23 +124,23 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes = batch.column("node").to_numpy()
         for a in range(0, len(nodes), 500):
-            sets = [shingles(t.as_py()) for t in batch.column("text")[a : a + 500]]
+            sets = [shingles(t.as_py(), width) for t in batch.column("text")[a : a + 500]]
             n = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[a : a + 500], n)), pa.array(_hash(sets).view(np.int64))], names=["node", "g"])
 
 
-def _by_prefix(rest: DataFrame, texts: DataFrame) -> DataFrame:
+def _by_prefix(rest: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Pairs (a, b) of different components among rest that may have the similarity; none that has it is left out.
 
     In any order of shingles two such sets share one among the first 20 % + 1 of each. The order here is rarest first: in a
     group of near copies these are the words that set a copy apart, so the copies of a large group don't all meet.
     Shingles of a single text come before all others and meet nothing; they are counted, not moved.
     """
-    rows = texts.join(rest.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_shingle_rows, "node long, g long")
+    rows = texts.join(rest.select("node"), "node", "left_semi").select("node", "text").mapInArrow(functools.partial(_shingle_rows, width=width), "node long, g long")
     rows = materialize(rows.distinct(), "shingles", release=True)
     common = rows.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
     own = rows.join(common, "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
@@ -168,8 +169,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept; one row for each row.
+def near_duplicates(docs: DataFrame, width: int) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept; one row for each row. width: words of a shingle.
 
     Texts with equal sets are one class, represented by its smallest doc_id; only classes are compared. Rows that
     repeat a doc_id share its component. A row with a null doc_id, or without words, is linked with nothing: its
@@ -177,7 +178,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table key's members with the smallest only; later work is left for members that are still apart.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = base.mapInArrow(_sign, "doc_id long, n_shingles long, same string, bands array<long>, bits array<long>")
+    signed = base.mapInArrow(functools.partial(_sign, width=width), "doc_id long, n_shingles long, same string, bands array<long>, bits array<long>")
     signed = materialize(signed, "signed")
     filled = signed.filter("doc_id is not null and same is not null")
     classes = filled.groupBy("same").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "bits"), "doc_id").alias("r"))
@@ -204,16 +205,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = materialize(star.join(left, "a").join(right, "b").filter(_fits("n", "bits", "m", "others")).select("a", "b").distinct(), "pairs", release=True)
     # The texts of nodes that have candidates at all; every comparison reads only these.
     texts = materialize(base.withColumnRenamed("doc_id", "node").join(keys.select("x.node").distinct(), "node", "left_semi"), "texts", release=True)
-    links = materialize(_confirm(star, texts), "links", release=True)
+    links = materialize(_confirm(star, texts, width), "links", release=True)
     comp = components(links)
     # Members of one key that are still apart; pairs with the key's smallest have been compared.
     others = keys.join(heads, F.col("key") == F.col("k")).filter(F.col("x.node") != F.col("y.node")).select("key", "x")
     placed = others.join(comp, F.col("x.node") == comp["node"], "left").select("key", "x", F.coalesce(comp["comp"], F.col("x.node")).alias("comp"))
     apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("key").alias("k"))
     rest = placed.join(apart, F.col("key") == F.col("k"), "left_semi").select(F.col("x.node").alias("node"), "comp").distinct().join(classes.select("node", "n", "bits"), "node")
-    more = _by_prefix(materialize(rest, "apart"), texts).join(star, ["a", "b"], "left_anti")
+    more = _by_prefix(materialize(rest, "apart"), texts, width).join(star, ["a", "b"], "left_anti")
     more = materialize(more, "pairs", release=True)
-    found = materialize(_confirm(more, texts), "links", release=True)
+    found = materialize(_confirm(more, texts, width), "links", release=True)
     links = links.union(found)
     comp = components(links.union(members.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))))
     out = signed.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -222,10 +223,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs.select("doc_id", "text"))
+    return near_duplicates(docs.select("doc_id", "text"), width=2)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept: of each group the document with the smallest doc_id (all its rows, if they repeat)."""
-    dropped = near_duplicates(docs.select("doc_id", "text")).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    """The rows of docs that are kept: of each group the document with the smallest doc_id (all its rows, if they repeat).
+
+    Groups are those of five-word shingles; the two words of op4 are that query's own contract.
+    """
+    dropped = near_duplicates(docs.select("doc_id", "text"), width=5).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
