@@ -13,7 +13,7 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,17 +174,16 @@ def _before(text: str, at: int) -> str:
     return words[-1] if words else ""
 
 
-def lattice(text: str, stretch: list[tuple[int, int]]) -> list[list[tuple[int, tuple[int, ...]]]]:
-    """For each end (in pieces) the spans that end there: their first piece and features."""
-    out: list[list[tuple[int, tuple[int, ...]]]] = [[]]
+def lattice(text: str, stretch: list[tuple[int, int]]) -> Iterator[list[tuple[int, tuple[int, ...]]]]:
+    """For each end (in pieces, from 0) the spans that end there: their first piece and features."""
+    yield []
     for j in range(1, len(stretch) + 1):
         row = []
         for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
             a, b = stretch[i][0], stretch[j - 1][1]
             if b - a <= 80:
                 row.append((i, features(text[a:b], _before(text, a) if i == 0 else "")))
-        out.append(row or [(j - 1, (39,))])
-    return out
+        yield row or [(j - 1, (39,))]
 
 
 class Field:
@@ -195,15 +194,19 @@ class Field:
     def scores(self, rows: list) -> list[list[tuple[int, list[float]]]]:
         return [[(i, self.w[:, list(f)].sum(1).tolist()) for i, f in row] for row in rows]
 
-    def best(self, rows: list) -> list[tuple[int, int, int]]:
-        """The best labelled segments (first piece, end, label); outside segments are single pieces."""
-        s = self.scores(rows)
+    def best(self, rows: Iterable) -> list[tuple[int, int, int]]:
+        """The best labelled segments (first piece, end, label); outside segments are single pieces.
+
+        Time is linear in pieces times LONGEST. Only the last scores are held, and two bytes for each piece and label.
+        """
         move = self.move.tolist()
-        value = [[0.0] * LABELS]
-        back: list = [None]
-        for j in range(1, len(rows)):
-            top = [(-math.inf, 0, 0)] * LABELS
-            for i, own in s[j]:
+        value, n = {0: [0.0] * LABELS}, 0
+        lengths, labels = bytearray(LABELS), bytearray(LABELS)
+        for j, row in enumerate(rows):
+            if not j:
+                continue
+            top = [(-math.inf, j, 0)] * LABELS
+            for i, own in self.scores([row])[0]:
                 for y in range(LABELS):
                     if y == NONE and j - i > 1:
                         continue
@@ -211,12 +214,14 @@ class Field:
                         v = value[i][z] + move[z][y] + own[y]
                         if v > top[y][0]:
                             top[y] = (v, i, z)
-            value.append([t[0] for t in top])
-            back.append(top)
-        out, j = [], len(rows) - 1
+            value[j], n = [t[0] for t in top], j
+            value.pop(j - LONGEST, None)
+            lengths.extend(j - t[1] for t in top)
+            labels.extend(t[2] for t in top)
+        out, j = [], n
         y = max(range(LABELS), key=lambda k: value[j][k])
         while j:
-            _, i, z = back[j][y]
+            i, z = j - lengths[j * LABELS + y], labels[j * LABELS + y]
             out.append((i, j, y))
             j, y = i, z
         return out[::-1]
@@ -323,7 +328,7 @@ def trained(rounds: int = 14) -> Field:
                 gold += [(x, x + 1, NONE) for x in range(at, i)] + [(i, j, k)]
                 at = j
             gold += [(x, x + 1, NONE) for x in range(at, len(stretch))]
-            data.append((lattice(text, stretch), gold))
+            data.append((list(lattice(text, stretch)), gold))
     gw, gm = np.full(field.w.shape, 1e-6), np.full(field.move.shape, 1e-6)
     for _ in range(rounds):
         for a in range(0, len(data), 32):
@@ -340,16 +345,14 @@ def trained(rounds: int = 14) -> Field:
 def added(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
     """Spans of the field that overlap none of the base."""
     out = []
-    for whole in pieces(text):
-        for at in range(0, len(whole), 64):
-            stretch = whole[at : at + 64]
-            if sum(b - a for a, b in stretch) < 6:
-                continue
-            for i, j, k in field.best(lattice(text, stretch)):
-                if k != NONE:
-                    a, b = stretch[i][0], stretch[j - 1][1]
-                    if not any(a < y and x < b for x, y, _ in base):
-                        out.append((a, b, k))
+    for stretch in pieces(text):
+        if sum(b - a for a, b in stretch) < 6:
+            continue
+        for i, j, k in field.best(lattice(text, stretch)):
+            if k != NONE:
+                a, b = stretch[i][0], stretch[j - 1][1]
+                if not any(a < y and x < b for x, y, _ in base):
+                    out.append((a, b, k))
     return out
 
 
