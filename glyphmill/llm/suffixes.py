@@ -1,13 +1,12 @@
-"""Suffix-array dedup by prefix-free parsing: bytes of 100-byte strings that also start earlier are removed.
+"""Dedup by minimiser runs: bytes of 100-byte strings that also start earlier are removed.
 
-Rolling-hash triggers cut each text into phrases. The trigger of a position is the smallest rolling hash among the
-32-byte parts of its next 100 bytes, and a phrase is a run of positions with one trigger together with the bytes that
-its last position still needs. So two equal 100-byte strings always lie in phrases of the same trigger (which a
-trigger by "hash mod p = 0" can't promise for strings of 100 bytes), whatever stands around them.
+The query is named after prefix-free parsing, but that method isn't built: there is no suffix array of a dictionary, none of a
+parse, and no order of the corpus's suffixes. The code is that of op6 (runs.repeated) over bytes instead of words.
 
-Dictionary: the distinct phrases, each once, with the place where the corpus has it first. Parse: for each text its
-phrases in order. The suffixes of the dictionary's phrases are sorted among phrases of one trigger, where suffixes
-that agree in 100 bytes come together, and the parse gives their order in the corpus.
+The trigger of a position is the smallest rolling hash among the 32-byte parts of its next 100 bytes (a minimiser), and a
+run is a stretch of positions with one trigger together with the bytes that its last position still needs. So two equal
+100-byte strings always lie in runs of the same trigger, whatever stands around them. The strings of a trigger are looked
+up in order of their first places; results are exact.
 """
 
 from __future__ import annotations
