@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from glyphmill.llm import runs, substrings, suffixes
@@ -89,13 +90,43 @@ def test_words(spark, monkeypatch, together):
 
 @pytest.mark.parametrize("together", [400, 1])
 def test_bytes(spark, monkeypatch, together):
-    monkeypatch.setattr(runs, "TOGETHER", together)
+    monkeypatch.setattr(suffixes, "TOGETHER", together)
     docs = texts(2)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = sorted(map(tuple, suffixes.op10(df).collect()), key=str)
     assert got == sorted(brute_bytes(docs, 100), key=str)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_classes_of_equal_strings(seed):
+    """The two orders around a trigger give the repeats that a lookup of all strings gives."""
+    rng = random.Random(seed)
+    base = bytes(rng.choice(b"ab") for _ in range(400))
+    texts_ = []
+    for _ in range(30):
+        a = rng.randrange(200)
+        t = bytearray(base[a : a + rng.randint(100, 200)])
+        if rng.random() < 0.7:
+            t[rng.randrange(len(t))] = rng.choice(b"abc")
+        texts_.append(bytes(t))
+    entries = {}
+    for r in runs.find(texts_, suffixes.SPEC):
+        for row, start, n, h, at, a, b in zip(r.row, r.start, r.count, r.h, r.place, r.at, r.to):
+            entries.setdefault(r.data[a:b], (int(h), int(row), int(start), int(at), int(n)))
+    packed = list(entries)
+    h, row, start, at, n = (np.array(x) for x in zip(*entries.values()))
+    places = sorted({(x, s + y) for x, s, y in zip(row, start, at)})
+    rank = np.array([places.index((x, s + y)) for x, s, y in zip(row, start, at)])
+    which, where = suffixes.repeats(h, rank, at, n, np.zeros(len(h), int), np.full(len(h), suffixes.FAR), packed)
+    first = {}
+    for i, t in enumerate(packed):
+        for j in range(n[i]):
+            p = (row[i], start[i] + j)
+            first[t[j : j + 100]] = min(first.get(t[j : j + 100], p), p)
+    want = [(i, j) for i, t in enumerate(packed) for j in range(n[i]) if first[t[j : j + 100]] < (row[i], start[i] + j)]
+    assert want and list(zip(which.tolist(), where.tolist())) == want
+
+
 def test_pieces(monkeypatch):
     """Texts longer than a group lose no window."""
     monkeypatch.setattr(runs, "GROUP", 64)
