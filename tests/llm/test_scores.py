@@ -1,6 +1,8 @@
 """Language model, personal data, mixing and page text against plain versions."""
 
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -141,14 +143,68 @@ def test_line_chunks(spark):
     ("<body><nav>m</nav><article><h1>A &amp; B</h1><p>x  y<br>z<p>w<div class=ad>no</div></article><footer>f</footer>", "A & B\nx y z\nw"),
     ("<div class='sidebar'>s</div><div>main<script>var a='</p>'</script> text</div><form>f</form>", "main text"),
     ("<article><p>a<b>b</p><p>c</article><div id=comments><p>r</div>", "ab\nc"), ("a < b <!-- c --> d", "a < b d"),
+    ("<article><p data-x=it's>hello</p><p>world</p></article>", "hello\nworld"), ('<p title=5">one</p><p class="a"">two</p>', "one\ntwo"), ('<p title="a>b">x</p>', "x"),
+    ("<article><p class='share-price'>9.5</p><p class='notice-of-motion'>moved</p><p class='share-buttons'>no</p></article>", "9.5\nmoved"),
+    ("<article><p>story</p><ul class=feedback><li>r</ul><section><h2>3 Comments</h2><p>me too</p></section></article>", "story"),
+    ("<article>teaser</article><div id=content>long story of the day</div>", "long story of the day"),
 ])
 def test_page(html, text):
     blocks, _ = pages.parse(html)
     assert pages.chosen(blocks, set()) == text
 
 
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    blocks, _ = pages.parse("<div>x" * 20_000 + "</p>" * 20_000)
+    assert len(blocks) == 20_000 and time.time() - began < 5
+
+
 def test_site_tree(spark):
     page = lambda i: f"<body><div><p>Read on</p><p>story {i} of many</p></div></body>"
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(12)] + [(99, None, None)]
     got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {**{i: f"story {i} of many" for i in range(12)}, 99: ""}
+
+
+def test_site_tree_inside_articles(spark):
+    """Only the tree can tell: a box without a telling name that an host's articles share; copies of one page don't make it low."""
+    page = lambda i: f"<article><h1>Title {i}</h1><div class=x7>Our shop has new offers</div><p>story {i} is a long one</p></article>"
+    copy = lambda i: f"<article><h1>A tale</h1><p>told again and again by many</p><p>{i}</p></article>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(10)] + [(20 + i, f"http://c.example/{i}", copy(i)) for i in range(10)] + [(40, "http://one.example/", page(40))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, key string")
+    got = {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+    want = {i: f"Title {i}\nstory {i} is a long one" for i in range(10)} | {20 + i: f"A tale\ntold again and again by many\n{i}" for i in range(10)}
+    assert got == want | {40: "Title 40\nOur shop has new offers\nstory 40 is a long one"}
+
+
+def test_importance_against_plain_entropy(spark):
+    """Removed blocks are those that a plain computation of entropies over the pages of a host finds."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(24):
+        parts = [f"<p>text {i} {j}</p>" for j in range(rng.randint(1, 3))] + [f"<div class=b{k}>box {k}</div>" for k in range(4) if rng.random() < (0.95, 0.7, 0.4, 0.1)[k]]
+        rng.shuffle(parts)
+        rows.append((i, "//h/", f"<body><section>{''.join(parts)}</section></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    parsed = {i: pages.parse(h) for i, _, h in rows}
+    shapes, texts = {}, {}
+    for blocks, children in parsed.values():
+        for p in {p for b in blocks for p in b.above}:
+            shapes.setdefault(p, []).append(tuple(children.get(p, [])))
+        for node, text in {(b.node, b.text) for b in blocks}:
+            texts[node, text] = texts.get((node, text), 0) + 1
+    entropy = lambda xs: -sum(xs.count(x) / len(xs) * math.log(xs.count(x) / len(xs)) for x in set(xs)) / math.log(len(xs)) if len(xs) > 1 else 1
+    want = {}
+    for i, (blocks, _) in parsed.items():
+        low = set()
+        for k, b in enumerate(blocks):
+            n, m = texts[b.node, b.text], len(shapes[b.node])
+            score = sum(0.1 * 0.9**d * entropy(shapes[p]) for d, p in enumerate(b.above)) + 0.9 ** len(b.above) * (1 - math.log(n) / math.log(m) if m > 1 else 1)
+            if m >= pages.LEAST_PAGES and n >= pages.LEAST_REPEATS and score < pages.THRESHOLD:
+                low.add(k)
+        want[i] = low
+    keyed = df.withColumn("key", df["page_id"])
+    got = {r["key"]: set(r["low"]) for r in pages.low_branches(keyed).collect()}
+    assert got == {i: x for i, x in want.items() if x} and 0 < sum(map(len, got.values())) < sum(len(b) for b, _ in parsed.values())
+
+
