@@ -23,8 +23,10 @@ STATES = 6
 #: Tokens that tasks hold in memory, at most; those of them with a class of their own; classes by ending.
 HEAD, OWN, ENDINGS = 100_000, 6000, 2048
 ROUNDS = 6
-#: Tokens of a sequence in training; texts are cut there, none is left out.
-STRETCH = 48
+#: Tokens whose forward values are held at once for one text in training; what lies before is computed again from the last held.
+SPAN = 256
+#: Texts of a batch in training are joined until they have so many tokens.
+TOKENS = 1_000_000
 FOLDS, HELD_OUT = 5, 1
 END = b""
 _TRAIL = b".,;:!?#*$%&|\"')"
@@ -146,37 +148,64 @@ def first_model(by_class: np.ndarray, within: np.ndarray) -> Model:
     return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(0), within)
 
 
+def _ahead(model: Model, codes: np.ndarray, begin: np.ndarray, active: list[int], first: int, last: int, a: np.ndarray | None, keep: bool) -> tuple[np.ndarray | None, list, list]:
+    """Scaled forward values of the texts from position first up to last, from those before; with keep all of them and their scales."""
+    kept, scales = [], []
+    for t in range(first, last):
+        n = active[t]
+        seen = model.emit[codes[begin[:n] + t]]
+        a = model.start * seen if t == 0 else (a[:n] @ model.move) * seen
+        scale = a.sum(1)
+        a = a / scale[:, None]
+        if keep:
+            kept.append(a)
+            scales.append(scale)
+    return a, kept, scales
+
+
 def expect(model: Model, codes: list[np.ndarray]) -> np.ndarray:
-    """Baum-Welch counts of the texts: rows of classes, then of moves from each state, then of starts."""
-    counts = np.zeros((len(model.emit) + STATES + 1, STATES))
-    stretches = [c[a : a + STRETCH] for c in codes for a in range(0, len(c), STRETCH)]
-    heads = {i for i, n in zip(np.cumsum([0, *(-(-len(c) // STRETCH) for c in codes)]), [*map(len, codes), 0]) if n}
-    lengths = np.array([len(s) for s in stretches])
-    for length in np.unique(lengths):
-        which = np.flatnonzero(lengths == length)
-        for part in np.array_split(which, -(-len(which) // 8192)):
-            obs = np.array([stretches[i] for i in part]).T
-            first = np.fromiter((i in heads for i in part), bool, len(part))
-            seen = model.emit[obs]  # T, N, K
-            alpha = np.empty_like(seen)
-            a = model.start * seen[0]
-            scale = np.empty(obs.shape)
-            for t in range(length):
-                if t:
-                    a = (alpha[t - 1] @ model.move) * seen[t]
-                scale[t] = a.sum(1)
-                alpha[t] = a / scale[t][:, None]
-            beta = np.ones((len(part), STATES))
-            for t in range(length - 1, -1, -1):
-                gamma = alpha[t] * beta
-                for k in range(STATES):
-                    counts[: len(model.emit), k] += np.bincount(obs[t], gamma[:, k], len(model.emit))
-                if t:
-                    ahead = seen[t] * beta / scale[t][:, None]
-                    counts[len(model.emit) : -1] += model.move * (alpha[t - 1].T @ ahead)
-                    beta = ahead @ model.move.T
-                else:
-                    counts[-1] += gamma[first].sum(0)
+    """Baum-Welch counts of whole texts: rows of classes, then of moves from each state, then of starts.
+
+    All texts move in step, the longest first. Forward values are held at every SPAN-th position and computed again from there
+    on the way back, so memory is that of SPAN positions of the texts that are so long.
+    """
+    size = len(model.emit)
+    counts = np.zeros((size + STATES + 1, STATES))
+    texts = sorted((c for c in codes if len(c)), key=len, reverse=True)
+    if not texts:
+        return counts
+    lengths = np.array([len(c) for c in texts])
+    flat, begin = np.concatenate(texts), np.cumsum(lengths) - lengths
+    longest = int(lengths[0])
+    active = (len(texts) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")).tolist()
+    marks, a = [None], None
+    for first in range(0, longest - SPAN, SPAN):
+        a, _, _ = _ahead(model, flat, begin, active, first, first + SPAN, a, False)
+        marks.append(a)
+    beta = np.empty((0, STATES))
+    for first in range((longest - 1) // SPAN * SPAN, -1, -SPAN):
+        last = min(first + SPAN, longest)
+        before = marks[first // SPAN]
+        _, alphas, scales = _ahead(model, flat, begin, active, first, last, before, True)
+        seen_classes, seen_gamma = [], []
+        for t in range(last - 1, first - 1, -1):
+            n = active[t]
+            # Texts that end here begin their way back with ones.
+            beta = np.concatenate((beta, np.ones((n - len(beta), STATES))))
+            gamma = alphas[t - first] * beta
+            obs = flat[begin[:n] + t]
+            seen_classes.append(obs)
+            seen_gamma.append(gamma)
+            if t:
+                ahead = model.emit[obs] * beta / scales[t - first][:, None]
+                previous = alphas[t - first - 1][:n] if t > first else before[:n]
+                counts[size:-1] += model.move * (previous.T @ ahead)
+                beta = ahead @ model.move.T
+            else:
+                counts[-1] += gamma.sum(0)
+        obs, gamma = np.concatenate(seen_classes), np.concatenate(seen_gamma)
+        for k in range(STATES):
+            counts[:size, k] += np.bincount(obs, gamma[:, k], size)
     return counts
 
 
@@ -184,10 +213,15 @@ def _expect_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = shared.value, None
         for batch in batches:
-            codes = [np.frombuffer(x.as_py(), np.uint16) for x in batch.column("codes")]
-            for a in range(0, len(codes), 1000):
-                got = expect(model, codes[a : a + 1000])
-                total = got if total is None else total + got
+            held, size = [], 0
+            for x in batch.column("codes"):
+                held.append(np.frombuffer(x.as_py(), np.uint16))
+                size += len(held[-1])
+                if size >= TOKENS:
+                    total = expect(model, held) + (0 if total is None else total)
+                    held, size = [], 0
+            if held:
+                total = expect(model, held) + (0 if total is None else total)
         if total is not None:
             at = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(total[at, k]) for k in range(STATES)]], names=["at", *[f"s{k}" for k in range(STATES)]])

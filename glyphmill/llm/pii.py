@@ -104,7 +104,7 @@ def pieces(text: str) -> Iterator[list[tuple[int, int]]]:
 
 
 def _cores(text: str) -> Iterator[tuple[int, int]]:
-    at = 0
+    at, ahead = 0, 0  # no piece begins between the last place looked at and ahead
     while m := CORE.search(text, at):
         begin = m.start()
         if len(m[0]) > 1:  # name (at) domain
@@ -120,13 +120,16 @@ def _cores(text: str) -> Iterator[tuple[int, int]]:
         while begin > at and (text[begin - 1] in LOCAL or text[begin - 1] in "(@"):
             begin -= 1
         found = False
-        for p in PIECE.finditer(text, begin):
+        for p in PIECE.finditer(text, begin) if ahead <= m.start() else ():
             if p.start() > m.start():
+                ahead = p.start()
                 break
             if p.end() > m.start():
                 yield p.start(), p.end()
                 at, found = p.end(), True
                 break
+        else:
+            ahead = max(ahead, len(text) if ahead <= m.start() else 0)
         if not found:
             at = m.start() + 1
 

@@ -1,5 +1,6 @@
 """Language model, personal data, mixing and page text against plain versions."""
 
+import itertools
 import math
 import random
 import time
@@ -47,6 +48,44 @@ def test_forward_is_a_sum_over_paths():
     assert np.allclose(hmm.forward(model, seqs), [plain(s) for s in seqs])
 
 
+def test_counts_are_sums_over_all_state_paths(monkeypatch):
+    """Baum-Welch counts against an enumeration of every path of states, across the places where forward values are held."""
+    monkeypatch.setattr(hmm, "SPAN", 2)
+    rng = np.random.Generator(np.random.PCG64(2))
+    k, size = hmm.STATES, 4
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(size), k).T, np.zeros(size))
+    texts = [np.array(x, np.uint16) for x in ([0, 1, 3, 2, 1], [2], [3, 3], [1, 0, 2, 2], [])]
+    want = np.zeros((size + k + 1, k))
+    for text in texts:
+        one = np.zeros_like(want)
+        for path in itertools.product(range(k), repeat=len(text)):
+            p = 1.0
+            for t, z in enumerate(path):
+                p *= (model.move[path[t - 1], z] if t else model.start[z]) * model.emit[text[t], z]
+            for t, z in enumerate(path):
+                one[text[t], z] += p
+                if t:
+                    one[size + path[t - 1], z] += p
+                else:
+                    one[-1, z] += p
+        if len(text):
+            want += one / one[-1].sum()
+    assert np.allclose(hmm.expect(model, texts), want)
+
+
+def test_likelihood_never_falls(spark):
+    rng = np.random.Generator(np.random.PCG64(3))
+    texts = [(rng.integers(0, 5, rng.integers(1, 700)) + 5 * (i % 2)).astype(np.uint16) for i in range(30)]
+    model = hmm.first_model(np.bincount(np.concatenate(texts), minlength=10).astype(float), np.zeros(10))
+    before = -np.inf
+    for _ in range(6):
+        likely = hmm.forward(model, texts).sum()
+        assert likely >= before - 1e-9
+        counts = hmm.expect(model, texts)
+        before, emit, move, start = likely, counts[:10], counts[10:-1], counts[-1]
+        model = hmm.Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), model.within)
+
+
 def test_mix(spark):
     df = spark.createDataFrame(DOCS, "doc_id long, text string, source string")
     rows = mixing.op2(df).collect()
