@@ -1,8 +1,11 @@
 """Quality rules combined by weak supervision, in DataFrame functions only.
 
 Rules look at one text and vote good (+1), bad (-1) or abstain (0). Expectation-maximisation over the counts of
-vote patterns (at most 3 ** len(RULES) rows, whatever the input) estimates how often each rule votes and how
-often its vote is right; the posterior probability of quality replaces "all rules must pass".
+vote patterns (at most 3 ** len(votes()) rows for each label, whatever the input) estimates for every rule how often it votes
+and how often its vote is right; the posterior probability of quality replaces "all rules must pass". A text is good, or
+bad in one of several ways (shouted texts and toxic ones have little in common), so the bad class is a mixture. A bounded sample of
+labels, where there are any, says which class is the bad one: the class of a labelled text isn't estimated. All other texts
+have no label, and all of them count.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from glyphmill.storage import materialize
 
 WORD_GAPS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Abusive English words of which a text in any language must hold few. What labels show is learned (toxic_words).
+#: Abusive English words, one more sign for the rule of abuse. What labels show is learned (toxic_words).
 ABUSE = ("trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron", "whore")
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 POSTERIOR = 0.5
@@ -167,88 +170,138 @@ def votes() -> dict[str, Column]:
     }
 
 
-#: Start of the estimates: the share of good texts, and of each rule's good votes among good and bad votes among bad texts.
-PRIOR, GOOD_RIGHT, BAD_RIGHT = 0.8, 0.9, 0.2
-#: Anchors: rules whose bad votes are known to be right. Their shares stay; they say which of the two classes is the bad one.
-ANCHORS = ("symbols", "shouting", "bars", "abuse")
-ANCHOR_SHARES = {True: {1: 0.95, 0: 0.0495, -1: 0.0005}, False: {1: 0.6, 0: 0.1, -1: 0.3}}
+#: Start of the estimates: the share of good texts; the shares of votes of any rule among them; and for each way of being bad, which
+#: begins with one rule, those of that rule and of the others.
+PRIOR = 0.8
+GOOD, OWN, OTHERS = {1: 0.9, 0: 0.08, -1: 0.02}, {1: 0.1, 0: 0.1, -1: 0.8}, {1: 0.8, 0: 0.12, -1: 0.08}
 #: Votes added to each estimate, so that none reaches 0 or 1.
 SMOOTHING = 1.0
 
 
 class Model:
-    """Estimates for the rules: for each class (good, bad) and rule the shares of the votes -1, 0 and 1."""
+    """Estimates: prior, the shares of the classes (good texts and the ways of being bad), and shares, those of the votes of each class and rule."""
 
     def __init__(self, names: list[str]):
-        self.names, self.prior = names, PRIOR
-        good, bad = {1: GOOD_RIGHT, 0: 0.08, -1: 0.02}, {1: 0.5, 0: 0.3, -1: BAD_RIGHT}
-        self.shares = {n: {c: dict(ANCHOR_SHARES[c]) for c in (True, False)} if n in ANCHORS else {True: dict(good), False: dict(bad)} for n in names}
-
-    def posterior(self) -> Column:
-        """Probability of quality, from columns named as the rules. A bad vote counts against a text at least as an abstention does."""
-        odds = F.lit(math.log(self.prior / (1 - self.prior)))
+        self.names, self.classes = names, ["good", *names]
+        self.prior = {c: PRIOR if c == "good" else (1 - PRIOR) / len(names) for c in self.classes}
+        self.shares = {c: {n: dict(GOOD if c == "good" else OWN if c == n else OTHERS) for n in names} for c in self.classes}
+
+    def weights(self) -> dict[str, Column]:
+        """Class -> probability of the class and of the votes in it, from columns named as the rules."""
+        out = {}
+        for c in self.classes:
+            odds = F.lit(math.log(self.prior[c]))
+            for n in self.names:
+                s = {v: math.log(x) for v, x in self.shares[c][n].items()}
+                odds = odds + F.when(F.col(n) == 1, s[1]).when(F.col(n) == -1, s[-1]).otherwise(s[0])
+            out[c] = F.exp(odds)
+        return out
+
+    def weighed(self, df: DataFrame) -> DataFrame:
+        """df with the weights as columns _w_class and their sum _w."""
+        return df.withColumns({f"_w_{c}": w for c, w in self.weights().items()}).withColumn("_w", sum((F.col(f"_w_{c}") for c in self.classes), F.lit(0.0)))
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """df with posterior, the probability of quality."""
+        return self.weighed(df).withColumn("posterior", F.col("_w_good") / F.col("_w")).drop("_w", *[f"_w_{c}" for c in self.classes])
+
+    def update(self, sums: dict[tuple[str, str, int], float]) -> None:
+        """The estimates that make the expected counts likeliest, given that a vote is right at least as often as wrong.
+
+        Where the counts would have a rule's bad votes commoner among good texts than in a bad class (or its good votes
+        rarer), both get the common share, so that the vote doesn't tell them apart.
+        """
+        first = self.names[0]
+        size = {c: sum(sums.get((c, first, v), 0.0) for v in (-1, 0, 1)) for c in self.classes}
+        total = sum(size.values()) + SMOOTHING * len(size)
+        self.prior = {c: (x + SMOOTHING) / total for c, x in size.items()}
         for n in self.names:
-            gain = {v: math.log(self.shares[n][True][v] / self.shares[n][False][v]) for v in (-1, 0, 1)}
-            gain[-1] = min(gain[-1], gain[0], 0.0)
-            odds = odds + F.when(F.col(n) == 1, gain[1]).when(F.col(n) == -1, gain[-1]).otherwise(gain[0])
-        return 1 / (1 + F.exp(-odds))
+            for c in self.classes:
+                self.shares[c][n] = {v: (sums.get((c, n, v), 0.0) + SMOOTHING) / (size[c] + 3 * SMOOTHING) for v in (-1, 0, 1)}
+            good = dict(self.shares["good"][n])
+            for c in self.names:
+                mine = self.shares[c][n]
+                for v, wrong in ((-1, good[-1] > mine[-1]), (1, good[1] < mine[1])):
+                    if wrong:
+                        mine[v] = good[v]
+                mine[0] = max(1 - mine[-1] - mine[1], SMOOTHING / (size[c] + 3 * SMOOTHING))
+                total = sum(mine.values())
+                self.shares[c][n] = {v: x / total for v, x in mine.items()}
 
 
 def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> Model:
-    """EM over (one column per rule, n). Each round is one aggregation to a single row."""
+    """EM over (one column per rule, label, n). Each round is one aggregation to a row for each rule and vote.
+
+    label: 1 good, 0 bad in a way that is estimated, null unknown. Labelled texts together weigh as much as the others do, so
+    their say doesn't fade as tables grow. Ends once the share of good texts stays the same.
+    """
     model = Model(names)
-    free = [n for n in names if n not in ANCHORS]
+    total = patterns.agg(F.sum(F.when(F.col("label").isNull(), F.col("n"))), F.sum(F.when(F.col("label").isNotNull(), F.col("n")))).first()
+    weight = max(1.0, (total[0] or 0) / total[1]) if total[1] else 1.0
+    n = F.when(F.col("label").isNull(), F.col("n")).otherwise(F.col("n") * weight)
+    ballots = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("vote")) for r in names])).alias("b")
     for _ in range(rounds):
-        p = model.posterior()
-        good, bad = F.col("n") * p, F.col("n") * (1 - p)
-        sums = [F.sum(good).alias("good"), F.sum(bad).alias("bad")]
-        sums += [F.sum(F.when(F.col(n) == v, w).otherwise(0.0)).alias(f"{n}_{v}_{c}") for n in free for v in (-1, 0, 1) for c, w in ((True, good), (False, bad))]
-        row = patterns.agg(*sums).first()
-        if not row["good"] and not row["bad"]:
+        w = model.classes
+        some = F.when(F.col("label").isNull(), F.col("_w")).when(F.col("label") == 1, F.col("_w_good")).otherwise(F.col("_w") - F.col("_w_good"))
+        part = {c: F.when(F.col("label").isNull() | ((F.col("label") == 1) == F.lit(c == "good")), F.col("_n") * F.col(f"_w_{c}")).otherwise(0.0) for c in w}
+        rows = model.weighed(patterns).withColumn("_n", n / some).select(*[x.alias(f"p_{c}") for c, x in part.items()], ballots)
+        rows = rows.groupBy("b.rule", "b.vote").agg(*[F.sum(f"p_{c}").alias(f"p_{c}") for c in w]).collect()
+        if not rows:
             return model
-        before = model.prior
-        model.prior = (row["good"] + SMOOTHING) / (row["good"] + row["bad"] + 2 * SMOOTHING)
-        for n in free:
-            for c in (True, False):
-                total = row["good" if c else "bad"] + 3 * SMOOTHING
-                model.shares[n][c] = {v: (row[f"{n}_{v}_{c}"] + SMOOTHING) / total for v in (-1, 0, 1)}
-        if abs(model.prior - before) < 1e-5:
+        before = model.prior["good"]
+        model.update({(c, r["rule"], r["vote"]): r[f"p_{c}"] for r in rows for c in w})
+        if abs(model.prior["good"] - before) < 1e-5:
             break
     return model
 
 
-def judge(docs: DataFrame, keep: tuple[str, ...] = ("text",), words: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """Rows of docs with the measures, base_failed, posterior and kept. words: toxic words by language.
+def _labelled(labels: DataFrame | None) -> DataFrame | None:
+    """labeled, label of a bounded sample, at most about LABELS of either class: good unless of quality 0 or toxic."""
+    if labels is None:
+        return None
+    good = F.when((F.min("quality") == 0) | (F.max("toxic") == 1), 0).when((F.min("quality") == 1) & F.coalesce(F.max("toxic") == 0, F.lit(True)), 1)
+    known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("labeled")).agg(good.cast("int").alias("label")).filter("label is not null")
+    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    share = F.when(F.col("label") == 1, (LABELS << 20) // n.get(1, 1)).otherwise((LABELS << 20) // n.get(0, 1))
+    return F.broadcast(known.filter(F.pmod(F.xxhash64("labeled"), F.lit(1 << 20)) < share))
+
+
+def judge(docs: DataFrame, words: dict[str, dict[str, float]] | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """Rows of docs with the measures, base_failed, posterior and kept. words: toxic words by language; labels need doc_id in docs.
 
     kept: not base_failed and the posterior is at least POSTERIOR. Null and empty texts have no words, so fail.
-    Equal texts get equal verdicts; rows are never merged. If the texts are to be kept there are two passes over
-    them, for the pattern counts and for the verdicts; else one, whose measures are written.
+    Equal texts of a language get equal verdicts; rows are never merged. One pass over the texts, whose measures are written
+    with what else is in docs.
     """
     names = list(votes())
-    voted = measure(docs, words).withColumns(votes()).drop("_q")
-    if "text" not in keep:
-        voted = materialize(voted.drop("text"), "measures")
-    patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes")
+    voted = materialize(measure(docs, words).withColumns(votes()).drop("_q", "text"), "measures")
+    some = _labelled(labels) if "doc_id" in docs.columns else None
+    if some is None:
+        marked = voted.select(*names, F.lit(None).cast("int").alias("label"))
+    else:
+        marked = voted.select(*names, "doc_id").join(some, F.col("doc_id") == F.col("labeled"), "left").select(*names, "label")
+    patterns = materialize(marked.groupBy(*names, "label").agg(F.count("*").alias("n")).coalesce(1), "votes")
     model = fit(patterns, names)
-    out = voted.withColumn("posterior", model.posterior())
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= POSTERIOR))
+    out = model.scored(voted).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= POSTERIOR))
     return out.drop(*names)
 
 
 def _judged(docs: DataFrame) -> list[str]:
-    return ["text", *(["lang"] if "lang" in docs.columns else [])]
+    return [c for c in ("doc_id", "text", "lang") if c in docs.columns]
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The rows of docs whose verdict is kept, with the columns of docs."""
-    own = [f"_in{i}" for i in range(len(docs.columns))]
+    """The rows of docs whose verdict is kept, with the columns of docs, whatever their names.
+
+    Null and empty texts go, equal rows stay or go together, an empty table stays empty.
+    """
+    own = [f"c{i}" for i in range(len(docs.columns))]
     inner = docs.select(*_judged(docs), F.struct(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)]).alias("_row"))
-    # A filter would be pushed below the measures, with their whole expressions in it once for each mention; an explode isn't.
-    kept = judge(inner, words=toxic_words(docs, labels)).select("_row", F.explode(F.when(F.col("kept"), F.array(F.lit(0)))))
+    kept = judge(inner, toxic_words(docs, labels), labels).filter("kept")
     return kept.select(*[F.col(f"_row.{o}").alias(c) for c, o in zip(docs.columns, own)])
 
 
 def op3(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The result rows of the quality query. labels: doc_id, toxic; without them only the English list speaks of abuse."""
-    out = judge(docs.select("doc_id", *_judged(docs)), keep=(), words=toxic_words(docs, labels))
+    """The result rows of the quality query. labels: doc_id, quality, toxic; without them only the English list speaks of abuse."""
+    out = judge(docs.select("doc_id", *[c for c in _judged(docs) if c != "doc_id"]), toxic_words(docs, labels), labels)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
