@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.storage import materialize
+
 #: Words of a text whose A-Z have become a-z, in UTF-8.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
-#: Bytes of benchmark text that are searched for in one pass, and so the most that is broadcast at once.
-BLOCK_BYTES = 16_000_000
+#: Bytes of benchmark text that are searched for in one pass, and so the most that is broadcast at once; its tables take about 50 times that.
+BLOCK_BYTES = 4_000_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -23,45 +25,61 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Patterns:
-    """Wu-Manber tables for the windows of one length in words. The block is a pair of words (one word for length 1)."""
+    """Wu-Manber tables for the windows of one length in words. The block is a pair of words (one word for length 1).
+
+    Words are numbered, so a block is one number and an item an array of numbers; a window is a place in its item.
+    """
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self, length: int, numbers: dict[bytes, int]):
+        self.length, self.numbers = length, numbers
         self.block = min(2, length)
-        self.shift: dict = {}
-        self.bucket: dict = defaultdict(dict)
-
-    def add(self, window: tuple[bytes, ...], item: str) -> None:
-        b, m = self.block, self.length
-        for end in range(b, m + 1):
-            key = window[end - b : end]
-            self.shift[key] = min(self.shift.get(key, m), m - end)
-        self.bucket[window[m - b :]].setdefault(window, set()).add(item)
-
-    def find(self, words: list[bytes], hit: bytearray, items: set[str]) -> None:
-        m, b = self.length, self.block
+        self.shift: dict[int, int] = {}
+        self.bucket: dict[int, list[tuple[int, int]]] = {}
+        self.items: list[tuple[str | None, array]] = []
+
+    def add(self, item: str | None, words: list[int]) -> None:
+        b, m, n = self.block, self.length, len(words)
+        keys = words if b == 1 else [x << 32 | y for x, y in zip(words, words[1:])]
+        self.items.append((item, array("I", words)))
+        for i, key in enumerate(keys):
+            # From the end of the first window on, every block ends a window; before, it is so far from that end.
+            self.shift[key] = min(self.shift.get(key, m), max(0, m - b - i))
+        for i in range(n - m + 1):
+            self.bucket.setdefault(keys[i + m - b], []).append((len(self.items) - 1, i))
+
+    def find(self, words: list[bytes], hit: bytearray, items: set[str | None]) -> None:
+        m, b, get = self.length, self.block, self.numbers.get
         at, n, shift, free = m, len(words), self.shift, m - b + 1
         while at <= n:
-            key = (words[at - 2], words[at - 1]) if b == 2 else (words[at - 1],)
+            last = get(words[at - 1])
+            before = get(words[at - 2]) if b == 2 and last is not None else 0
+            if last is None or before is None:
+                at += m if last is None else free
+                continue
+            key = before << 32 | last if b == 2 else last
             step = shift.get(key, free)
             if step:
                 at += step
                 continue
-            found = self.bucket[key].get(tuple(words[at - m : at]))
-            if found:
-                hit[at - m : at] = b"\x01" * m
-                items |= found
+            own = None
+            for k, i in self.bucket.get(key, ()):
+                own = own or [get(w) for w in words[at - m : at]]
+                item, numbers = self.items[k]
+                if own == numbers[i : i + m].tolist():
+                    hit[at - m : at] = b"\x01" * m
+                    items.add(item)
             at += 1
 
 
-def tables(rows: list[tuple[str, bytes]], window: int = WINDOW) -> list[Patterns]:
+def tables(rows: list[tuple[str | None, bytes]], window: int = WINDOW) -> list[Patterns]:
     """One table for each length of window among the items."""
     by_length: dict[int, Patterns] = {}
+    numbers: dict[bytes, int] = {}
     for item, text in rows:
-        words = words_of(text)
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by_length.setdefault(m, Patterns(m)).add(tuple(words[i : i + m]), item)
+        words = [numbers.setdefault(w, len(numbers)) for w in words_of(text)]
+        if words:
+            m = min(window, len(words))
+            by_length.setdefault(m, Patterns(m, numbers)).add(item, words)
     return list(by_length.values())
 
 
@@ -76,9 +94,9 @@ def _runs(hit: bytearray) -> list[int]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of bounded size, in the order of their rows. Items without id or text have no windows."""
-    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Items in blocks of bounded size (one item at least), in the order of their rows. Items without text have no windows."""
+    rows = benchmark.filter("text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
     block, size = [], 0
     for item, text in rows.toLocalIterator():
         if block and size + len(text) > block_bytes:
@@ -93,9 +111,10 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 def search(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated.
 
-    No shuffle: each block of the benchmark is broadcast for one pass over the texts, and the passes of a benchmark
-    of several blocks follow each other on the same rows. A null or empty text has no words and no hits; a text
-    of one very long word is one word. Repeated rows are judged each by itself. An empty benchmark hits nothing.
+    No shuffle: each block of the benchmark is broadcast for one pass over the texts; between the passes for a benchmark
+    of several blocks the rows are written, so one block is held at a time. A null or empty text has no words and no hits; a text
+    of one very long word is one word. Repeated rows are judged each by itself. An empty benchmark hits nothing. The
+    windows of items with a null item_id count; those items are one item without a name in the digest.
     Columns of docs must not begin with an underscore.
     """
     spark = docs.sparkSession
@@ -103,7 +122,7 @@ def search(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
     df = docs.withColumn("_hit", F.lit(None).cast("array<int>")).withColumn("_items", F.lit(None).cast("array<string>")).withColumn("_n", F.lit(None).cast("long"))
     blocks = 0
     for block in _blocks(benchmark, block_bytes) if benchmark is not None else ():
-        df, blocks = _scan(df, spark.sparkContext.broadcast(block)), blocks + 1
+        df, blocks = _scan(materialize(df, "searched") if blocks else df, spark.sparkContext.broadcast(block)), blocks + 1
     if not blocks:
         df = _scan(df, spark.sparkContext.broadcast([]))
     covered = F.aggregate(F.sequence(F.lit(1), F.size("_hit") - 1, F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.get("_hit", i) - F.get("_hit", i - 1))
@@ -136,7 +155,7 @@ def _scan(df: DataFrame, block) -> DataFrame:
                 for p in found:
                     p.find(words, hit, seen)
                 hits.append(_runs(hit))
-                items.append(sorted(seen))
+                items.append(sorted(seen, key=lambda x: (x is not None, x or "")))
                 sizes.append(len(words))
             new = {"_hit": pa.array(hits, pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.string())), "_n": pa.array(sizes, pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
@@ -145,7 +164,7 @@ def _scan(df: DataFrame, block) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that aren't contaminated, with the columns of docs."""
+    """The rows of docs that aren't contaminated, with the columns of docs, whatever their names. Null and empty texts stay."""
     own = [f"c{i}" for i in range(len(docs.columns))]
     inner = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)]).alias("row"))
     return search(inner, benchmark).filter("not contaminated").select(*[F.col(f"row.{o}").alias(c) for c, o in zip(docs.columns, own)])

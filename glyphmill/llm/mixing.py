@@ -17,8 +17,8 @@ SHARE = 1.5
 MOST = 2.0
 NEWTON_ROUNDS = 40
 TOLERANCE = 1e-9
-#: Bins of one refinement of the rounding threshold, and the refinements.
-BINS, REFINEMENTS = 1024, 3
+#: Bins of one refinement of the rounding threshold, and the refinements; rounds in which a source gains or drops one copy to come nearer.
+BINS, REFINEMENTS, NEARER = 1024, 3, 2
 
 
 def size_of(text: Column) -> Column:
@@ -89,8 +89,8 @@ def mix(sized: DataFrame) -> DataFrame:
 
     Copies: a document with rate r and u = a hash of its id in [0, 1) gets floor(r + u + t) copies, kept within
     0 and 2; t is a threshold for each source, found by refining bins of the documents' own thresholds, at which
-    the words taken come nearest above the target. So a source misses its target by less than one document's
-    words (or those of rows with the same id and rate). A null source is one source, last in order. Sources without
+    the words taken come nearest to the target. Then, NEARER times, each source adds or drops a copy of the document whose size is
+    nearest to what is missing or too much, of equally near ones the one with the smallest hash and id. A null source is one source, last in order. Sources without
     words have target 0. Null texts and empty texts have size 0 and take nothing. Repeated rows each count.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("filled"))
@@ -112,8 +112,23 @@ def mix(sized: DataFrame) -> DataFrame:
     copies = F.when(F.col("lam").isNull(), F.col("rate")).otherwise(
         (1 - F.col("rate") - F.col("u") <= F.col("cut")).cast("int") + (2 - F.col("rate") - F.col("u") <= F.col("cut")).cast("int")
     )
-    out = out.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(copies).cast("int"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("u", "lam", "mean", "cut")
+    out = out.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(copies).cast("int")).withColumn("_rid", F.monotonically_increasing_id())
+    out = materialize(out, "copies")
+    for _ in range(NEARER):
+        out = out.join(_nearer(out), "_rid", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("u", "lam", "mean", "cut", "_rid")
+
+
+def _nearer(out: DataFrame) -> DataFrame:
+    """_rid, change: for each source with a tilt the row whose size is nearest to its gap, where the change makes the gap smaller."""
+    free = out.filter(F.col("lam").isNotNull() & (F.col("size") > 0))
+    gaps = free.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    gaps = materialize(gaps.select(F.col("source").alias("_s"), "gap"), "gaps")
+    near = free.join(gaps, F.col("source").eqNullSafe(F.col("_s")))
+    able = ((F.col("gap") > 0) & (F.col("copies") < MOST)) | ((F.col("gap") < 0) & (F.col("copies") > 0))
+    near = near.filter(able & (F.col("size") < 2 * F.abs("gap")))
+    best = near.groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")), "u", "doc_id", "_rid", F.signum("gap").cast("int").alias("change"))).alias("b"))
+    return materialize(best.select("b._rid", "b.change"), "nearer")
 
 
 def _thresholds(steps: DataFrame) -> DataFrame:
@@ -144,7 +159,11 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def repeat(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as its copies say, with the columns of docs. Rows are repeated after the join."""
+    """The mix itself: each row of docs as often as its copies say, with the columns of docs, whatever their names.
+
+    Rows are repeated after the join. Equal rows are taken equally often, so each may have a copy more than the mix gives it.
+    Null and empty texts have no words, so they are in no mix.
+    """
     own = [f"c{i}" for i in range(len(docs.columns))]
     inner = docs.select("doc_id", F.col("source"), size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("key"))
     sized = materialize(inner, "sized")

@@ -190,11 +190,10 @@ class Model:
         """Class -> probability of the class and of the votes in it, from columns named as the rules."""
         out = {}
         for c in self.classes:
-            odds = F.lit(math.log(self.prior[c]))
-            for n in self.names:
-                s = {v: math.log(x) for v, x in self.shares[c][n].items()}
-                odds = odds + F.when(F.col(n) == 1, s[1]).when(F.col(n) == -1, s[-1]).otherwise(s[0])
-            out[c] = F.exp(odds)
+            # Shares as arrays, not as conditions: code that Spark generates for one round then serves the others.
+            base = {n: math.log(self.prior[c]) if n == self.names[0] else 0.0 for n in self.names}
+            logs = {n: ", ".join(f"{base[n] + math.log(self.shares[c][n][v])!r}D" for v in (-1, 0, 1)) for n in self.names}
+            out[c] = F.expr("exp(" + " + ".join(f"get(array({x}), `{n}` + 1)" for n, x in logs.items()) + ")")
         return out
 
     def weighed(self, df: DataFrame) -> DataFrame:

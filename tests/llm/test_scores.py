@@ -107,6 +107,11 @@ def test_mix(spark):
             target[s] = 2.0 * sizes[s]
             left -= target[s]
     assert all(abs(r["target"] - target[None if r["doc_id"] == 60 else next(s for d, t, s in DOCS if d == r["doc_id"] and len((t or "").split()) == r["size"])]) < 1e-6 for r in rows)
+    taken = Counter()
+    source_of = {(d, len((t or "").split())): s for d, t, s in DOCS}
+    for r in rows:
+        taken[source_of[r["doc_id"], r["size"]]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= max(3, 0.01 * target[s]) for s in target), (taken, target)
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.op2(df.repartition(5)).collect()), key=str)
 
 
@@ -146,6 +151,9 @@ def test_search(spark):
     item = " ".join(f"q{i}" for i in range(20))
     docs = [(1, "x " + item.upper() + " y"), (2, "x " * 400 + " ".join(f"q{i}" for i in range(3, 16))), (3, None), (4, "Short Item"), (5, "")]
     bench = [(1, item), (2, "short item"), (3, None), (4, "...")]
+    nameless = spark.createDataFrame([(None, "short item"), (None, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.search(spark.createDataFrame(docs, "doc_id long, text string"), nameless).collect()}
+    assert got[1] == (20, 1, decontam.sha_of(set()), True) and got[4] == (2, 1, decontam.sha_of(set()), True) and got[2][0] == 13
     b = spark.createDataFrame(bench, "item_id long, text string")
     d = spark.createDataFrame(docs, "doc_id long, text string")
     for block in (1 << 20, 1):
@@ -153,6 +161,27 @@ def test_search(spark):
         assert got == {1: (22, 20, 1, decontam.sha_of({"1"}), True), 2: (413, 13, 1, decontam.sha_of({"1"}), False), 3: (0, 0, 0, decontam.sha_of(set()), False), 4: (2, 2, 1, decontam.sha_of({"2"}), True), 5: (0, 0, 0, decontam.sha_of(set()), False)}
 
 
+def test_windows_against_brute_force():
+    rng = random.Random(12)
+    words = [b"aa", b"b", b"cc", b"d"]
+    for _ in range(30):
+        items = [(str(i), b" ".join(rng.choices(words, k=rng.choice([1, 2, 3, 4, 9])))) for i in range(6)]
+        text = rng.choices([*words, b"other"], k=60)
+        want, ids = [False] * 60, set()
+        for item, x in items:
+            w = x.split()
+            m = min(4, len(w))
+            for i in range(len(w) - m + 1):
+                for j in range(60 - m + 1):
+                    if text[j : j + m] == w[i : i + m]:
+                        want[j : j + m] = [True] * m
+                        ids.add(item)
+        hit, found = bytearray(60), set()
+        for p in decontam.tables(items, 4):
+            p.find(text, hit, found)
+        assert [bool(x) for x in hit] == want and found == ids
+
+
 def test_line_chunks(spark):
     common = "\n".join(f"line number {i}" for i in range(12))
     docs = [(1, "own a\n" + common), (2, "b\nc\nd\n" + common + "\nend"), (3, None), (4, ""), (5, "one line")]
