@@ -48,6 +48,53 @@ def stale(jobs: DataFrame, beat: str, now: Column, seconds: int, owner: Column,
     return jobs.filter(F.when(F.col(beat).isNull(), owner != me).otherwise(old))
 
 
+def requeue(jobs: DataFrame, beat: str, now: Column, seconds: int, owner: str, me: str) -> tuple[DataFrame, DataFrame]:
+    """(jobs, events): stale jobs go back to QUEUED without stage, worker and heartbeat and with one more attempt; one event for each.
+
+    beat is text; one that is no timestamp is stale. Without a heartbeat a job is stale if another worker (or none) owns it.
+    Terminal and queued jobs aren't looked at.
+    """
+    at = F.col(beat).try_cast("timestamp")
+    old = at.isNull() | (at <= now - F.expr(f"interval {seconds} seconds"))
+    gone = ~F.col("status").isin(*TERMINAL, "QUEUED") & F.when(F.col(beat).isNull(), ~F.col(owner).eqNullSafe(F.lit(me))).otherwise(old)
+    marked = jobs.withColumn("_gone", gone)
+    empty = lambda c: F.when(F.col("_gone"), F.lit(None)).otherwise(F.col(c)).alias(c)
+    kept = {"status": F.when(F.col("_gone"), "QUEUED").otherwise(F.col("status")).alias("status"), "attempts": (F.col("attempts") + F.col("_gone").cast("int")).alias("attempts")}
+    cleared = ("stage", owner, beat)
+    out = marked.select(*[empty(c) if c in cleared else kept.get(c, F.col(f"`{c}`")) for c in jobs.columns])
+    return out, marked.filter("_gone").select("id", F.lit("requeued").alias("event"))
+
+
+def transitions(jobs: DataFrame, commands: DataFrame) -> DataFrame:
+    """jobs (id, status, cancel_requested, error_code) after one command each (job, command, target, code), with applied.
+
+    request and cancel do nothing to a terminal job; finish needs a terminal target, whatever the job's status. A null code
+    leaves the one there is.
+    """
+    c = jobs.join(commands, F.col("id") == F.col("job"), "left")
+    open_ = ~F.col("status").isin(*TERMINAL)
+    applied = F.coalesce(F.when(F.col("command").isin("request", "cancel"), open_).when(F.col("command") == "finish", F.col("target").isin(*TERMINAL)), F.lit(False))
+    c = c.withColumn("applied", applied)
+    done = F.col("applied")
+    status = F.when(done & (F.col("command") == "cancel"), "CANCELLED").when(done & (F.col("command") == "finish"), F.col("target")).otherwise(F.col("status"))
+    code = F.when(done & (F.col("command") == "finish"), F.coalesce("code", "error_code")).otherwise(F.col("error_code"))
+    return c.select("id", status.alias("status"), (F.col("cancel_requested") | (done & F.col("command").isin("request", "cancel"))).alias("cancel_requested"), code.alias("error_code"), "applied")
+
+
+def updated(jobs: DataFrame, changes: dict[str, Column], allowed: frozenset[str]) -> DataFrame:
+    """jobs with columns changed; one that isn't allowed raises."""
+    if unknown := set(changes) - allowed:
+        raise ValueError(f"these columns can't be updated: {sorted(unknown)}")
+    return jobs.withColumns(changes)
+
+
+def status_view(jobs: DataFrame, children: DataFrame) -> DataFrame:
+    """jobs (id, status, ...) with terminal, and styles: array<struct<position, name, failed>> of children (job, position, name, failed)."""
+    styles = children.groupBy("job").agg(F.sort_array(F.collect_list(F.struct("position", "name", "failed"))).alias("styles"))
+    out = jobs.join(styles, F.col("id") == F.col("job"), "left").drop("job")
+    return out.withColumn("terminal", F.col("status").isin(*TERMINAL)).withColumn("styles", F.coalesce("styles", F.array().cast(styles.schema["styles"].dataType)))
+
+
 def claim(jobs: DataFrame, status: str, created: str, seq: str, queued: str, active: list[str], most: int) -> DataFrame:
     """The oldest queued job, if fewer than `most` are active."""
     n = jobs.agg(F.count_if(F.col(status).isin(*active)).alias("active"))

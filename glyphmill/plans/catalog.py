@@ -501,3 +501,56 @@ def contour_lengths(spark, d):
     e = e.select("vec_id", curves.contour_segments(F.col("v"), 8, 8, 0.5).alias("s"))
     length = rasters.total(F.transform("s", lambda a: F.hypot(a["u"] - a["x"], a["v"] - a["y"])))
     return e.select("vec_id", F.size("s").cast("long").alias("segments"), F.round(length, 5).alias("length"))
+
+
+BEAT_SQL = "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END"
+GONE_SQL = f"({STATUS_SQL} = 'RESOLVING' AND CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 3 <> 0 WHEN o_orderkey % 5 = 1 THEN true ELSE o_orderdate <= TIMESTAMP '1996-06-30 23:58:30' END)"
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN gone THEN 'QUEUED' ELSE status END AS status, CASE WHEN NOT gone THEN 'render' END AS stage, CASE WHEN NOT gone THEN worker END AS worker,
+  CASE WHEN NOT gone THEN beat END AS beat, o_orderkey % 3 + CAST(gone AS INTEGER) AS attempts
+  FROM (SELECT o_orderkey, {STATUS_SQL} AS status, 'w' || CAST(o_custkey % 3 AS VARCHAR) AS worker, {BEAT_SQL} AS beat, {GONE_SQL} AS gone FROM orders)""")
+def requeued_jobs(spark, d):
+    """Orders as running jobs whose heartbeat is missing, no timestamp or old."""
+    key = F.col("o_orderkey")
+    beat = F.when(key % 5 == 0, None).when(key % 5 == 1, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    rows = _orders(spark, d).select(key.alias("id"), "status", F.lit("render").alias("stage"), F.concat(F.lit("w"), (F.col("o_custkey") % 3).cast("string")).alias("worker"), beat.alias("beat"), (key % 3).alias("attempts"))
+    return jobs.requeue(rows, "beat", F.lit("1996-07-01 00:00:00").cast("timestamp"), 90, "worker", "w0")[0]
+
+
+@query(f"""SELECT id, CASE WHEN NOT applied THEN status WHEN command = 'cancel' THEN 'CANCELLED' WHEN command = 'finish' THEN target ELSE status END AS status,
+  requested OR (applied AND command <> 'finish') AS cancel_requested, CASE WHEN applied AND command = 'finish' AND code IS NOT NULL THEN code ELSE old END AS error_code, applied
+  FROM (SELECT *, CASE WHEN command IS NULL THEN false WHEN command = 'finish' THEN target IN ('DONE', 'FAILED') ELSE status <> 'DONE' END AS applied
+  FROM (SELECT o_orderkey AS id, {STATUS_SQL} AS status, o_custkey % 7 = 0 AS requested, CASE WHEN o_custkey % 5 = 0 THEN 'OLD' END AS old,
+  CASE o_orderkey % 4 WHEN 0 THEN 'request' WHEN 1 THEN 'cancel' WHEN 2 THEN 'finish' END AS command, CASE o_custkey % 3 WHEN 0 THEN 'DONE' WHEN 1 THEN 'FAILED' ELSE 'RESOLVING' END AS target,
+  CASE WHEN o_custkey % 3 = 1 THEN 'STYLES_FAILED' END AS code FROM orders))""")
+def job_transitions(spark, d):
+    """Orders as jobs, each with a command or none."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    rows = _orders(spark, d).select(key.alias("id"), "status", (cust % 7 == 0).alias("cancel_requested"), F.when(cust % 5 == 0, "OLD").alias("error_code"))
+    commands = table(spark, d, "orders").filter(key % 4 != 3).select(
+        key.alias("job"), F.when(key % 4 == 0, "request").when(key % 4 == 1, "cancel").otherwise("finish").alias("command"),
+        F.when(cust % 3 == 0, "DONE").when(cust % 3 == 1, "FAILED").otherwise("RESOLVING").alias("target"), F.when(cust % 3 == 1, "STYLES_FAILED").alias("code"),
+    )
+    return jobs.transitions(rows, commands)
+
+
+@query(f"""SELECT o_orderkey AS id, {STATUS_SQL} AS status, {STATUS_SQL} = 'DONE' AS terminal, coalesce(s, '') AS styles FROM orders LEFT JOIN (
+  SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) || ':' || CAST(l_returnflag = 'R' AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_returnflag = 'R') AS s
+  FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey""")
+def status_projection(spark, d):
+    """Status of orders as jobs, with their lines as styles."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("name"), (F.col("l_returnflag") == "R").alias("failed"))
+    out = jobs.status_view(_orders(spark, d).select(F.col("o_orderkey").alias("id"), "status"), lines)
+    one = F.transform("styles", lambda s: F.concat_ws(":", s["position"].cast("string"), s["name"].cast("string"), s["failed"].cast("string")))
+    return out.select("id", "status", "terminal", F.array_join(one, ",").alias("styles"))
+
+
+@query("""SELECT event_id, sha256('[' || array_to_string(list_transform(list_sort(json_keys(props)), lambda k: '"' || k || '"'), ', ') || ']' || left(event_type, 200)) AS signature,
+  CASE WHEN event_id % 3 > 0 THEN 'uni' || lpad(printf('%X', 60 + event_id % 90), 4, '0') ELSE 'gid_' || regexp_replace(event_type || '.' || CAST(event_id AS VARCHAR), '[^0-9A-Za-z_-]', '_', 'g') END AS glyph
+  FROM events""")
+def page_signatures(spark, d):
+    """Signatures of the events' JSON, and names of glyphs with and without a code point."""
+    cp = F.when(F.col("event_id") % 3 > 0, 60 + F.col("event_id") % 90).otherwise(0)
+    gid = F.concat_ws(".", "event_type", F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", text.page_signature(F.col("props"), F.col("event_type")).alias("signature"), text.safe_glyph_name(cp, gid).alias("glyph"))
