@@ -130,6 +130,11 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of the dictionary, those of a key together -> p1, p2, js: the offsets of strings that stand earlier."""
 
     def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        h = t.column("h").to_numpy()
+        same = np.concatenate(([False], h[1:] == h[:-1], [False]))
+        t = t.filter(pa.array(same[1:] | same[:-1]))
+        if not t.num_rows:
+            return
         c = {k: t.column(k).to_numpy() for k in ("h", "p1", "p2", "ord", "start", "at", "n", "lo", "hi")}
         place = np.lexsort((c["start"] + c["at"], c["ord"]))
         same = (np.diff(c["ord"][place]) == 0) & (np.diff((c["start"] + c["at"])[place]) == 0)
@@ -189,14 +194,14 @@ def _classes(entries: DataFrame) -> DataFrame:
     found, width = [], FAR + 1
     level = entries.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(FAR)).select("h", "p1", "p2", "ord", "start", "at", "n", "packed", "lo", "hi")
     while True:
-        sizes = level.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("h").alias("g"), "k")
-        sizes = materialize(sizes, "sizes")
-        sized = level.join(sizes, F.col("h") == F.col("g")).drop("g")
-        few = sized.filter(F.col("k") <= TOGETHER).drop("k").repartition("h").sortWithinPartitions("h")
+        crowded = level.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > TOGETHER).select(F.col("h").alias("g"))
+        crowded = materialize(crowded, "crowded")
+        # One shuffle of the dictionary; keys with one phrase are told apart by their neighbours in the sorted task.
+        few = level.join(crowded, F.col("h") == F.col("g"), "left_anti").repartition("h").sortWithinPartitions("h")
         found.append(materialize(few.mapInArrow(_sort, "p1 long, p2 long, js array<int>"), "repeats", release=True))
-        if not sizes.filter(F.col("k") > TOGETHER).limit(1).count():
+        if not crowded.limit(1).count():
             break
-        many = sized.filter(F.col("k") > TOGETHER).drop("k")
+        many = level.join(crowded, F.col("h") == F.col("g"), "left_semi")
         if width == 1:
             # What they share is the whole string: an aggregation to its first place, without sorting.
             each = many.select("p1", "p2", (F.col("at") - F.col("lo")).alias("j"), F.struct("ord", (F.col("start") + F.col("at")).alias("pos")).alias("place"), F.expr(f"substring(packed, at - lo + 1, {K})").alias("s"))
