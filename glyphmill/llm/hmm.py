@@ -24,9 +24,9 @@ STATES = 6
 HEAD, OWN, ENDINGS = 100_000, 6000, 2048
 ROUNDS = 6
 #: Tokens whose forward values are held at once for one text in training; what lies before is computed again from the last held.
-SPAN = 256
-#: Texts of a batch in training are joined until they have so many tokens.
-TOKENS = 1_000_000
+SPAN = 64
+#: Texts of a batch in training are joined until they have so many tokens; tokens whose states are counted at once.
+TOKENS, COUNTED = 2_000_000, 16_384
 FOLDS, HELD_OUT = 5, 1
 END = b""
 _TRAIL = b".,;:!?#*$%&|\"')"
@@ -148,19 +148,19 @@ def first_model(by_class: np.ndarray, within: np.ndarray) -> Model:
     return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(0), within)
 
 
-def _ahead(model: Model, codes: np.ndarray, begin: np.ndarray, active: list[int], first: int, last: int, a: np.ndarray | None, keep: bool) -> tuple[np.ndarray | None, list, list]:
-    """Scaled forward values of the texts from position first up to last, from those before; with keep all of them and their scales."""
+def _ahead(model: Model, at: list[np.ndarray], first: int, last: int, a: np.ndarray | None, most: int | None = None) -> tuple[list, list]:
+    """Scaled forward values of texts and their scales at positions first up to last, from the values before; of the longest `most` texts alone."""
     kept, scales = [], []
     for t in range(first, last):
-        n = active[t]
-        seen = model.emit[codes[begin[:n] + t]]
-        a = model.start * seen if t == 0 else (a[:n] @ model.move) * seen
-        scale = a.sum(1)
-        a = a / scale[:, None]
-        if keep:
-            kept.append(a)
-            scales.append(scale)
-    return a, kept, scales
+        seen = np.take(model.emit, at[t][:most], axis=0)
+        a = model.start * seen if t == 0 else (a[: len(seen)] @ model.move) * seen
+        scale = a.sum(1, keepdims=True)
+        a /= scale
+        kept.append(a)
+        scales.append(scale)
+        if most is not None:
+            kept, scales = kept[-1:], scales[-1:]
+    return kept, scales
 
 
 def expect(model: Model, codes: list[np.ndarray]) -> np.ndarray:
@@ -175,37 +175,44 @@ def expect(model: Model, codes: list[np.ndarray]) -> np.ndarray:
     if not texts:
         return counts
     lengths = np.array([len(c) for c in texts])
-    flat, begin = np.concatenate(texts), np.cumsum(lengths) - lengths
     longest = int(lengths[0])
-    active = (len(texts) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")).tolist()
+    active = len(texts) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
+    # The classes by position: those of all texts at the first, at the second, ...
+    to = np.cumsum(active)
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    flat = np.empty(len(place), np.intp)
+    flat[(to - active)[place] + np.repeat(np.arange(len(texts)), lengths)] = np.concatenate(texts)
+    at = np.split(flat, to[:-1])
     marks, a = [None], None
     for first in range(0, longest - SPAN, SPAN):
-        a, _, _ = _ahead(model, flat, begin, active, first, first + SPAN, a, False)
+        # Only texts that go on beyond need their values there.
+        a = _ahead(model, at, first, first + SPAN, a, int(active[first + SPAN]))[0][-1]
         marks.append(a)
-    beta = np.empty((0, STATES))
+    back, states = np.ones((len(texts), STATES)), np.arange(STATES)
+    seen_classes, seen_gamma, waiting = [], [], 0
     for first in range((longest - 1) // SPAN * SPAN, -1, -SPAN):
-        last = min(first + SPAN, longest)
-        before = marks[first // SPAN]
-        _, alphas, scales = _ahead(model, flat, begin, active, first, last, before, True)
-        seen_classes, seen_gamma = [], []
-        for t in range(last - 1, first - 1, -1):
-            n = active[t]
+        before = marks.pop()
+        alphas, scales = _ahead(model, at, first, min(first + SPAN, longest), before)
+        for t in range(first + len(alphas) - 1, first - 1, -1):
             # Texts that end here begin their way back with ones.
-            beta = np.concatenate((beta, np.ones((n - len(beta), STATES))))
+            obs, beta = at[t], back[: len(at[t])]
             gamma = alphas[t - first] * beta
-            obs = flat[begin[:n] + t]
             seen_classes.append(obs)
             seen_gamma.append(gamma)
+            waiting += len(obs)
+            if waiting >= COUNTED or not t:
+                which = (np.concatenate(seen_classes)[:, None] * STATES + states).ravel()
+                counts[:size] += np.bincount(which, np.concatenate(seen_gamma).ravel(), size * STATES).reshape(size, STATES)
+                seen_classes, seen_gamma, waiting = [], [], 0
             if t:
-                ahead = model.emit[obs] * beta / scales[t - first][:, None]
-                previous = alphas[t - first - 1][:n] if t > first else before[:n]
-                counts[size:-1] += model.move * (previous.T @ ahead)
-                beta = ahead @ model.move.T
+                ahead = np.take(model.emit, obs, axis=0)
+                ahead *= beta
+                ahead /= scales[t - first]
+                previous = alphas[t - first - 1] if t > first else before
+                counts[size:-1] += model.move * (previous[: len(obs)].T @ ahead)
+                np.matmul(ahead, model.move.T, out=beta)
             else:
                 counts[-1] += gamma.sum(0)
-        obs, gamma = np.concatenate(seen_classes), np.concatenate(seen_gamma)
-        for k in range(STATES):
-            counts[:size, k] += np.bincount(obs, gamma[:, k], size)
     return counts
 
 
