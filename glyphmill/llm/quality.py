@@ -11,13 +11,14 @@ have no label, and all of them count.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.storage import materialize
 
-WORD_GAPS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Abusive English words, one more sign for the rule of abuse. What labels show is learned (toxic_words).
 ABUSE = ("trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron", "whore")
@@ -27,7 +28,8 @@ ROUNDS = 20
 #: The fit of toxic words: labels of a class used at most, languages, words kept for each language, toxic texts that a word
 #: needs, its least log-odds, and the sum of log-odds from which a text is toxic (no word reaches it alone in small tables).
 LABELS, LANGUAGES, LEXICON, LEAST_TOXIC, ODDS, TOXIC = 20_000, 20, 200, 3, 3.5, 6.0
-SEPARATORS = WORD_GAPS + ".,;:!?\"'()[]{}<>|/\\*#$%&+=~`^_-"
+#: Letters that shouting consists of.
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÀÇÑÓÍÁÚ"
 
 
 def _words(text: Column) -> Column:
@@ -46,7 +48,7 @@ def _covered(positions: Column, width: int) -> Column:
 
 def _tokens(text: Column) -> Column:
     """Lower-case words without punctuation, some of them empty."""
-    return F.split(F.lower(F.translate(text, SEPARATORS, " " * len(SEPARATORS))), " ")
+    return F.split(F.lower(text), r"[\x20\x09-\x0D.,;:!?\"'()\[\]{}<>|/\\*#$%&+=~`^_-]+")
 
 
 def toxic_words(docs: DataFrame, labels: DataFrame | None) -> dict[str, dict[str, float]]:
@@ -92,21 +94,22 @@ def measure(docs: DataFrame, words: dict[str, dict[str, float]] | None = None) -
     words: toxic words by language, for the column lang of docs. A null text has no words; an empty table gives an empty table. Other columns of docs pass unchanged.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumn("_words", _words(text)).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    # Signs that are counted, cut out once: what follows looks at a short string.
+    marks = F.regexp_replace(text, f"[^!{SYMBOLS}{CAPITALS}]+", "")
+    df = docs.withColumns({"_words": _words(text), "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), "_marks": marks})
     df = df.withColumn("_n", F.size("_words"))
-    at = F.sequence(F.lit(0), F.col("_n") - WINDOW)
+    # Rows of five words side by side. The last four hold nulls and are no windows.
+    rows = F.arrays_zip(*[F.slice("_words", k + 1, F.greatest("_n", F.lit(1))).alias(f"w{k}") for k in range(WINDOW)])
+    rows = F.slice(rows, F.lit(1), F.greatest(F.col("_n") - WINDOW + 1, F.lit(0)))
     # Distinct hashes prove distinct windows; only texts with an equal pair of hashes are looked at word by word.
-    hashes = F.when(
-        F.col("_n") > WINDOW,
-        F.transform(at, lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WINDOW)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.when(F.col("_n") > WINDOW, F.transform(rows, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("_hash", hashes).withColumn("_same", F.size("_hash") > F.size(F.array_distinct("_hash")))
     windows = F.when(
         F.col("_same"),
-        F.array_sort(F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.slice("_words", i + 1, WINDOW)).alias("w"), i.alias("i")))),
+        F.sort_array(F.transform(rows, lambda x, i: F.struct(F.concat_ws(" ", *[x[f"w{k}"] for k in range(WINDOW)]).alias("w"), i.alias("i")))),
     )
     df = df.withColumn("_win", windows)
-    repeats = F.array_sort(
+    repeats = F.sort_array(
         F.transform(
             F.filter(
                 F.col("_win"),
@@ -118,14 +121,16 @@ def measure(docs: DataFrame, words: dict[str, dict[str, float]] | None = None) -
     repeats = F.when(F.col("_same"), repeats)
     df = df.withColumn("_at", repeats)
     low = F.lower(text)
-    abuse = F.regexp_count(low, F.lit(r"\b(" + "|".join(ABUSE) + r")\b"))
+    # The pattern is slow: texts without any of the words needn't be searched.
+    listed = reduce(or_, [F.contains(low, F.lit(w)) for w in ABUSE])
+    abuse = F.when(listed, F.regexp_count(low, F.lit(r"\b(" + "|".join(ABUSE) + r")\b"))).otherwise(0)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    no_gaps = F.translate(text, WORD_GAPS, "")
+    n_marks = lambda signs: F.length("_marks") - F.length(F.translate("_marks", signs, ""))
     df = df.select(
         *docs.columns,
         F.col("_n").cast("long").alias("n_words"),
-        F.length(no_gaps).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        n_marks(SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered(F.col("_at"), WINDOW), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.struct(
@@ -133,8 +138,8 @@ def measure(docs: DataFrame, words: dict[str, dict[str, float]] | None = None) -
             abuse.alias("abuse"),
             _learned(text, lang, words or {}).alias("toxic"),
             F.coalesce(lang == "en", F.lit(False)).alias("listed"),
-            (F.length(text) - F.length(F.translate(text, "!", ""))).alias("bangs"),
-            (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÀÇÑÓÍÁÚ", ""))).alias("upper"),
+            n_marks("!").alias("bangs"),
+            n_marks(CAPITALS).alias("upper"),
             F.regexp_count(text, F.lit(r"[\x20\n]\|[\x20\n]")).alias("bars"),
         ).alias("_q"),
     )
