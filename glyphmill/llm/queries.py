@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import decontam, hmm, lines, minhash, mixing, pages, pii, quality, substrings, suffixes
+from glyphmill.llm import decontam, hmm, lines, minhash, mixing, pages, pii, quality, ranked, resampling, substrings, suffixes, wavelet
 from glyphmill.session import table
 
 
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_semi_markov_crf": _documents(pii.op8),
         "op9_line_chunks": _documents(lines.op9),
         "op10_prefix_free_parsing": _documents(suffixes.op10),
+        "op11_ranked_search": lambda spark, d: ranked.op11(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op12_wavelet_matrix": _documents(wavelet.op12),
+        "op13_bucket_resampling": lambda spark, d: resampling.op13(table(spark, d, "documents"), table(spark, d, "benchmark")),
     }
 
 
@@ -91,6 +94,56 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(len(l.js), 0
 FROM doc d LEFT JOIN lists l USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), sizes AS (SELECT doc_id, len(w) AS n FROM doc WHERE len(w) > 0
+), total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM sizes
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM doc) GROUP BY doc_id, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * nd + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, nd
+), item AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l)))) AS BIGINT) AS score
+  FROM item JOIN weight USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), total GROUP BY item_id, doc_id
+), ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+OP13_SQL = r"""
+WITH tab AS (
+  SELECT list_transform(range(16), lambda i: list_reduce([0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab
+), doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), runs AS (
+  SELECT doc_id, unnest([array_to_string(w[i : i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS f FROM doc, (SELECT unnest([1, 2, 3]) AS k)
+), target_runs AS (
+  SELECT unnest([array_to_string(w[i : i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS f FROM item, (SELECT unnest([1, 2, 3]) AS k)
+), by_doc AS (SELECT doc_id, f, count(*) AS c FROM runs GROUP BY doc_id, f
+), hexed AS (SELECT f, hex(encode(f)) AS hx FROM (SELECT f FROM by_doc UNION SELECT f FROM target_runs)
+), nibbles AS (
+  SELECT f, list_transform(range(len(hx)), lambda i: strpos('0123456789ABCDEF', hx[i + 2 - 2 * (i % 2)]) - 1) AS ns FROM hexed
+), bucketed AS (
+  SELECT f, xor(list_reduce(ns, lambda c, x: xor(tab[CAST(xor(c, x) & 15 AS INTEGER) + 1], c >> 4), 4294967295), 4294967295) % 10000 AS b FROM nibbles, tab
+), s AS (SELECT b, CAST(sum(c) AS BIGINT) AS s FROM by_doc JOIN bucketed USING (f) GROUP BY b
+), t AS (SELECT b, count(*) AS t FROM target_runs JOIN bucketed USING (f) GROUP BY b
+), alls AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS sa, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS ta
+), gains AS (
+  SELECT b, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (sa + 10000) / ((s::DOUBLE + 1) * (ta + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b), alls
+), weights AS (SELECT doc_id, sum(g * c) AS weight, sum(c) AS n FROM by_doc JOIN bucketed USING (f) JOIN gains USING (b) GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, len(w) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((('0x' || sha256('42:' || d.doc_id)[1:8])::BIGINT + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM doc d LEFT JOIN weights x ON d.doc_id = x.doc_id
+), able AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE words >= 20
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank FROM scored s LEFT JOIN able USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_tensored_minhash": OP4_SQL, "op5_wu_manber": OP5_SQL, "op6_super_kmers": OP6_SQL}
+    return {"op13_bucket_resampling": OP13_SQL, "op11_ranked_search": OP11_SQL, "op4_tensored_minhash": OP4_SQL, "op5_wu_manber": OP5_SQL, "op6_super_kmers": OP6_SQL}
