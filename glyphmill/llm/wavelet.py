@@ -35,8 +35,9 @@ STEP = 512
 FILE = "part int, shard int, before long, n_tokens long, docs array<long>, ends array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
 #: A white space before a space: the space is not where a piece may begin.
 _RUN = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
-#: A Latin word and ASCII punctuation without apostrophe: two pre-tokens.
-_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: A Latin word and ASCII punctuation without apostrophe: two pre-tokens; perhaps another such pair on the next line.
+_PAIR = r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)"
+_WORD = re.compile(f"{_PAIR}(?:\n{_PAIR})?")
 
 
 class Encoder:
@@ -60,7 +61,7 @@ class Encoder:
         self.written = {c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in latin}
         self.table = str.maketrans(self.written)
         self.known: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {"": b""}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,22 +69,36 @@ class Encoder:
     def _model(self, pretoken: str) -> bytes:
         return array(self.code, [t.id for t in self.model.tokenize(pretoken.translate(self.table))]).tobytes()
 
+    def _plain(self, pretoken: str) -> bytes:
+        """Ids of a pre-token without a space before it."""
+        if (ids := self.bare.get(pretoken)) is None:
+            ids = self.bare[pretoken] = self._model(pretoken)
+        return ids
+
     def _learn(self, pieces: list[str]) -> None:
         """Remember the ids of pieces; each of them stands after a space."""
-        rest, known = [], self.known
+        rest, known, space = [], self.known, self.written[" "]
+        line = self._plain("\n")
         for p in pieces:
             if not (m := _WORD.fullmatch(p)):
                 rest.append(p)
                 continue
-            word, mark = m.groups()
-            if word not in known:
-                known[word] = self._model(" " + word)
-            if mark:
-                if mark not in self.marks:
-                    self.marks[mark] = self._model(mark)
-                known[p] = known[word] + self.marks[mark]
+            word, mark, below, end = m.groups()
+            if (ids := known.get(word)) is None:
+                written = word if word.isascii() else word.translate(self.table)
+                ids = known[word] = array(self.code, [t.id for t in self.model.tokenize(space + written)]).tobytes()
+            if below:
+                known[p] = ids + self._plain(mark) + line + self._plain(below) + self._plain(end)
+            elif mark:
+                known[p] = ids + self._plain(mark)
         known.update(zip(rest, self._library([" " + p for p in rest])))
 
+    def _heads(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that begin a text."""
+        other = {p for p in pieces if not (m := _WORD.fullmatch(p)) or m[3]}
+        found = dict(zip(other, self._library(list(other))))
+        return [found[p] if p in found else b"".join(map(self._plain, _WORD.fullmatch(p).groups()[:2])) for p in pieces]
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, with end after each, and where each text ends."""
         if not len(texts):
@@ -92,11 +107,13 @@ class Encoder:
         if pc.any(pc.match_substring_regex(texts, _RUN)).as_py():
             cut = pa.array([_merged(c) for c in cut.to_pylist()], pa.list_(pa.string()))
         first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
-        heads = self._library(cut.flatten().take(pa.array(first)).to_pylist())
+        heads = self._heads(cut.flatten().take(pa.array(first)).to_pylist())
         codes = cut.flatten().dictionary_encode()
         pieces = codes.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:  # the half learned first goes
             self.known = dict(islice(self.known.items(), REMEMBERED // 2, None))
+        if len(self.bare) > REMEMBERED // 4:
+            self.bare = {"": b""}
         self._learn([p for p in pieces if p not in self.known])
         table = [*map(self.known.__getitem__, pieces), *heads, np.array([end], self.width).tobytes()]
         step = np.dtype(self.width).itemsize
