@@ -56,7 +56,8 @@ def contour_segments(values: Column, w: int, h: int, level: float) -> Column:
     """array<struct<x, y, u, v>>: marching squares over a raster at a level, pixel centres at whole coordinates.
 
     A corner is inside if it lies over the level. Cells with two opposite corners inside join them if the cell's mean is
-    inside too. Not oriented.
+    inside too. Oriented with the inside on the right (y down), so a ring around ink has a positive area. Segments without
+    length are left out.
     """
     n = (w - 1) * (h - 1)
 
@@ -66,16 +67,15 @@ def contour_segments(values: Column, w: int, h: int, level: float) -> Column:
         tl, tr, bl, br = F.get(values, at), F.get(values, at + 1), F.get(values, at + w), F.get(values, at + w + 1)
         cut = lambda a, b: F.when(a == b, 0.5).otherwise((level - a) / (b - a))
         point = lambda px, py: F.struct(px.cast("double").alias("x"), py.cast("double").alias("y"))
-        top, bottom = point(x + cut(tl, tr), y), point(x + cut(bl, br), y + 1)
-        left, right = point(x, y + cut(tl, bl)), point(x + 1, y + cut(tr, br))
-        a, b, c, d = tl > level, tr > level, br > level, bl > level
+        sides = (point(x + cut(tl, tr), y), point(x + 1, y + cut(tr, br)), point(x + cut(bl, br), y + 1), point(x, y + cut(tl, bl)))
+        corners = [v > level for v in (tl, tr, br, bl)]
+        around = list(zip(sides, corners, corners[1:] + corners[:1]))
+        # Clockwise around the cell, the contour leaves by a side from inside to outside and comes back by the opposite kind.
+        out = F.array_compact(F.array(*[F.when(a & ~b, side) for side, a, b in around]))
+        back = F.array_compact(F.array(*[F.when(~a & b, side) for side, a, b in around]))
+        straight = (F.size(out) < 2) | (corners[0] == ((tl + tr + bl + br) / 4 > level))
         line = lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), q["x"].alias("u"), q["y"].alias("v"))
-        saddle = (a == c) & (b == d) & (a != b)
-        joined = (tl + tr + bl + br) / 4 > level
-        ends = F.array_compact(F.array(F.when(a != b, top), F.when(b != c, right), F.when(d != c, bottom), F.when(a != d, left)))
-        # The pieces of a saddle cut off the corners that stand apart.
-        around_a = F.array(line(top, left), line(right, bottom))
-        around_b = F.array(line(top, right), line(left, bottom))
-        return F.when(saddle, F.when(a == joined, around_b).otherwise(around_a)).when(F.size(ends) == 2, F.array(line(F.get(ends, 0), F.get(ends, 1)))).otherwise(F.slice(around_a, 1, 0))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell))
+        return F.zip_with(out, F.when(straight, back).otherwise(F.reverse(back)), line)
+
+    found = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell))
+    return F.filter(found, lambda s: F.hypot(s["u"] - s["x"], s["v"] - s["y"]) > 1e-9)

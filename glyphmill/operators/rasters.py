@@ -56,7 +56,8 @@ def _ring(p: Column, f) -> Column:
 
 def points(values: Column) -> Column:
     """Pairs of values as x, y."""
-    return F.transform(F.sequence(F.lit(0), (F.size(values) / 2).cast("int") - 1), lambda i: F.struct(F.get(values, 2 * i).cast("double").alias("x"), F.get(values, 2 * i + 1).cast("double").alias("y")))
+    whole = F.filter(F.sequence(F.lit(0), F.greatest(F.size(values), F.lit(2))), lambda i: 2 * i + 1 < F.size(values))
+    return F.transform(whole, lambda i: F.struct(F.get(values, 2 * i).cast("double").alias("x"), F.get(values, 2 * i + 1).cast("double").alias("y")))
 
 
 def total(values: Column) -> Column:
@@ -82,6 +83,69 @@ def dilated(m: Column, w: int, h: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), pixel)
 
 
+def padded(values: Column, w: int, h: int) -> Column:
+    """A raster with a border of one pixel of zeros."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda y: F.concat(zeros(1), F.slice(values, y * w + 1, F.lit(w)), zeros(1)))
+    return F.concat(zeros(w + 2), F.flatten(rows), zeros(w + 2))
+
+
+def _centre(m: Column, w: int) -> Column:
+    """struct<n, x, y>: set pixels and their mean place."""
+    at = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i))
+    mean = lambda f: F.try_divide(F.aggregate(at, F.lit(0).cast("bigint"), lambda a, i: a + f(i)), F.size(at))
+    return F.struct(F.size(at).alias("n"), mean(lambda i: i % w).alias("x"), mean(lambda i: F.floor(i / w)).alias("y"))
+
+
+#: Shifts tried on either side of the one that brings the centres together.
+REACH = 4
+
+
+def aligned(ref: Column, other: Column, w: int, h: int) -> Column:
+    """struct<dx, dy, score>: the shift of mask `other` with the greatest intersection over union with mask ref.
+
+    Of the 81 shifts around the difference of both centres (rounded half to even) the best, among equals the least dy, then
+    the least dx. (0, 0, 0) where either mask is empty. The kernel only counts; the choice is an expression.
+    """
+
+    @F.pandas_udf("array<struct<dy:int,dx:int,both:int,either:int>>")
+    def counts(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(a, b, x0, y0):
+            if a is None or b is None or pd.isna(x0) or pd.isna(y0):
+                return None
+            a, b, out = np.asarray(a, bool).reshape(h, w), np.asarray(b, bool).reshape(h, w), []
+            for dy in range(int(y0) - REACH, int(y0) + REACH + 1):
+                for dx in range(int(x0) - REACH, int(x0) + REACH + 1):
+                    moved = b[max(0, -dy) : max(0, h - dy), max(0, -dx) : max(0, w - dx)]
+                    under = a[max(0, dy) : max(0, h + dy), max(0, dx) : max(0, w + dx)]
+                    both = int((moved & under).sum())
+                    out.append({"dy": dy, "dx": dx, "both": both, "either": int(a.sum()) + int(moved.sum()) - both})
+            return out
+
+        return pd.Series([one(*r) for r in zip(a, b, x, y)])
+
+    p, q = _centre(ref, w), _centre(other, w)
+    table = counts(ref, other, F.rint(p["x"] - q["x"]), F.rint(p["y"] - q["y"]))
+    scored = F.transform(table, lambda s: F.struct(F.when(s["either"] > 0, s["both"] / s["either"]).otherwise(0.0).alias("score"), (-s["dy"]).alias("up"), (-s["dx"]).alias("left")))
+    best = F.array_max(scored)
+    found = F.struct((-best["left"]).alias("dx"), (-best["up"]).alias("dy"), best["score"].alias("score"))
+    none = F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(0.0).alias("score"))
+    return F.when((p["n"] > 0) & (q["n"] > 0), found).otherwise(none)
+
+
+def merged(observations, key: str, w: int, h: int):
+    """key, alpha: the mean by pixel of observations (key, alpha, w, h, dx, dy) placed at (dx, dy) on a canvas of w x h; 0 where none covers.
+
+    Pixels are grouped with partial means before the shuffle; a canvas comes back as one array.
+    """
+    pixels = observations.select(key, F.col("w").alias("_w"), "dx", "dy", F.posexplode("alpha").alias("_i", "_v"))
+    x, y = F.col("_i") % F.col("_w") + F.col("dx"), F.floor(F.col("_i") / F.col("_w")) + F.col("dy")
+    placed = pixels.filter((x >= 0) & (x < w) & (y >= 0) & (y < h)).select(key, (y * w + x).cast("int").alias("_i"), F.col("_v").cast("double").alias("_v"))
+    empty = observations.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(w * h - 1))).alias("_i"), F.lit(None).cast("double").alias("_v"))
+    means = placed.unionByName(empty).groupBy(key, "_i").agg(F.coalesce(F.avg("_v"), F.lit(0.0)).alias("_v"))
+    return means.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_p")).select(key, F.transform("_p", lambda p: p["_v"]).alias("alpha"))
+
+
 def chamfer(m: Column, w: int, h: int) -> Column:
     """3-4 distance of each pixel to the nearest set one; (w + h) * 8 where none is set.
 
@@ -111,7 +175,7 @@ def chamfer(m: Column, w: int, h: int) -> Column:
 
         return masks.map(one)
 
-    return F.pandas_udf(distances, T.ArrayType(T.IntegerType()), F.PandasUDFType.SCALAR)(m)
+    return F.pandas_udf(distances, T.ArrayType(T.IntegerType()))(m)
 
 
 def rasterized(p: Column, w: int, h: int) -> Column:

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from glyphmill.operators import discovery
-from glyphmill.plans import catalog
+from glyphmill.plans import catalog, shapes  # noqa: F401 (shapes adds its queries to the catalog)
 
 SF = "/root/testdata/sf0.001"
 

@@ -38,5 +38,6 @@ def test_contours(spark):
     df = spark.createDataFrame(cells, "id int, v array<double>").select("id", curves.contour_segments(F.col("v"), 2, 2, 0.45).alias("s"))
     got = {r["id"]: [tuple(round(c, 3) for c in s) for s in r["s"]] for r in df.collect()}
     assert [len(got[i]) for i in (1, 2, 3, 4)] == [2, 2, 0, 1]
-    assert got[1] == [(0.55, 0, 0, 0.55), (1, 0.45, 0.45, 1)] or got[1] == [(0.55, 0, 1, 0.45), (0, 0.55, 0.45, 1)]
+    assert got[1] == [(0.55, 0, 1, 0.45), (0.45, 1, 0, 0.55)]  # joined, ink on the right
+    assert got[2] == [(0.55, 0, 0, 0.55), (0.562, 1, 1, 0.562)]  # apart
     assert got[4] == [(0.55, 0, 0.55, 1)]
