@@ -51,18 +51,18 @@ def stale(jobs: DataFrame, beat: str, now: Column, seconds: int, owner: Column,
 def requeue(jobs: DataFrame, beat: str, now: Column, seconds: int, owner: str, me: str) -> tuple[DataFrame, DataFrame]:
     """(jobs, events): stale jobs go back to QUEUED without stage, worker and heartbeat and with one more attempt; one event for each.
 
-    beat is text; one that is no timestamp is stale. Without a heartbeat a job is stale if another worker (or none) owns it.
-    Terminal and queued jobs aren't looked at.
+    beat is text; one that is no timestamp is stale. Without a heartbeat (null or empty) a job is stale if another worker (or
+    none) owns it. Terminal and queued jobs aren't looked at. An event names the worker that had the job and the one that requeued it.
     """
     at = F.col(beat).try_cast("timestamp")
     old = at.isNull() | (at <= now - F.expr(f"interval {seconds} seconds"))
-    gone = ~F.col("status").isin(*TERMINAL, "QUEUED") & F.when(F.col(beat).isNull(), ~F.col(owner).eqNullSafe(F.lit(me))).otherwise(old)
+    gone = ~F.col("status").isin(*TERMINAL, "QUEUED") & F.when(F.coalesce(beat, F.lit("")) == "", ~F.col(owner).eqNullSafe(F.lit(me))).otherwise(old)
     marked = jobs.withColumn("_gone", gone)
     empty = lambda c: F.when(F.col("_gone"), F.lit(None)).otherwise(F.col(c)).alias(c)
     kept = {"status": F.when(F.col("_gone"), "QUEUED").otherwise(F.col("status")).alias("status"), "attempts": (F.col("attempts") + F.col("_gone").cast("int")).alias("attempts")}
     cleared = ("stage", owner, beat)
     out = marked.select(*[empty(c) if c in cleared else kept.get(c, F.col(f"`{c}`")) for c in jobs.columns])
-    return out, marked.filter("_gone").select("id", F.lit("requeued").alias("event"))
+    return out, marked.filter("_gone").select("id", F.lit("requeued_stale").alias("event"), F.col(owner).alias("previous_worker"), F.lit(me).alias("requeued_by"))
 
 
 def transitions(jobs: DataFrame, commands: DataFrame) -> DataFrame:

@@ -42,3 +42,57 @@ def silent(beats: DataFrame, seconds: int, late: str) -> DataFrame:
     """beats (worker, ts) -> worker, last: a session of beats that ended `seconds` ago by the watermark."""
     sessions = beats.withWatermark("ts", late).groupBy(F.session_window("ts", f"{seconds} seconds"), "worker").agg(F.max("ts").alias("last"))
     return sessions.select("worker", "last")
+
+
+def requeues(beats: DataFrame, seconds: int, late: str, me: str) -> DataFrame:
+    """beats (job, worker, ts, status) -> job, event, previous_worker, requeued_by, silent_since, attempts: one row when a job's worker falls silent.
+
+    Each beat puts the job's timer off to `seconds` after the latest one; when the watermark passes it, the job is requeued once
+    and forgets its worker, until another beat claims it. A terminal status ends the job for good; beats after it, and beats
+    sent again, change nothing. attempts counts the requeues of a job. State is one small row a job.
+    """
+    schema = "job string, event string, previous_worker string, requeued_by string, silent_since timestamp, attempts int"
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        worker, last, attempts, over = state.get if state.exists else (None, 0, 0, False)
+        if state.hasTimedOut:
+            since = pd.Timestamp(last, unit="ms")
+            yield pd.DataFrame({"job": [key[0]], "event": ["requeued_stale"], "previous_worker": [worker], "requeued_by": [me], "silent_since": [since], "attempts": [attempts + 1]})
+            state.update((None, last, attempts + 1, over))
+            return
+        for f in frames:
+            for ts, who, status in zip(f["ts"], f["worker"], f["status"]):
+                at = int(pd.Timestamp(ts).timestamp() * 1000)
+                over = over or status in TERMINAL
+                if at > last:
+                    worker, last = who, at
+        state.update((worker, last, attempts, over))
+        if not over and worker is not None:
+            state.setTimeoutTimestamp(max(last + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    rows = beats.withWatermark("ts", late).select("job", "worker", "ts", "status").groupBy("job")
+    return rows.applyInPandasWithState(run, schema, "worker string, last long, attempts int, over boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def freeze(path: str, key: str):
+    """A foreachBatch sink for frozen units: each batch is one folder below path, written whole, so a batch sent again replaces itself.
+
+    Units of one batch are reduced to the last by seq before they are written.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*")
+        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def frozen(batches: DataFrame, key: str) -> DataFrame:
+    """The last state of each unit over all batches of a frozen folder: the later batch, then the higher seq."""
+    columns = [c for c in batches.columns if c != "batch"]
+    return batches.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("batch", "seq")).alias("r")).select("r.*")
+
+
+def frozen_counts(batches: DataFrame, key: str, entry: str) -> DataFrame:
+    """entry, frozen: units of each entry of the ledger, each once however many batches hold it."""
+    return frozen(batches, key).groupBy(entry).agg(F.count("*").alias("frozen"))
