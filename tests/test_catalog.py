@@ -5,7 +5,7 @@ import os
 import pytest
 
 from glyphmill.operators import discovery
-from glyphmill.plans import catalog, records, shapes  # noqa: F401 (they add their queries to the catalog)
+from glyphmill.plans import catalog, lifecycle, records, shapes  # noqa: F401 (they add their queries to the catalog)
 
 SF = "/root/testdata/sf0.001"
 
