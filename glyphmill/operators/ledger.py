@@ -89,3 +89,25 @@ def child_update(events: DataFrame, key: str, order: Sequence[str], status: str,
         F.max_by(status, at).alias("status"), F.min(F.when(F.col(status).isin(*active), ts)).alias("started_at"), F.max(F.when(F.col(status).isin(*terminal), ts)).alias("finished_at"),
         F.max_by(error, F.when(error.isNotNull(), at)).alias("error_code"),
     )
+
+
+def failures(rows: DataFrame, key: str, gid: str, failed: Column, reason: Column) -> DataFrame:
+    """key, gid, reason of each glyph that failed, once: the report's failed ids as rows, however many a key has."""
+    return rows.filter(failed).select(key, gid, F.coalesce(reason, F.lit("UNKNOWN")).alias("reason")).distinct()
+
+
+def block_digests(packages: DataFrame, key: str, digest: Column, digits: int = 2) -> DataFrame:
+    """key, block, n, sha256: a hash over the sorted digests (lowercase hex) of each block, a block being a prefix of so many digits.
+
+    A key's digests come together a block at a time; more digits make smaller blocks.
+    """
+    rows = packages.select(key, digest.alias("_d")).filter("_d is not null").withColumn("block", F.substring("_d", 1, digits))
+    sums = rows.groupBy(key, "block").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("_d")).alias("_d"))
+    return sums.select(key, "block", "n", F.sha2(F.concat_ws(",", "_d"), 256).alias("sha256"))
+
+
+def manifest_by_blocks(packages: DataFrame, key: str, digest: Column, digits: int = 2) -> DataFrame:
+    """key, n, blocks, sha256: the hash over a key's block hashes in the order of blocks, 16**digits of them at most."""
+    blocks = block_digests(packages, key, digest, digits).groupBy(key)
+    sums = blocks.agg(F.sum("n").alias("n"), F.count("*").alias("blocks"), F.array_sort(F.collect_list(F.struct("block", "sha256"))).alias("b"))
+    return sums.select(key, "n", "blocks", F.sha2(F.array_join(F.transform("b", lambda b: F.concat(b["block"], F.lit(":"), b["sha256"])), ","), 256).alias("sha256"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import lifecycle, markup
+from glyphmill.operators import ledger, lifecycle, markup
 from glyphmill.plans.catalog import STATUS_SQL, _orders, query
 from glyphmill.session import table
 
@@ -104,3 +104,17 @@ def frozen_styles(spark, d):
     status = F.when(F.col("style") % 3 == 0, "binary").when(F.col("style") % 3 == 1, "fontmodel").otherwise("partial")
     out = lifecycle.hollow_hits(sums.withColumn("status", status).withColumn("reconstructed", F.col("refined")))
     return out.select("style", "fast", "refined", "frozen", "error", "invalidated", "serve")
+
+
+@query("SELECT DISTINCT l_suppkey, l_partkey, CASE WHEN l_linestatus = 'O' THEN 'gate' ELSE 'UNKNOWN' END AS reason FROM lineitem WHERE l_returnflag = 'R'")
+def style_failures(spark, d):
+    """Returned lines as failed glyphs of a supplier's style, one row each."""
+    return ledger.failures(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "O", "gate"))
+
+
+@query("""WITH b AS (SELECT l_returnflag, left(x, 2) AS block, count(*) AS n, sha256(string_agg(x, ',' ORDER BY x)) AS s FROM (SELECT l_returnflag, md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS x FROM lineitem) GROUP BY ALL)
+  SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS n, count(*) AS blocks, sha256(string_agg(block || ':' || s, ',' ORDER BY block)) AS sha256 FROM b GROUP BY l_returnflag""")
+def manifest_blocks(spark, d):
+    """Manifests of three keys that hold all order lines."""
+    digest = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]))
+    return ledger.manifest_by_blocks(table(spark, d, "lineitem"), "l_returnflag", digest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmill.operators import contours, curves, rasters
-from glyphmill.plans.catalog import CELLS_SQL, E64, _masks, query
+from glyphmill.plans.catalog import CELLS_SQL, E64, _masks, _ring, oracle_sql, query
 from glyphmill.session import table
 
 
@@ -131,3 +131,22 @@ def fitted_rings(spark, d):
     same = F.forall(F.sequence(F.lit(0), F.size("c") - 1), lambda i: F.get(F.get(F.col("c"), i), F.lit(3)) == after(i))
     far = contours.deviation(F.col("p"), F.col("f"))
     return e.select("vec_id", (F.size("c") >= 4).alias("whole"), same.alias("joined"), (far <= 1.5).alias("within"))
+
+
+def _edges(spark, d):
+    e = _ring(spark, d).select("vec_id", F.size("p").alias("n"), "p", F.posexplode("p").alias("i", "a"))
+    after = F.get("p", (F.col("i") + 1) % F.col("n"))
+    return e.select("vec_id", "i", "n", F.col("a.x").alias("x"), F.col("a.y").alias("y"), after["x"].alias("u"), after["y"].alias("v"))
+
+
+@query(oracle_sql()["rasterized_ink"])
+def rasterized_spans(spark, d):
+    """Ink of each vector's ring on 16 x 16 pixels, by the runs of its rows."""
+    got = rasters.spans(_edges(spark, d), "vec_id", 16, 16).groupBy("vec_id").agg(F.sum(F.col("x1") - F.col("x0")).cast("int").alias("ink"))
+    return table(spark, d, "embeddings").select("vec_id").join(got, "vec_id", "left").select("vec_id", F.coalesce("ink", F.lit(0)).alias("ink"))
+
+
+@query(oracle_sql()["self_crossings"])
+def grid_crossings(spark, d):
+    """Proper crossings of each vector's ring on a grid that fits its edges."""
+    return rasters.crossings_on_grid(_edges(spark, d), "vec_id")

@@ -136,3 +136,19 @@ def test_merge(spark):
     rows = [("k", [1.0, 0.0, 0.5, 0.5], 2, 2, 0, 0), ("k", [1.0, 1.0, 1.0, 1.0], 2, 2, 1, 0), ("k", [1.0], 1, 1, -1, 5), ("far", [1.0], 1, 1, 9, 9)]
     df = spark.createDataFrame(rows, "id string, alpha array<double>, w int, h int, dx int, dy int")
     assert {r["id"]: r["alpha"] for r in rasters.merged(df, "id", 3, 2).collect()} == {"k": [1, 0.5, 1, 0.5, 0.75, 1], "far": [0] * 6}
+
+
+def test_crossings_of_long_edges(spark):
+    """A star of long edges among many short ones, against all pairs."""
+    rng = random.Random(6)
+    p = [(rng.uniform(0, 900), rng.uniform(0, 900)) if i % 9 == 0 else (50 + i * 3 % 40, 60.0 + i % 7) for i in range(80)] + [(5.0, 5.0), (5.0, 400.0)]
+    n = len(p)
+    edges = [(1, i, n, *map(float, p[i]), *map(float, p[(i + 1) % n])) for i in range(n)]
+
+    def side(e, x, y):
+        return (e[5] - e[3]) * (y - e[4]) - (e[6] - e[4]) * (x - e[3])
+
+    apart = lambda e, o: side(e, o[3], o[4]) * side(e, o[5], o[6]) < -1e-12
+    want = sum(apart(a, b) and apart(b, a) for i, a in enumerate(edges) for j, b in enumerate(edges) if 1 < j - i < n - 1)
+    df = spark.createDataFrame(edges, "id int, i int, n int, x double, y double, u double, v double")
+    assert want > 20 and rasters.crossings_on_grid(df, "id").first()["n"] == want
