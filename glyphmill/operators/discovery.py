@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import page_signature
+from glyphmill.functions.text import page_signature, weight_of
 from glyphmill.sources.landed import layout_entries
 
 
@@ -90,3 +90,17 @@ def discovered(pages: DataFrame, key: str, full: int, most: int = 40) -> DataFra
     adds = F.col("reason").isNull() | F.col("reason").isin("short_page", "max_pages") | ((F.col("reason") == "error") & ~F.col("gap") & ~F.col("failed"))
     counted = ~(F.col("gap") | F.col("failed"))
     return kept.groupBy(key).agg(F.count_if(counted).alias("pages"), F.max("reason").alias("stop_reason"), F.sum(F.when(adds, F.coalesce("new", F.lit(0))).otherwise(0)).alias("found"))
+
+
+def styles(candidates: DataFrame, page: str, key: str, pos: str, name: str, pattern: str) -> DataFrame:
+    """page, index, key, pos, name, weight, name_source, synthesized: the styles of each page in document order.
+
+    The first candidate of a key makes a style; if it has no name, the first later one that has gives name, weight and source.
+    A style that stays without a name is 'Style n' with n its index from 1, without a weight, its source the first candidate's.
+    """
+    filled = F.nullif(F.trim(F.col(name)), F.lit(""))
+    named = F.when(filled.isNotNull(), F.col(pos))
+    found = candidates.groupBy(page, key).agg(F.min(pos).alias("pos"), F.min_by(filled, named).alias("_name"), F.coalesce(F.min_by(pattern, named), F.min_by(pattern, pos)).alias("name_source"))
+    df = found.withColumn("index", F.row_number().over(Window.partitionBy(page).orderBy("pos")))
+    given = F.coalesce("_name", F.concat(F.lit("Style "), F.col("index").cast("string")))
+    return df.select(page, "index", key, "pos", given.alias("name"), weight_of(F.col("_name")).alias("weight"), "name_source", F.col("_name").isNull().alias("synthesized"))

@@ -91,3 +91,31 @@ def ladder(rows: DataFrame, key: str, levels: Sequence[Callable[[DataFrame], Col
 def all_engines(passed: Sequence[Column]) -> Column:
     """Whether all engines pass; one that was skipped (null) counts as passed."""
     return functools.reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(True)) for p in passed])
+
+
+def structural(glyphs: DataFrame, cmap: DataFrame, model: str) -> DataFrame:
+    """model, glyphs, mapped, errors, passed of every model in glyphs (name, advance, loads): what can be judged on tables.
+
+    errors, in this order: EMPTY_CMAP, DANGLING_CMAP (a code point of cmap (cp, name) whose glyph the model lacks), TOO_FEW_GLYPHS (below
+    two), OUTLINE (a glyph that doesn't load), NEGATIVE_ADVANCE.
+    """
+    own = glyphs.groupBy(model).agg(F.count("*").alias("glyphs"), F.max(~F.col("loads")).alias("_broken"), F.max(F.col("advance") < 0).alias("_negative"))
+    held = cmap.join(glyphs.select(model, "name").distinct().withColumn("_has", F.lit(True)), [model, "name"], "left")
+    mapped = held.groupBy(model).agg(F.count_distinct("cp").alias("mapped"), F.max(F.col("_has").isNull()).alias("_dangling"))
+    df = own.join(mapped, model, "left").withColumn("mapped", F.coalesce("mapped", F.lit(0)))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rules = [("EMPTY_CMAP", F.col("mapped") == 0), ("DANGLING_CMAP", yes("_dangling")), ("TOO_FEW_GLYPHS", F.col("glyphs") < 2), ("OUTLINE", yes("_broken")), ("NEGATIVE_ADVANCE", yes("_negative"))]
+    return df.select(model, "glyphs", "mapped", failures(rules).alias("errors")).withColumn("passed", F.size("errors") == 0)
+
+
+def rendered(models: DataFrame, inks: DataFrame, model: str, sample: str, least: float = 0.8) -> DataFrame:
+    """model, total, empty, passed: how many different letters and digits of a sample text leave no ink.
+
+    inks (model, cp, ink): set pixels of a code point's glyph; one that isn't there is empty. Passed with over `least` of them
+    inked, or none to look at.
+    """
+    chars = models.select(model, F.explode(F.array_distinct(F.filter(F.split(F.lit(sample), ""), lambda c: c.rlike(r"[\p{L}\p{N}]")))).alias("c")).withColumn("cp", F.ascii("c"))
+    inked = inks.filter("ink > 0").select(model, "cp").distinct().withColumn("_ink", F.lit(1))
+    sums = chars.join(inked, [model, "cp"], "left").groupBy(model).agg(F.count("*").alias("total"), F.count_if(F.col("_ink").isNull()).alias("empty"))
+    out = models.select(model).join(sums, model, "left").select(model, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "empty")])
+    return out.withColumn("passed", F.when(F.col("total") > 0, (F.col("total") - F.col("empty")) / F.greatest("total", F.lit(1)) > least).otherwise(True))

@@ -275,3 +275,38 @@ def crossings_on_grid(edges, key: str):
     apart = lambda e, o: side(e, c(o, "x"), c(o, "y")) * side(e, c(o, "u"), c(o, "v")) < -1e-12
     met = pairs.filter(apart("p", "q") & apart("q", "p")).select(c("p", key).alias(key), c("p", "i").alias("i"), c("q", "i").alias("j")).distinct()
     return met.groupBy(key).agg(F.count("*").alias("n"))
+
+
+#: Share of the em square above the baseline, and units of the em square.
+ASCENT, UPEM = 0.80, 1000
+
+
+def baseline(size: Column, ascent: float = ASCENT) -> Column:
+    """The baseline's y in a cell of `size` pixels, from its top."""
+    return size * F.lit(ascent)
+
+
+def to_units(x: Column, y: Column, size: Column, base: Column, upem: int = UPEM) -> Column:
+    """struct<x, y>: pixels (y down from the top) as font units (y up from the baseline)."""
+    scale = F.lit(float(upem)) / size
+    return F.struct((x * scale).alias("x"), ((base - y) * scale).alias("y"))
+
+
+def to_pixels(x: Column, y: Column, size: Column, base: Column, upem: int = UPEM) -> Column:
+    """struct<x, y>: font units as pixels, the inverse of to_units."""
+    scale = size / F.lit(float(upem))
+    return F.struct((x * scale).alias("x"), (base - y * scale).alias("y"))
+
+
+def nudged(values: Column, w: int, h: int, delta: Column, axis: str) -> Column:
+    """A raster moved by a fraction of pixels along axis x or y: linear between neighbours, zeros come in. values and delta should be columns."""
+
+    def pixel(i: Column) -> Column:
+        x, y = i % w, F.floor(i / w).cast("int")
+        place, n = (x, w) if axis == "x" else (y, h)
+        lo = F.floor(place - delta).cast("int")
+        share = place - delta - lo
+        at = lambda k: F.when((k >= 0) & (k < n), F.get(values, y * w + k if axis == "x" else k * w + x)).otherwise(0.0)
+        return at(lo) * (1 - share) + at(lo + 1) * share
+
+    return F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), pixel)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import ledger, lifecycle, markup
+from glyphmill.operators import discovery, ledger, lifecycle, markup, metrics
 from glyphmill.plans.catalog import STATUS_SQL, _orders, query
 from glyphmill.session import table
 
@@ -118,3 +118,34 @@ def manifest_blocks(spark, d):
     """Manifests of three keys that hold all order lines."""
     digest = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]))
     return ledger.manifest_by_blocks(table(spark, d, "lineitem"), "l_returnflag", digest)
+
+
+@query("""WITH c AS (SELECT user_id, event_id % 17 AS key, event_id AS pos, CASE WHEN event_id % 3 = 0 THEN event_type || ' Bold' END AS name, 'p' || event_id % 2 AS pattern FROM events),
+  s AS (SELECT user_id, key, min(pos) AS pos, arg_min(name, pos) FILTER (name IS NOT NULL) AS name, coalesce(arg_min(pattern, pos) FILTER (name IS NOT NULL), arg_min(pattern, pos)) AS name_source FROM c GROUP BY ALL),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY pos) AS INTEGER) AS index FROM s)
+  SELECT user_id, index, key, pos, coalesce(name, 'Style ' || index) AS name, CASE WHEN name IS NOT NULL THEN 'Bold' END AS weight, name_source, name IS NULL AS synthesized FROM r""")
+def page_styles(spark, d):
+    """Events of a user as candidates of a page, a third of them with a name."""
+    n = F.col("event_id")
+    name = F.when(n % 3 == 0, F.concat("event_type", F.lit(" Bold"))).when(n % 3 == 1, " ")
+    rows = table(spark, d, "events").select("user_id", (n % 17).alias("key"), n.alias("pos"), name.alias("name"), F.concat(F.lit("p"), (n % 2).cast("string")).alias("pattern"))
+    return discovery.styles(rows, "user_id", "key", "pos", "name", "pattern")
+
+
+@query("""WITH g AS (SELECT l_orderkey AS model, l_linenumber AS name, l_quantity - 2 AS advance, l_suppkey % 40 > 0 AS loads FROM lineitem), c AS (SELECT l_orderkey AS model, 60 + l_linenumber AS cp, CASE WHEN l_suppkey % 25 = 0 THEN -1 ELSE l_linenumber END AS name FROM lineitem WHERE l_orderkey % 8 > 0),
+  o AS (SELECT model, count(*) AS glyphs, bool_or(NOT loads) AS broken, bool_or(advance < 0) AS negative FROM g GROUP BY model), m AS (SELECT model, count(DISTINCT cp) AS mapped, bool_or(name = -1) AS dangling FROM c GROUP BY model)
+  SELECT model, glyphs, coalesce(mapped, 0) AS mapped, concat_ws(',', CASE WHEN mapped IS NULL THEN 'EMPTY_CMAP' END, CASE WHEN dangling THEN 'DANGLING_CMAP' END, CASE WHEN glyphs < 2 THEN 'TOO_FEW_GLYPHS' END, CASE WHEN broken THEN 'OUTLINE' END, CASE WHEN negative THEN 'NEGATIVE_ADVANCE' END) AS errors FROM o LEFT JOIN m USING (model)""")
+def structural_checks(spark, d):
+    """Orders as models with their lines as glyphs; an eighth has no cmap, some map to glyphs that aren't there."""
+    rows, supp = table(spark, d, "lineitem"), F.col("l_suppkey")
+    glyphs = rows.select(F.col("l_orderkey").alias("model"), F.col("l_linenumber").alias("name"), (F.col("l_quantity") - 2).alias("advance"), (supp % 40 > 0).alias("loads"))
+    cmap = rows.filter("l_orderkey % 8 > 0").select(F.col("l_orderkey").alias("model"), (F.col("l_linenumber") + 60).alias("cp"), F.when(supp % 25 == 0, -1).otherwise(F.col("l_linenumber")).alias("name"))
+    return metrics.structural(glyphs, cmap, "model").select("model", "glyphs", "mapped", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""WITH k AS (SELECT DISTINCT l_orderkey, 64 + l_linenumber AS cp FROM lineitem WHERE l_quantity > 2), s AS (SELECT unnest([65, 66, 67, 68]) AS cp)
+  SELECT o_orderkey AS model, CAST(4 AS BIGINT) AS total, count(*) FILTER (k.cp IS NULL) AS empty, count(k.cp) / 4 > 0.8 AS passed FROM orders CROSS JOIN s LEFT JOIN k ON k.l_orderkey = o_orderkey AND k.cp = s.cp GROUP BY o_orderkey""")
+def rendered_samples(spark, d):
+    """Orders as models, their lines as the letters from A on, against a sample of four letters."""
+    inks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("model"), (F.col("l_linenumber") + 64).alias("cp"), F.greatest(F.col("l_quantity") - 2, F.lit(0.0)).alias("ink"))
+    return metrics.rendered(table(spark, d, "orders").select(F.col("o_orderkey").alias("model")), inks, "model", "AB, CAD!")

@@ -150,3 +150,24 @@ def rasterized_spans(spark, d):
 def grid_crossings(spark, d):
     """Proper crossings of each vector's ring on a grid that fits its edges."""
     return rasters.crossings_on_grid(_edges(spark, d), "vec_id")
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_quantity * 1000 / (64 * l_linenumber), 6) AS ux, round((51.2 * l_linenumber - l_tax * 500) * 1000 / (64 * l_linenumber), 6) AS uy, round(l_quantity, 6) AS px, round(l_tax * 500, 6) AS py FROM lineitem""")
+def unit_transforms(spark, d):
+    """Order lines as pixels in cells of several sizes, to font units and back."""
+    size, x, y = F.col("l_linenumber") * 64.0, F.col("l_quantity"), F.col("l_tax") * 500
+    rows = table(spark, d, "lineitem").withColumn("u", rasters.to_units(x, y, size, rasters.baseline(size)))
+    rows = rows.withColumn("p", rasters.to_pixels(F.col("u.x"), F.col("u.y"), size, rasters.baseline(size)))
+    return rows.select("l_orderkey", "l_linenumber", *[F.round(f"{s}.{c}", 6).alias(f"{s}{c}") for s in "up" for c in "xy"])
+
+
+@query(f"""WITH b AS ({E64}), k AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, CASE WHEN hi > lo THEN (CAST(e[i + 1] AS DOUBLE) - lo) / (hi::DOUBLE - lo) ELSE 0 END AS v FROM b, range(64) t(i)),
+  m AS (SELECT a.vec_id, a.x, a.y, sum(b.v * (1 - abs(b.x - (a.x - (a.vec_id % 7 - 3) / 4))) ) AS v FROM k a JOIN k b ON b.vec_id = a.vec_id AND b.y = a.y AND abs(b.x - (a.x - (a.vec_id % 7 - 3) / 4)) < 1 GROUP BY ALL),
+  f AS (SELECT k.vec_id, k.x, k.y, coalesce(m.v, 0) AS v FROM k LEFT JOIN m USING (vec_id, x, y)),
+  n AS (SELECT a.vec_id, a.x, a.y, sum(b.v * (1 - abs(b.y - (a.y - 0.25)))) AS v FROM f a JOIN f b ON b.vec_id = a.vec_id AND b.x = a.x AND abs(b.y - (a.y - 0.25)) < 1 GROUP BY ALL)
+  SELECT vec_id, round(sum(v), 6) AS total, round(sum(v * (y * 8 + x + 1)), 5) AS weighted FROM n GROUP BY vec_id""")
+def nudged_rasters(spark, d):
+    """Vectors as rasters, moved by quarters of a pixel to the side and a quarter down."""
+    e = _alphas(spark, d).select("vec_id", "v", ((F.col("vec_id") % 7 - 3) / 4).alias("dx"), F.lit(0.25).alias("dy"))
+    e = e.select("vec_id", "dy", rasters.nudged(F.col("v"), 8, 8, F.col("dx"), "x").alias("v")).select("vec_id", rasters.nudged(F.col("v"), 8, 8, F.col("dy"), "y").alias("v"))
+    return e.select("vec_id", F.round(rasters.total(F.col("v")), 6).alias("total"), F.round(rasters.total(F.transform("v", lambda v, i: v * (i + 1))), 5).alias("weighted"))

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import lifecycle, markup
+from glyphmill.operators import discovery, lifecycle, markup, metrics, rasters
 
 JOBS = "id string, source_url string, normalized_url string, status string, stage string, attempts int, cancel_requested boolean, created_at timestamp, updated_at timestamp, finished_at timestamp, error_code string, error_message string, zip_name string, zip_size long"
 COMMANDS = "job string, seq int, ts timestamp, command string, target string, error_code string, error_message string, zip_name string, zip_size long"
@@ -75,3 +75,34 @@ def test_pages_without_styles(spark):
     pages = spark.createDataFrame([(1, "<p data-MD5hash='x'>"), (2, "<p>"), (3, None), (4, "<p>")], "page int, html string")
     styles = spark.createDataFrame([(4,)], "page int")
     assert sorted(tuple(r) for r in markup.without_styles(pages, "page", styles).collect()) == [(1, "NO_STYLES"), (2, "NO_MARKER"), (3, "NO_MARKER")]
+
+
+def test_styles_of_a_page(spark):
+    rows = [("p", "k1", 5, None, "a"), ("p", "k2", 3, " Bold ", "a"), ("p", "k1", 9, "Thin", "b"), ("p", "k1", 12, "Black", "c"), ("p", "k3", 20, "", "d"), ("p", "k3", 21, None, "e"), ("q", "k1", 1, None, None)]
+    got = discovery.styles(spark.createDataFrame(rows, "page string, md5 string, pos int, name string, pattern string"), "page", "md5", "pos", "name", "pattern").collect()
+    assert sorted(tuple(r) for r in got) == [
+        ("p", 1, "k2", 3, "Bold", "Bold", "a", False), ("p", 2, "k1", 5, "Thin", "Thin", "b", False), ("p", 3, "k3", 20, "Style 3", None, "d", True), ("q", 1, "k1", 1, "Style 1", None, None, True),
+    ]
+
+
+def test_structure_and_ink(spark):
+    glyphs = spark.createDataFrame([("a", ".notdef", 500.0, True), ("a", "x", 1.0, True), ("b", "x", -1.0, False), ("c", "x", None, None), ("c", "y", 1.0, True)], "m string, name string, advance double, loads boolean")
+    cmap = spark.createDataFrame([("a", 65, "x"), ("c", 65, "z"), ("gone", 65, "x")], "m string, cp int, name string")
+    got = {r["m"]: (r["errors"], r["passed"]) for r in metrics.structural(glyphs, cmap, "m").collect()}
+    assert got == {"a": ([], True), "b": (["EMPTY_CMAP", "TOO_FEW_GLYPHS", "OUTLINE", "NEGATIVE_ADVANCE"], False), "c": (["DANGLING_CMAP"], False)}
+    models = spark.createDataFrame([("a",), ("b",)], "m string")
+    inks = spark.createDataFrame([("a", c, 9) for c in b"abcde"] + [("a", 102, 0), ("b", 97, None)], "m string, cp int, ink int")
+    assert {r["m"]: (r["total"], r["empty"], r["passed"]) for r in metrics.rendered(models, inks, "m", "a b,c-d e f f").collect()} == {"a": (6, 1, True), "b": (6, 6, False)}
+    assert {r["passed"] for r in metrics.rendered(models, inks, "m", " ..").collect()} == {True}
+
+
+def test_transforms_and_nudges(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0, 0.0, 0.0, 0.5, 0.0], 0.25), (2, [0.0, 1.0, 0.0, 0.0, 0.5, 0.0], -1.0), (3, [1.0] * 6, 9.0)], "id int, v array<double>, d double")
+    got = {r["id"]: r["n"] for r in df.select("id", rasters.nudged(F.col("v"), 3, 2, F.col("d"), "x").alias("n")).collect()}
+    assert got == {1: [0, 0.75, 0.25, 0, 0.375, 0.125], 2: [1, 0, 0, 0.5, 0, 0], 3: [0] * 6}
+    down = df.filter("id = 1").select(rasters.nudged(F.col("v"), 3, 2, F.lit(0.5), "y").alias("n")).first()["n"]
+    assert down == [0, 0.5, 0, 0, 0.75, 0]
+    u = spark.range(1).select(rasters.to_units(F.lit(32.0), F.lit(64.0), F.lit(64.0), rasters.baseline(F.lit(64.0))).alias("u")).first()["u"]
+    assert tuple(u) == (500.0, (51.2 - 64) * 1000 / 64)
+    means = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0],)], "v array<double>").select(rasters.block_means(F.col("v"), 5, 2).alias("m")).first()["m"]
+    assert means == [(1 + 2 + 6 + 7) / 4, (3 + 4 + 8 + 9) / 4]  # an odd last column is left out
