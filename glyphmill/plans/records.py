@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmill.functions import addresses
+from glyphmill.functions import addresses, links
 from glyphmill.operators import discovery, isolated, names, rasters
 from glyphmill.plans.catalog import query
 from glyphmill.session import table
@@ -84,3 +84,14 @@ def isolated_glyphs(spark, d):
     alpha = F.when(n == 1, F.lit(None)).when(n == 2, F.col("raw")).when(n == 3, F.transform("v", lambda x: x / F.lit(float("inf")) * F.lit(float("inf")))).when(n == 4, F.array_repeat(F.lit(0.0), 100)).otherwise(F.col("v"))
     got = isolated.outlines(rows.select("vec_id", alpha.alias("alpha"), F.lit(10).alias("w"), F.lit(10).alias("h")), "vec_id")
     return got.select("vec_id", "error", (F.size("contours") > 0).alias("cubics"))
+
+
+@query("""SELECT p_partkey, 'md5:' || md5(p_name) AS id, CASE p_size % 8 WHEN 0 THEN 'bad_redirect' WHEN 1 THEN 'bad_scheme' WHEN 2 THEN 'bad_format' WHEN 3 THEN 'bad_host' ELSE 'ok' END AS code,
+  CASE p_size % 8 WHEN 4 THEN 'https://example.org/' || p_partkey WHEN 5 THEN 'https://example.org/fonts/a/' || p_partkey WHEN 6 THEN 'https://example.org/fonts/' || p_partkey WHEN 7 THEN 'https://EXAMPLE.org/' || p_partkey END AS target FROM part""")
+def redirects(spark, d):
+    """Parts as pages that redirect: to absolute and relative places, and to what isn't allowed."""
+    n, key = F.col("p_size") % 8, F.col("p_partkey").cast("string")
+    kinds = [F.lit(" "), F.concat(F.lit("http://example.org/"), key), F.concat(F.lit("https://u@example.org/"), key), F.concat(F.lit("//example.com/"), key), F.concat(F.lit("/"), key), key, F.concat(F.lit(" ../"), key), F.concat(F.lit("https://EXAMPLE.org/"), key)]
+    where = F.element_at(F.array(*kinds), (n + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", links.stable_id(F.lit("md5"), F.md5("p_name")).alias("id"), links.redirect(where, F.lit("https://example.org/fonts/a/b"), "example.org").alias("r"))
+    return rows.select("p_partkey", "id", "r.code", "r.target")

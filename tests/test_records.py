@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.functions import addresses
+from glyphmill.functions import addresses, links
 from glyphmill.operators import discovery, isolated, jobs, names
 from glyphmill.streaming import jobs as streams
 
@@ -153,3 +153,10 @@ def test_frozen_sink(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "f"))
     assert sorted((r["gid"], r["advance"]) for r in streams.frozen(rows, "gid").collect()) == [("a", 3), ("b", 7), ("c", 5), ("d", 6)]
     assert {r["entry"]: r["frozen"] for r in streams.frozen_counts(rows, "gid", "entry").collect()} == {"e": 3, "g": 1}
+
+
+def test_redirects(spark):
+    rows = [("/x?y=1#z", "https://h.org/a"), (None, "https://h.org/a"), ("", "https://h.org/a"), ("https://[bad", "https://h.org/a"), ("https://h.org:8443/", "https://h.org/a"), ("ftp://h.org/", "https://h.org/"), ("https://:p@h.org/", "https://h.org/"), ("https:///x", "https://h.org/"), ("/x", None)]
+    got = spark.createDataFrame(rows, "a string, b string").select(links.redirect(F.col("a"), F.col("b"), "h.org").alias("r")).collect()
+    assert [tuple(r["r"]) for r in got] == [("https://h.org/x?y=1#z", "ok"), (None, "bad_redirect"), (None, "bad_redirect"), (None, "bad_format"), ("https://h.org:8443/", "ok"), (None, "bad_scheme"), (None, "bad_format"), ("https://h.org/x", "ok"), (None, "bad_scheme")]
+    assert spark.range(1).select(links.stable_id(F.lit("md5"), F.lit(None).cast("string"))).first()[0] is None
