@@ -1,8 +1,12 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of two lines ends a chunk where it is 0 modulo DIVISOR, so chunk boundaries depend on the
-lines around them and not on their number from the top. A chunk of several lines with words that stands earlier in the
-corpus is removed, once its bytes have been compared.
+A rolling hash over the hashes of two successive lines with words sets the boundaries of SETS sets: set k cuts off from their
+surroundings the lines whose rolling hash is k modulo SETS (lines of places in a row stay together, unless they are the same).
+So boundaries depend on the lines at hand, not on their number from the top, and each place of a text is cut off in one of the
+sets. A chunk that stands earlier in the corpus is removed, once its bytes have been compared.
+
+Of a repeated run of two lines or more all lines are found, but for the first or last where it stays together with a line
+outside the run: at either end with probability 1 / SETS.
 """
 
 from collections.abc import Iterator
@@ -16,51 +20,44 @@ from pyspark.sql import types as T
 
 from glyphmill.storage import materialize
 
-DIVISOR = 3
-#: Lines with words that a chunk needs to be removed.
-LEAST_LINES = 2
+SETS = 4096
 LAST = (1 << 63) - 1
 _TURN = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
 
-def chunks(text: str | None) -> list[tuple[int, int]]:
-    """(first line, line after the last) of the chunks of text; none for a null or empty text."""
-    if not text:
-        return []
-    out, begin, before = [], 0, 0
-    lines = text.split("\n")
-    for i, line in enumerate(lines):
-        h = xxhash.xxh3_64_intdigest(line)
-        rolled = (before * _TURN + h) & _ALL
-        before = h
-        if ((rolled * _TURN & _ALL) >> 40) % DIVISOR == 0 or i == len(lines) - 1:
-            out.append((begin, i + 1))
-            begin = i + 1
-    return out
-
-
-def removable(text: str | None) -> Iterator[tuple[int, bytes]]:
-    """(first line, bytes) of the chunks that may go."""
-    lines = text.split("\n") if text else []
-    for a, b in chunks(text):
-        if b - a >= LEAST_LINES and sum(bool(x.strip(" \t\r\x0b\x0c")) for x in lines[a:b]) >= LEAST_LINES:
-            yield a, "\n".join(lines[a:b]).encode()
+def chunks(lines: list[str]) -> Iterator[tuple[int, list[int]]]:
+    """(hash, numbers of the lines with words) of the chunks of all sets, in order of their beginnings."""
+    worded = [i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
+    if len(worded) < 2:
+        return
+    hashes = [xxhash.xxh3_64_intdigest(lines[i]) for i in worded]
+    begin, value, before = 0, 0, None
+    for i in range(len(worded) - 1):
+        rolled = (hashes[i] * _TURN + hashes[i + 1]) * _TURN & _ALL
+        if before is not None and rolled != before and (rolled >> 40) % SETS == (before >> 40) % SETS:
+            value = (value * _TURN + rolled) & _ALL
+        else:
+            if i:
+                yield value, worded[begin : i + 1]
+            begin, value = i, rolled
+        before = rolled
+    yield value, worded[begin:]
 
 
-def without(text: str, firsts: set[int]) -> str:
-    """text without the chunks that begin at the given lines."""
-    lines = text.split("\n")
-    return "\n".join(x for a, b in chunks(text) if a not in firsts for x in lines[a:b])
+def without(text: str, places: set[int]) -> str:
+    """text without the lines of places: each the first line, shifted left by 32 bits, plus the line after the last."""
+    gone = {i for p in places for i in range(p >> 32, p & 0xFFFFFFFF)}
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hs, keys = [], []
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
-            for _, chunk in removable(text.as_py()):
-                hs.append(xxhash.xxh3_64_intdigest(chunk) - (1 << 63))
-                keys.append(key)
+            mine = [h - (1 << 63) for h, _ in chunks(text.as_py().split("\n"))]
+            hs += mine
+            keys += [key] * len(mine)
         yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(keys, pa.int64())], names=["h", "key"])
 
 
@@ -68,40 +65,53 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for key, order, text, hs in zip(batch.column("key").to_pylist(), batch.column("ord").to_pylist(), batch.column("text"), batch.column("hs")):
-            wanted = set(hs.as_py())
-            for a, chunk in removable(text.as_py()):
-                h = xxhash.xxh3_64_intdigest(chunk) - (1 << 63)
-                if h in wanted:
-                    out.append((h, chunk, order, key, a))
+            wanted, lines = set(hs.as_py()), text.as_py().split("\n")
+            for h, mine in chunks(lines):
+                if h - (1 << 63) in wanted:
+                    out.append((h - (1 << 63), "\n".join(lines[i] for i in mine).encode(), order, key, mine[0] << 32 | mine[-1] + 1))
         columns = list(zip(*out)) if out else [()] * 5
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["h", "chunk", "ord", "key", "line"])
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["h", "chunk", "ord", "key", "place"])
 
 
 @F.pandas_udf(T.StringType())
-def _without(text: pd.Series, firsts: pd.Series) -> pd.Series:
-    return pd.Series([without(t, set(f)) for t, f in zip(text, firsts)], dtype=object)
+def _without(text: pd.Series, places: pd.Series) -> pd.Series:
+    return pd.Series([without(t, {int(x) for x in p}) for t, p in zip(text, places)], dtype=object)
+
+
+def later(rows: DataFrame) -> DataFrame:
+    """Chunks (h, chunk, ord, key, place) -> key, places of those whose bytes have an earlier place. No bytes are joined but those of clashing hashes."""
+    # Where all bytes of a hash are the same the hash stands for them; otherwise the bytes tell its chunks apart.
+    place = F.struct("ord", "key", "place")
+    first = materialize(rows.groupBy("h").agg(F.min(place).alias("lo"), (F.min("chunk") == F.max("chunk")).alias("one")), "first")
+    gone = rows.select("h", place.alias("at")).join(first.filter("one").select("h", "lo"), "h").select("at", "lo")
+    mixed = rows.join(first.filter("not one").select("h"), "h", "left_semi")
+    apart = mixed.groupBy("h", "chunk").agg(F.min(place).alias("lo"))
+    gone = gone.union(mixed.select("h", "chunk", place.alias("at")).join(apart, ["h", "chunk"]).select("at", "lo"))
+    return gone.filter("at > lo").groupBy(F.col("at.key").alias("key")).agg(F.collect_set("at.place").alias("places"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with a struct column row and doc_id, text -> row, doc_id, text, old (text before) and n_chunks removed.
 
-    The first place of a chunk (smallest doc_id, null last, then first line) keeps it. Rows equal in doc_id and text count
-    as one text and get the same result. A text may become empty; no row goes. Null texts stay null.
+    A chunk is two lines with words or more; lines without words between them go with it and aren't compared. Its first place
+    (smallest doc_id, null last; of several texts of a doc_id the one with the smallest hash; then the first line) keeps it.
+    Chunks may overlap, and each is judged on the input, not on what is left. Rows equal in doc_id and text count as one
+    text and get the same result. A text may become empty; no row goes. Null texts stay null.
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     keyed = docs.withColumn("ord", order).withColumn("key", F.xxhash64(F.col("ord"), F.col("text")))
-    found = keyed.select("key", "text").filter("text is not null").mapInArrow(_hashes, "h long, key long")
+    # Texts of one line have no chunk.
+    found = keyed.select("key", "text").filter(F.contains("text", F.lit("\n"))).mapInArrow(_hashes, "h long, key long")
     shared = materialize(found.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"), "shared")
     hits = found.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
     flagged = materialize(keyed.join(hits, "key", "left"), "flagged")
     some = flagged.filter("hs is not null")
-    rows = materialize(some.select("key", "ord", "text", "hs").mapInArrow(_rows, "h long, chunk binary, ord long, key long, line int"), "chunks")
-    first = rows.groupBy("h", "chunk").agg(F.min(F.struct("ord", "line")).alias("lo"))
-    gone = rows.join(first, ["h", "chunk"]).filter(F.struct("ord", "line") > F.col("lo")).groupBy("key").agg(F.collect_set("line").alias("lines"))
+    rows = materialize(some.select("key", "ord", "text", "hs").mapInArrow(_rows, "h long, chunk binary, ord long, key long, place long"), "chunks")
+    gone = later(rows)
     changed = some.join(gone, "key", "left")
-    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.coalesce("lines", F.array().cast("array<int>"))))
-    after = changed.select("row", "doc_id", text.alias("text"), F.col("text").alias("old"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_chunks"))
+    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.coalesce("places", F.array().cast("array<bigint>"))))
+    after = changed.select("row", "doc_id", text.alias("text"), F.col("text").alias("old"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_chunks"))
     same = flagged.filter("hs is null").select("row", "doc_id", "text", F.col("text").alias("old"), F.lit(0).cast("long").alias("n_chunks"))
     return after.union(same)
 
