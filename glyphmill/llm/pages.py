@@ -29,15 +29,16 @@ THRESHOLD, LEAST_PAGES, LEAST_REPEATS, DECAY, ARTICLE, DEPTH = 0.3, 4, 3, 0.9, 0
 #: Elements by role.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option button object canvas audio video xmp noframes noembed".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml select option button object canvas audio video xmp noframes noembed".split())
 OUT = frozenset("nav footer aside form menu head dialog".split())
 CLOSES_P = BLOCKS - frozenset("head html body".split())
 PEERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 #: Words that a class, id or role is made of where it marks what isn't the article, and words that may stand beside them.
 MARKS = frozenset("nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo banner notice cookie cookies consent alert popup modal newsletter subscribe subscription signup login comment comments feedback disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar copyright search contentinfo complementary skip hidden".split())
 BESIDE = frozenset("area bar block body bottom box button buttons container content form group icons inner item items left link links list main outer page post right section site thread top wrap wrapper".split())
-#: Headings of readers' comments, in the languages of the corpora.
+#: Headings of readers' comments, in the languages of the corpora, and elements that such comments come in.
 COMMENTS = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)(?: \(?\d+\)?)?:?|leave a (?:reply|comment)|post a comment", re.I)
+TALK = frozenset("article form textarea time cite".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))", re.S)
 
@@ -79,6 +80,8 @@ def parse(page: str | None) -> tuple[list[Block], dict[int, list[str]]]:
     opened: Counter = Counter()
     endless: set[str] = set()
     buffer: list[str] = []
+    talk: list[tuple[int, int]] = []  # blocks of readers' comments
+    headed: list[list] = []  # headings of comments: place of the parent in the stack, number of the heading's block, whether comments were met
     page = page or ""
 
     def flush() -> None:
@@ -88,11 +91,18 @@ def parse(page: str | None) -> tuple[list[Block], dict[int, list[str]]]:
             return
         tag, node, inside, out = stack[-1] if stack else ("", ROOT, False, False)
         if len(stack) > 1 and len(tag) == 2 and tag[0] == "h" and tag[1] in "23456" and COMMENTS.fullmatch(text):
-            out = True
-            stack[-2] = (*stack[-2][:3], True)
+            if not headed or headed[-1][0] < len(stack) - 2:
+                headed.append([len(stack) - 2, len(blocks), len(text.rstrip(":").split()) > 1])
         blocks.append(Block(text, node, nodes[:], inside, out))
 
     def cut(i: int) -> None:
+        # A heading of comments rules out what follows it in its parent if it says more than one word, or if elements follow that comments come in.
+        while headed and headed[-1][0] >= i:
+            _, first, met = headed.pop()
+            if met:
+                talk.append((first, len(blocks)))
+                if headed:
+                    headed[-1][2] = True
         opened.subtract(x[0] for x in stack[i:])
         del stack[i:], nodes[i:]
 
@@ -159,6 +169,8 @@ def parse(page: str | None) -> tuple[list[Block], dict[int, list[str]]]:
                     if stack[i][0] in PEERS[tag]:
                         cut(i)
                         break
+        if tag in TALK and headed:
+            headed[-1][2] = True
         names = {a[0].lower(): html.unescape(a[1] or a[2] or a[3] or "") for a in ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
         label = tag + ("." + names["class"].strip() if names.get("class") else "")
         _, above, inside, out = stack[-1] if stack else ("", ROOT, False, False)
@@ -168,7 +180,9 @@ def parse(page: str | None) -> tuple[list[Block], dict[int, list[str]]]:
             continue
         role = " ".join(names.get(k, "") for k in ("class", "id", "role"))
         out = out or tag in OUT or tag == "header" and not inside or bool(role.strip() and tag not in ("html", "body", "main") and marked(role))
-        out = out or tag in BLOCKS and bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", m[3])) or "display:none" in names.get("style", "").replace(" ", "")
+        # An attribute without a value is looked for in what is left without those that have one.
+        unseen = "hidden" in m[3].lower() and ("hidden" in names or bool(re.search(r"(?:^|\s)hidden(?=[\s/]|$)", ATTRIBUTE.sub(" ", m[3]), re.I)))
+        out = out or tag in BLOCKS and unseen or "display:none" in names.get("style", "").replace(" ", "")
         inside = inside or tag in ("article", "main") and not out
         node = _hash(above, label) if len(stack) < DEPTH else above
         stack.append((tag, node, inside, out))
@@ -176,6 +190,12 @@ def parse(page: str | None) -> tuple[list[Block], dict[int, list[str]]]:
         if len(nodes) < DEPTH:
             nodes.append(node)
     flush()
+    cut(0)
+    at = 0
+    for first, end in sorted(talk):
+        for b in blocks[max(first, at) : end]:
+            b.out = True
+        at = max(at, end)
     return blocks, children
 
 

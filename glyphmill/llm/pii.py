@@ -195,9 +195,17 @@ def _features(span: str, before: str) -> tuple[int, ...]:
 _remembered = functools.lru_cache(maxsize=20_000)(_features)
 
 
+#: Characters of a word that its features look at: one more than the longest cue has, so a cut word is no cue.
+CUE = 1 + max(len(x) for cues in CUES.values() for x in cues)
+
+
 def _before(text: str, at: int) -> str:
-    words = text[max(0, at - 24) : at].rstrip(" :\"'(").split()
-    return words[-1] if words else ""
+    """The end of the word before a place, over any number of blanks and opening signs."""
+    end = at
+    while end and text[end - 1] in " :\"'(":
+        end -= 1
+    words = text[max(0, end - CUE) : end].split()
+    return words[-1] if words and not text[end - 1].isspace() else ""
 
 
 def lattice(text: str, stretch: list[tuple[int, int]]) -> Iterator[list[tuple[int, tuple[int, ...]]]]:
@@ -382,8 +390,6 @@ def added(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tup
     begins = [x for x, _, _ in base]
     ends = list(itertools.accumulate((y for _, y, _ in base), max))
     for stretch in pieces(text):
-        if sum(b - a for a, b in stretch) < 6:
-            continue
         for i, j, k in field.best(lattice(text, stretch)):
             if k != NONE:
                 a, b = stretch[i][0], stretch[j - 1][1]

@@ -35,6 +35,15 @@ def test_long_pieces_and_many_hits_take_linear_time():
         pii.added(text, base, field)
 
 
+def test_short_pieces_and_the_word_before_any_blanks():
+    field = pii.trained()
+    for text, span in (("host 8 . 8 . 4 . 4 is up", "8 . 8 . 4 . 4"), ("ping 1 . 1 . 1 . 1 now", "1 . 1 . 1 . 1")):
+        assert [text[a:b] for a, b, _ in pii.added(text, [], field)] == [span]
+    text = "my phone" + " " * 40 + "212 555 0187"
+    assert pii._before(text, 48) == "phone" and pii._before("x" * 90 + "phone: ", 97) not in pii.CUES[3]
+    assert [pii._before(t, len(t)) for t in ("", "  ", "a\n", "a (")] == ["", "", "", "a"]
+
+
 def plain(text):
     kinds = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
     out = []
