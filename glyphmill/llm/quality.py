@@ -98,17 +98,16 @@ def measure(docs: DataFrame, words: dict[str, dict[str, float]] | None = None) -
     marks = F.regexp_replace(text, f"[^!{SYMBOLS}{CAPITALS}]+", "")
     df = docs.withColumns({"_words": _words(text), "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), "_marks": marks})
     df = df.withColumn("_n", F.size("_words"))
-    # Rows of five words side by side. The last four hold nulls and are no windows.
-    rows = F.arrays_zip(*[F.slice("_words", k + 1, F.greatest("_n", F.lit(1))).alias(f"w{k}") for k in range(WINDOW)])
-    rows = F.slice(rows, F.lit(1), F.greatest(F.col("_n") - WINDOW + 1, F.lit(0)))
-    # Distinct hashes prove distinct windows; only texts with an equal pair of hashes are looked at word by word.
-    hashes = F.when(F.col("_n") > WINDOW, F.transform(rows, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_hash", hashes).withColumn("_same", F.size("_hash") > F.size(F.array_distinct("_hash")))
-    windows = F.when(
-        F.col("_same"),
-        F.sort_array(F.transform(rows, lambda x, i: F.struct(F.concat_ws(" ", *[x[f"w{k}"] for k in range(WINDOW)]).alias("w"), i.alias("i")))),
-    )
-    df = df.withColumn("_win", windows)
+    # Each word is hashed once, a window from the hashes of its words. Distinct hashes prove distinct windows; of texts with an
+    # equal pair only the windows with a hash of another are looked at word by word.
+    df = df.withColumn("_ids", F.when(F.col("_n") > WINDOW, F.transform("_words", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
+    begins = F.slice("_ids", F.lit(1), F.greatest(F.size("_ids") - WINDOW + 1, F.lit(0)))
+    df = df.withColumn("_hash", F.transform(begins, lambda h, i: F.xxhash64(h, *[F.get("_ids", i + k) for k in range(1, WINDOW)])))
+    df = df.withColumn("_same", F.size("_hash") > F.size(F.array_distinct("_hash")))
+    df = df.withColumn("_order", F.when(F.col("_same"), F.sort_array(F.transform("_hash", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn("_met", F.filter("_order", lambda x, k: (x["h"] == F.get("_order", k - 1)["h"]) | (x["h"] == F.get("_order", k + 1)["h"])))
+    windows = F.sort_array(F.transform("_met", lambda x: F.struct(F.concat_ws(" ", *[F.get("_words", x["i"] + k) for k in range(WINDOW)]).alias("w"), x["i"].alias("i"))))
+    df = df.withColumn("_win", F.when(F.col("_same"), windows))
     repeats = F.sort_array(
         F.transform(
             F.filter(
