@@ -85,9 +85,10 @@ def later(rows: DataFrame) -> DataFrame:
     place = F.struct("ord", "key", "place")
     first = materialize(rows.groupBy("h").agg(F.min(place).alias("lo"), (F.min("chunk") == F.max("chunk")).alias("one")), "first")
     gone = rows.select("h", place.alias("at")).join(first.filter("one").select("h", "lo"), "h").select("at", "lo")
-    mixed = rows.join(first.filter("not one").select("h"), "h", "left_semi")
-    apart = mixed.groupBy("h", "chunk").agg(F.min(place).alias("lo"))
-    gone = gone.union(mixed.select("h", "chunk", place.alias("at")).join(apart, ["h", "chunk"]).select("at", "lo"))
+    if first.filter("not one").limit(1).count():  # almost never, and rows with their bytes aren't shuffled for nothing
+        mixed = rows.join(first.filter("not one").select("h"), "h", "left_semi")
+        apart = mixed.groupBy("h", "chunk").agg(F.min(place).alias("lo"))
+        gone = gone.union(mixed.select("h", "chunk", place.alias("at")).join(apart, ["h", "chunk"]).select("at", "lo"))
     return gone.filter("at > lo").groupBy(F.col("at.key").alias("key")).agg(F.collect_set("at.place").alias("places"))
 
 
@@ -105,7 +106,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     found = keyed.select("key", "text").filter(F.contains("text", F.lit("\n"))).mapInArrow(_hashes, "h long, key long")
     shared = materialize(found.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"), "shared")
     hits = found.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
-    flagged = materialize(keyed.join(hits, "key", "left"), "flagged")
+    flagged = materialize(keyed.join(hits, "key", "left"), "flagged", release=True)
     some = flagged.filter("hs is not null")
     rows = materialize(some.select("key", "ord", "text", "hs").mapInArrow(_rows, "h long, chunk binary, ord long, key long, place long"), "chunks")
     gone = later(rows)
