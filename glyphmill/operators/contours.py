@@ -31,29 +31,75 @@ def _flat(segments: Column, *fields: str) -> Column:
 
 
 def _chained(flat: np.ndarray) -> list[np.ndarray]:
-    """Rings of segments (x, y, u, v, x, ...): ends meet if they agree to three decimals; the first unused segment leads on."""
+    """Rings of segments (x, y, u, v, x, ...): ends meet if they agree to three decimals; the first unused segment leads on.
+
+    A segment that begins where the walk stands goes before one that ends there, so segments with a direction keep it.
+    """
     ends = np.asarray(flat, float).reshape(-1, 2)
     node = np.unique(np.round(ends, 3), axis=0, return_inverse=True)[1].ravel().tolist()
-    waiting = defaultdict(list)
+    waiting = [defaultdict(list), defaultdict(list)]
     for half in range(len(node) - 1, -1, -1):
-        waiting[node[half]].append(half)
-    free, out = [True] * (len(node) // 2), []
+        waiting[half & 1][node[half]].append(half)
+    free, loops = [True] * (len(node) // 2), []
     for segment in range(len(free)):
         if not free[segment]:
             continue
         free[segment], path, half = False, [2 * segment], 2 * segment + 1
         while node[half] != node[path[0]]:
-            path.append(half)
-            stack = waiting[node[half]]
-            while stack and not free[stack[-1] >> 1]:
-                stack.pop()
-            if not stack:
+            for stack in (waiting[0][node[half]], waiting[1][node[half]]):
+                while stack and not free[stack[-1] >> 1]:
+                    stack.pop()
+                if stack:
+                    break
+            else:
                 path = []
                 break
-            free[stack[-1] >> 1] = False
-            half = stack.pop() ^ 1
-        if len(path) >= 3:
-            out.append(ends[path].ravel())
+            path.append(stack.pop())
+            free[path[-1] >> 1] = False
+            half = path[-1] ^ 1
+        if path:
+            loops.append(path)
+    return [ring for ring in _joined(ends, node, loops) if len(ring) >= 6]
+
+
+def _joined(ends: np.ndarray, node: list[int], loops: list[list[int]]) -> list[np.ndarray]:
+    """Points of closed walks (the ends at which their segments begin); walks that meet in a node are one ring.
+
+    Wherever a walk comes to a node of another, that one is gone round first, so that a ring has all segments of its walks,
+    whichever the walk began with. Where ends in such a node aren't the same point, both stay.
+    """
+    visits = defaultdict(list)
+    for k, loop in enumerate(loops):
+        for i, half in enumerate(loop):
+            visits[node[half]].append((k, i))
+    meeting = {n for n, v in visits.items() if len(v) > 1}
+    if not meeting:
+        return [ends[loop].ravel() for loop in loops]
+    out, taken = [], [False] * len(loops)
+    for k, loop in enumerate(loops):
+        if taken[k]:
+            continue
+        taken[k], ring, stack = True, [], [iter(loop)]
+        while stack:
+            half = next(stack[-1], None)
+            if half is None:
+                stack.pop()
+                continue
+            there = visits[node[half]]
+            while there and taken[there[-1][0]]:
+                there.pop()
+            if not there:
+                ring.append(half)
+                continue
+            other, i = there.pop()
+            taken[other] = True
+            stack += [iter([half]), iter(loops[other][i:] + loops[other][:i])]
+        path = []
+        for half, after in zip(ring, ring[1:] + ring[:1]):
+            path.append(half)
+            if node[after] in meeting and (ends[half ^ 1] != ends[after]).any():
+                path.append(half ^ 1)
+        out.append(ends[path].ravel())
     return out
 
 
@@ -85,7 +131,8 @@ def _kernel(f, lines: bool = False):
 def chained(rows: DataFrame, key: str, segments: str) -> DataFrame:
     """key, ring, points: the closed rings of each row's segments (array<struct<x, y, u, v>>), ring numbers from 0.
 
-    Open chains are dropped, and so are rings of fewer than three points. A null or empty array has no rings.
+    Open chains are dropped, and so are rings of fewer than three points. Closed chains that meet in a point are one ring. A null
+    or empty array has no rings.
     """
     run = _kernel(_chained, lines=True)
     return rows.select(key, F.posexplode(run(_flat(F.col(segments), "x", "y", "u", "v"))).alias("ring", "points"))
@@ -97,17 +144,17 @@ def inside(p: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: F.coalesce(c, F.lit(False)))) % 2 == 1
 
 
-def nested(rings: DataFrame, key: str) -> DataFrame:
+def nested(rings: DataFrame, key: str, least_area: float = LEAST_AREA, least_perimeter: float = LEAST_PERIMETER) -> DataFrame:
     """rings that aren't noise, with depth, area and perimeter: at even depth the area is positive (outer), at odd negative (hole).
 
-    depth counts the other rings of the key around a ring's first point. Only rings whose box holds that point are looked at.
+    depth counts the other rings of the key around a ring's leftmost point. Only rings whose box holds that point are looked at.
     """
     at = lambda c, f: f(F.transform("points", lambda p: p[c]))
     df = rings.withColumns({"area": signed_area(F.col("points")), "perimeter": perimeter(F.col("points"))})
-    df = df.filter((F.abs("area") >= LEAST_AREA) & (F.col("perimeter") >= LEAST_PERIMETER))
+    df = df.filter((F.abs("area") >= least_area) & (F.col("perimeter") >= least_perimeter))
     box = {f"{side}{c}": at(c, f) for c in "xy" for side, f in (("lo_", F.array_min), ("hi_", F.array_max))}
     around = df.select(key, F.col("ring").alias("other"), F.col("points").alias("shape")).withColumns({n: F.expr(f"array_{'min' if n[0] == 'l' else 'max'}(transform(shape, p -> p.{n[-1]}))") for n in box})
-    probes = df.select(key, "ring", F.get("points", F.lit(0)).alias("p"))
+    probes = df.select(key, "ring", F.array_min("points").alias("p"))
     near = (F.col("ring") != F.col("other")) & F.col("p.x").between(F.col("lo_x"), F.col("hi_x")) & F.col("p.y").between(F.col("lo_y"), F.col("hi_y"))
     held = probes.join(around, key).filter(near).filter(inside(F.col("shape"), F.col("p.x"), F.col("p.y")))
     depth = held.groupBy(key, "ring").agg(F.count("*").cast("int").alias("depth"))

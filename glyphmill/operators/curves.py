@@ -73,7 +73,7 @@ def contour_segments(values: Column, w: int, h: int, level: float) -> Column:
         # Clockwise around the cell, the contour leaves by a side from inside to outside and comes back by the opposite kind.
         out = F.array_compact(F.array(*[F.when(a & ~b, side) for side, a, b in around]))
         back = F.array_compact(F.array(*[F.when(~a & b, side) for side, a, b in around]))
-        straight = (F.size(out) < 2) | (corners[0] == ((tl + tr + bl + br) / 4 > level))
+        straight = (F.size(out) < 2) | (corners[0] == ((tl + tr + br + bl) / 4 > level))
         line = lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), q["x"].alias("u"), q["y"].alias("v"))
         return F.zip_with(out, F.when(straight, back).otherwise(F.reverse(back)), line)
 

@@ -66,6 +66,25 @@ def test_orientation_holds_before_nesting(spark):
     assert len(areas) == 2 and max(areas) > 4000 and -1200 < min(areas) < -1000
 
 
+def test_rings_that_meet_are_one(spark):
+    """Two squares that meet in a corner, to three decimals alone, are one ring wherever the walk begins; a third is its own."""
+
+    def square(x, y, a, turn):
+        c = [(x, y), (x + a, y), (x + a, y + a), (x, y + a)][::turn]
+        return list(zip(c, c[1:] + c[:1]))
+
+    segments = [(*p, *q) for p, q in square(0.0, 0.0, 4.0, 1) + square(4.0002, 4.0001, 2.0, 1) + square(9.0, 9.0, 3.0, -1)]
+    rng = random.Random(4)
+    rows = [(i, rng.sample(segments, len(segments))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, s array<struct<x:double,y:double,u:double,v:double>>")
+    areas = {}
+    for r in contours.chained(df, "id", "s").select("id", rasters.signed_area(F.col("points")).alias("a")).collect():
+        areas.setdefault(r["id"], []).append(r["a"])
+    assert len(areas) == 40
+    for a in areas.values():
+        assert sorted(a) == pytest.approx([-9, 20], abs=1e-6)
+
+
 def test_corners(rings):
     n = {r["id"]: r["count"] for r in contours.corners(rings.filter("id in ('L', 'H', 'disk')"), ["id", "ring"]).groupBy("id").count().collect()}
     assert n == {"L": 6, "H": 12}
