@@ -57,16 +57,17 @@ def _fit(flat: list[float]) -> list[list[dict]]:
     return [[{"x": float(x), "y": float(y)} for x, y in c] for c in contours._fitted(flat, 1.0, 0.7853981633974483)]
 
 
-def outlines(glyphs: DataFrame, key: str) -> DataFrame:
+def outlines(glyphs: DataFrame, key: str, least_area: float = contours.LEAST_AREA, least_perimeter: float = contours.LEAST_PERIMETER) -> DataFrame:
     """glyphs (key, alpha, w, h) -> key, error, contours: the fast pass from raster to cubics, one row for every glyph.
 
     contours is an array of rings, each an array of cubics; null where error is set, a class of CLASSES. A glyph fails whole:
-    rings that could be fitted don't count if another could not. All glyphs of one call have rasters of equal size.
+    rings that could be fitted don't count if another could not. All glyphs of one call have rasters of equal size. Rings below
+    least_area or least_perimeter are noise: a glyph that has no others is NO_CONTOURS.
     """
     w, h = (glyphs.agg(F.max("w"), F.max("h")).first() or (0, 0))
     seen = glyphs.select(key, judged(F.col("alpha"), F.lit(w), F.lit(h)).alias("error"), "alpha")
     good = seen.filter("error is null").select(key, contour_segments(F.col("alpha"), w or 2, h or 2, 0.5).alias("s"))
-    rings = contours.nested(contours.chained(good, key, "s"), key)
+    rings = contours.nested(contours.chained(good, key, "s"), key, least_area, least_perimeter)
     flat = F.flatten(F.transform("points", lambda p: F.array(p["x"], p["y"])))
     tried = rings.select(key, "ring", attempt(_fit, _POINTS)(flat).alias("t"))
     fits = tried.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ring", F.col("t.value").alias("cubics")))).alias("all"), F.max("t.error").alias("failed"))

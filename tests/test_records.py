@@ -117,6 +117,19 @@ def test_requeue_event(spark):
     assert sorted(tuple(r) for r in events.collect()) == [("a", "requeued_stale", "w1", "me"), ("c", "requeued_stale", "w2", "me"), ("e", "requeued_stale", "me", "me")]
 
 
+def test_one_pixel_is_an_outline(spark, tmp_path):
+    """A vector that stands out in one place has an outline in the query; the operator by itself takes so small a ring as noise."""
+    from glyphmill.plans.records import isolated_glyphs
+
+    one = [0.1] * 64
+    one[27] = 9.0
+    spark.createDataFrame([(7, one), (8, one), (11, one)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(map(tuple, isolated_glyphs(spark, str(tmp_path)).collect()), key=lambda r: r[0]) == [(7, None, True), (8, "NO_OBSERVATIONS", None), (11, "EMPTY", None)]
+    alpha = [0.0] * 81
+    alpha[40] = 1.0
+    assert isolated.outlines(spark.createDataFrame([(1, alpha, 9, 9)], "id int, alpha array<double>, w int, h int"), "id").first()["error"] == "NO_CONTOURS"
+
+
 def drive(spark, tmp_path, start, batches):
     """Each batch is one file; the query is started anew for every one."""
     for i, rows in enumerate(batches):
