@@ -23,10 +23,10 @@ STATES = 6
 #: Tokens that tasks hold in memory, at most; those of them with a class of their own; classes by ending.
 HEAD, OWN, ENDINGS = 100_000, 6000, 2048
 ROUNDS = 6
-#: Tokens whose forward values are held at once for one text in training; what lies before is computed again from the last held.
-SPAN = 64
-#: Texts of a batch in training are joined until they have so many tokens; tokens whose states are counted at once.
-TOKENS, COUNTED = 2_000_000, 16_384
+#: Positions of a block at most; what lies before the last block may be computed again.
+SPAN = 1024
+#: Texts of a batch are joined until they have so many tokens; tokens of a block; tokens whose forward values are all held.
+TOKENS, BLOCK, HELD = 2_000_000, 65_536, 3_000_000
 FOLDS, HELD_OUT = 5, 1
 END = b""
 _TRAIL = b".,;:!?#*$%&|\"')"
@@ -148,86 +148,117 @@ def first_model(by_class: np.ndarray, within: np.ndarray) -> Model:
     return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(0), within)
 
 
-def _ahead(model: Model, at: list[np.ndarray], first: int, last: int, a: np.ndarray | None, most: int | None = None) -> tuple[list, list]:
-    """Scaled forward values of texts and their scales at positions first up to last, from the values before; of the longest `most` texts alone."""
-    kept, scales = [], []
-    for t in range(first, last):
-        seen = np.take(model.emit, at[t][:most], axis=0)
-        a = model.start * seen if t == 0 else (a[: len(seen)] @ model.move) * seen
-        scale = a.sum(1, keepdims=True)
-        a /= scale
-        kept.append(a)
-        scales.append(scale)
-        if most is not None:
-            kept, scales = kept[-1:], scales[-1:]
-    return kept, scales
+def _by_place(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes by position (those of all texts, the longest first, at the first, at the second, ...), how many texts are so long, and where each position begins."""
+    lengths = np.array([len(c) for c in texts])
+    active = len(texts) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+    begin = np.cumsum(active) - active
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    flat = np.empty(len(place), np.uint16)
+    flat[begin[place] + np.repeat(np.arange(len(texts)), lengths)] = np.concatenate(texts)
+    return flat, active, np.append(begin, len(flat))
+
+
+def _blocks(begin: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of positions with about BLOCK tokens each: one position at least, SPAN at most."""
+    cuts, last = [0], len(begin) - 1
+    while cuts[-1] < last:
+        full = int(np.searchsorted(begin, begin[cuts[-1]] + BLOCK, side="right")) - 1
+        cuts.append(min(max(cuts[-1] + 1, full), cuts[-1] + SPAN, last))
+    return list(zip(cuts, cuts[1:]))
+
+
+def _ahead(model: Model, seen: np.ndarray, active: list[int], a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward values (states x tokens) of a block of positions and their scales, from the values before it."""
+    out, scales = np.empty_like(seen), np.empty(seen.shape[1])
+    back, to = model.move.T, 0
+    for n in active:
+        here = slice(to, to + n)
+        now, scale = out[:, here], scales[here]
+        if a is None:
+            np.multiply(model.start[:, None], seen[:, here], out=now)
+        else:
+            np.matmul(back, a[:, :n], out=now)
+            now *= seen[:, here]
+        np.add.reduce(now, 0, out=scale)
+        now /= scale
+        a, to = now, to + n
+    return out, scales
 
 
 def expect(model: Model, codes: list[np.ndarray]) -> np.ndarray:
     """Baum-Welch counts of whole texts: rows of classes, then of moves from each state, then of starts.
 
-    All texts move in step, the longest first. Forward values are held at every SPAN-th position and computed again from there
-    on the way back, so memory is that of SPAN positions of the texts that are so long.
+    All texts move in step, the longest first, by blocks of positions; a row of an array is a state. Forward values are held
+    for all blocks if the texts have HELD tokens at most, else the last of each block is held and the block computed again
+    on the way back, so memory doesn't grow with the texts.
     """
     size = len(model.emit)
     counts = np.zeros((size + STATES + 1, STATES))
     texts = sorted((c for c in codes if len(c)), key=len, reverse=True)
     if not texts:
         return counts
-    lengths = np.array([len(c) for c in texts])
-    longest = int(lengths[0])
-    active = len(texts) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
-    # The classes by position: those of all texts at the first, at the second, ...
-    to = np.cumsum(active)
-    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    flat = np.empty(len(place), np.intp)
-    flat[(to - active)[place] + np.repeat(np.arange(len(texts)), lengths)] = np.concatenate(texts)
-    at = np.split(flat, to[:-1])
-    marks, a = [None], None
-    for first in range(0, longest - SPAN, SPAN):
-        # Only texts that go on beyond need their values there.
-        a = _ahead(model, at, first, first + SPAN, a, int(active[first + SPAN]))[0][-1]
+    flat, active, begin = _by_place(texts)
+    emit, blocks, hold = np.ascontiguousarray(model.emit.T), _blocks(begin), len(flat) <= HELD
+    many = active.tolist()
+    seen_in = lambda first, last: np.take(emit, flat[begin[first] : begin[last]], axis=1)
+    held, marks, a = [], [None], None
+    for first, last in blocks:
+        if not hold and last == len(many):
+            break
+        alphas, scales = _ahead(model, seen_in(first, last), many[first:last], a)
+        a = alphas[:, len(alphas[0]) - many[last - 1] :]
+        if hold:
+            held.append((alphas, scales))
+        else:
+            a = a[:, : many[last]].copy()
         marks.append(a)
-    back, states = np.ones((len(texts), STATES)), np.arange(STATES)
-    seen_classes, seen_gamma, waiting = [], [], 0
-    for first in range((longest - 1) // SPAN * SPAN, -1, -SPAN):
-        before = marks.pop()
-        alphas, scales = _ahead(model, at, first, min(first + SPAN, longest), before)
-        for t in range(first + len(alphas) - 1, first - 1, -1):
-            # Texts that end here begin their way back with ones.
-            obs, beta = at[t], back[: len(at[t])]
-            gamma = alphas[t - first] * beta
-            seen_classes.append(obs)
-            seen_gamma.append(gamma)
-            waiting += len(obs)
-            if waiting >= COUNTED or not t:
-                which = (np.concatenate(seen_classes)[:, None] * STATES + states).ravel()
-                counts[:size] += np.bincount(which, np.concatenate(seen_gamma).ravel(), size * STATES).reshape(size, STATES)
-                seen_classes, seen_gamma, waiting = [], [], 0
+    back, moves = np.ones((STATES, len(texts))), np.zeros((STATES, STATES))
+    for i in range(len(blocks) - 1, -1, -1):
+        first, last = blocks[i]
+        before, seen = marks[i], seen_in(first, last)
+        alphas, scales = held.pop() if hold else _ahead(model, seen, many[first:last], before)
+        to = seen.shape[1]
+        for t in range(last - 1, first - 1, -1):
+            # Texts that end here begin their way back with ones. The values are replaced by those of both ways as soon as they have been read.
+            n = many[t]
+            here, beta = slice(to - n, to), back[:, :n]
+            to -= n
+            alphas[:, here] *= beta
             if t:
-                ahead = np.take(model.emit, obs, axis=0)
+                ahead = seen[:, here]
                 ahead *= beta
-                ahead /= scales[t - first]
-                previous = alphas[t - first - 1] if t > first else before
-                counts[size:-1] += model.move * (previous[: len(obs)].T @ ahead)
-                np.matmul(ahead, model.move.T, out=beta)
-            else:
-                counts[-1] += gamma.sum(0)
+                ahead /= scales[here]
+                previous = alphas[:, to - many[t - 1] : to - many[t - 1] + n] if t > first else before[:, :n]
+                moves += previous @ ahead.T
+                np.matmul(model.move, ahead, out=beta)
+        which = flat[begin[first] : begin[last]].astype(np.intp)
+        for k in range(STATES):
+            counts[:size, k] += np.bincount(which, alphas[k], size)
+        if not first:
+            counts[-1] += alphas[:, : many[0]].sum(1)
+    counts[size:-1] += model.move * moves
     return counts
 
 
+def _groups(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """Classes of a batch's texts, so many at once that they have about TOKENS."""
+    held, size = [], 0
+    for x in column:
+        held.append(np.frombuffer(x.as_py(), np.uint16))
+        size += len(held[-1])
+        if size >= TOKENS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _expect_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = shared.value, None
         for batch in batches:
-            held, size = [], 0
-            for x in batch.column("codes"):
-                held.append(np.frombuffer(x.as_py(), np.uint16))
-                size += len(held[-1])
-                if size >= TOKENS:
-                    total = expect(model, held) + (0 if total is None else total)
-                    held, size = [], 0
-            if held:
+            for held in _groups(batch.column("codes")):
                 total = expect(model, held) + (0 if total is None else total)
         if total is not None:
             at = np.flatnonzero(total.any(1))
@@ -256,34 +287,28 @@ def train(encoded: DataFrame, by_class: np.ndarray, within: np.ndarray) -> Model
 
 def forward(model: Model, codes: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each sequence of classes, by the scaled forward recursion over its whole length."""
-    order = sorted(range(len(codes)), key=lambda i: -len(codes[i]))
-    lengths = np.array([len(codes[i]) for i in order])
-    out = np.zeros(len(codes))
-    if not len(codes):
+    order = [i for i in sorted(range(len(codes)), key=lambda i: -len(codes[i])) if len(codes[i])]
+    out, a = np.zeros(len(codes)), None
+    if not order:
         return out
-    flat = np.concatenate([codes[i] for i in order])
-    begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    active = len(order)
-    a = np.empty((0, STATES))
-    for t in range(lengths[0]):
-        while active and lengths[active - 1] <= t:
-            active -= 1
-        seen = model.emit[flat[begin[:active] + t]]
-        a = model.start * seen if t == 0 else (a[:active] @ model.move) * seen
-        scale = a.sum(1)
-        a = a / scale[:, None]
-        out[:active] += np.log10(scale)
-    back = np.empty(len(codes))
-    back[order] = out
-    return back
+    flat, active, begin = _by_place([codes[i] for i in order])
+    emit, many, sums = np.ascontiguousarray(model.emit.T), active.tolist(), np.zeros(len(order))
+    for first, last in _blocks(begin):
+        alphas, scales = _ahead(model, np.take(emit, flat[begin[first] : begin[last]], axis=1), many[first:last], a)
+        a, to = alphas[:, len(scales) - many[last - 1] :], 0
+        logs = np.log10(scales)
+        for n in many[first:last]:
+            sums[:n] += logs[to : to + n]
+            to += n
+    out[order] = sums
+    return out
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            codes = [np.frombuffer(x.as_py(), np.uint16) for x in batch.column("codes")]
-            likely = forward(model, codes) - np.array([model.within[c].sum() for c in codes])
+            likely = np.concatenate([np.zeros(0), *[forward(model, codes) - np.array([model.within[c].sum() for c in codes]) for codes in _groups(batch.column("codes"))]])
             keep = ["rid", "doc_id", "held_out", "n_tokens", "head_known", "head_sum"]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(likely, pa.float64())], names=[*keep, "likely"])
 

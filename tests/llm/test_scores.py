@@ -7,8 +7,8 @@ import time
 import zlib
 from collections import Counter
 
-import pytest
 import numpy as np
+import pytest
 
 from glyphmill.llm import decontam, hmm, lines, mixing, pages, pii, quality
 
@@ -73,6 +73,19 @@ def test_counts_are_sums_over_all_state_paths(monkeypatch):
     assert np.allclose(hmm.expect(model, texts), want)
 
 
+@pytest.mark.parametrize("block", [1, 7, 100])
+def test_counts_do_not_depend_on_what_is_held(monkeypatch, block):
+    """Forward values that are computed again, block by block, give the counts and scores of those that are all held."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    texts = [rng.integers(0, 50, n).astype(np.uint16) for n in (0, 1, 1, 2, 9, 30, 30, 61)]
+    model = hmm.first_model(np.arange(50.0), np.zeros(50))
+    want, scores = hmm.expect(model, texts), hmm.forward(model, texts)
+    for name, value in (("BLOCK", block), ("HELD", 0), ("SPAN", 5)):
+        monkeypatch.setattr(hmm, name, value)
+        assert np.allclose(hmm.expect(model, texts), want) and np.allclose(hmm.forward(model, texts), scores)
+    assert scores[0] == 0 and want[50:-1].sum() == pytest.approx(sum(max(len(t) - 1, 0) for t in texts))
+
+
 def test_likelihood_never_falls(spark):
     rng = np.random.Generator(np.random.PCG64(3))
     texts = [(rng.integers(0, 5, rng.integers(1, 700)) + 5 * (i % 2)).astype(np.uint16) for i in range(30)]
