@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -108,14 +109,23 @@ def structural(glyphs: DataFrame, cmap: DataFrame, model: str) -> DataFrame:
     return df.select(model, "glyphs", "mapped", failures(rules).alias("errors")).withColumn("passed", F.size("errors") == 0)
 
 
+#: Letters that one column of bits holds.
+_BITS = 60
+
+
 def rendered(models: DataFrame, inks: DataFrame, model: str, sample: str, least: float = 0.8) -> DataFrame:
-    """model, total, empty, passed: how many different letters and digits of a sample text leave no ink.
+    """model, total, empty, passed of every different model: how many different letters and digits of a sample text leave no ink.
 
     inks (model, cp, ink): set pixels of a code point's glyph; one that isn't there is empty. Passed with over `least` of them
-    inked, or none to look at.
+    inked, or none to look at. The inked letters of a model are bits, put together before the only shuffle, so a task holds a
+    few numbers for each of its models and nothing is joined or sorted.
     """
-    chars = models.select(model, F.explode(F.array_distinct(F.filter(F.split(F.lit(sample), ""), lambda c: c.rlike(r"[\p{L}\p{N}]")))).alias("c")).withColumn("cp", F.ascii("c"))
-    inked = inks.filter("ink > 0").select(model, "cp").distinct().withColumn("_ink", F.lit(1))
-    sums = chars.join(inked, [model, "cp"], "left").groupBy(model).agg(F.count("*").alias("total"), F.count_if(F.col("_ink").isNull()).alias("empty"))
-    out = models.select(model).join(sums, model, "left").select(model, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "empty")])
+    letters = sorted({ord(c) for c in sample if unicodedata.category(c)[0] in "LN"})
+    parts = {f"_bits{k // _BITS}": letters[k : k + _BITS] for k in range(0, len(letters), _BITS)}
+    bit = lambda part: functools.reduce(lambda out, i: F.when(F.col("cp") == part[i], F.lit(1 << i)).otherwise(out), range(len(part)), F.lit(0)).cast("long")
+    inked = inks.filter((F.col("ink") > 0) & F.col("cp").isin(letters)).select(model, F.lit(False).alias("_here"), *[bit(p).alias(n) for n, p in parts.items()])
+    rows = models.select(model, F.lit(True).alias("_here"), *[F.lit(0).cast("long").alias(n) for n in parts]).unionByName(inked)
+    found = rows.groupBy(model).agg(F.max("_here").alias("_here"), *[F.bit_or(n).alias(n) for n in parts]).filter("_here")
+    total = F.lit(len(letters)).cast("long")
+    out = found.select(model, total.alias("total"), (total - sum((F.bit_count(n) for n in parts), F.lit(0))).cast("long").alias("empty"))
     return out.withColumn("passed", F.when(F.col("total") > 0, (F.col("total") - F.col("empty")) / F.greatest("total", F.lit(1)) > least).otherwise(True))

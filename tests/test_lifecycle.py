@@ -96,6 +96,17 @@ def test_structure_and_ink(spark):
     assert {r["passed"] for r in metrics.rendered(models, inks, "m", " ..").collect()} == {True}
 
 
+def test_rendered_long_samples_and_models_sent_twice(spark):
+    """More letters than one column of bits holds, astral ones too; a model that comes twice is looked at once. Nothing is joined."""
+    sample = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0x4E00, 0x4E50), 0x1D400]))
+    models = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "m string")
+    inks = spark.createDataFrame([("a", ord(c), 1.0) for c in sample + sample[:9]] + [("b", 0x1D400, 2.0), ("b", 65, 0.0), ("b", 33, 1.0), ("c", 65, 1.0)], "m string, cp int, ink double")
+    out = metrics.rendered(models, inks, "m", sample)
+    n = len(sample)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("a", n, 0, True), ("b", n, n - 1, False), (None, n, n, False)], key=str)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_transforms_and_nudges(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0, 0.0, 0.0, 0.5, 0.0], 0.25), (2, [0.0, 1.0, 0.0, 0.0, 0.5, 0.0], -1.0), (3, [1.0] * 6, 9.0)], "id int, v array<double>, d double")
     got = {r["id"]: r["n"] for r in df.select("id", rasters.nudged(F.col("v"), 3, 2, F.col("d"), "x").alias("n")).collect()}
