@@ -114,10 +114,19 @@ def _points(rows: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), xy, mask=pa.array([r is None for r in rows]) if any(r is None for r in rows) else None)
 
 
+#: Rows whose results are Python objects at once.
+ROWS = 256
+
+
+def _by_rows(some):
+    """An Arrow function over ROWS rows of a batch at a time: beside a batch and its result, a task holds the objects of so many rows."""
+    return lambda *columns: pa.concat_arrays([some(*[c.slice(i, ROWS) for c in columns]) for i in range(0, max(len(columns[0]), 1), ROWS)])
+
+
 def _kernel(f, lines: bool = False):
     """An Arrow UDF over flat arrays of numbers: f gives one array of points, or, if lines, a list of such arrays."""
 
-    def run(flat: pa.Array) -> pa.Array:
+    def some(flat: pa.Array) -> pa.Array:
         out = [f(v.values.to_numpy(zero_copy_only=False)) if v.is_valid else None for v in flat]
         if not lines:
             return _points(out)
@@ -125,7 +134,7 @@ def _kernel(f, lines: bool = False):
         mask = pa.array([o is None for o in out]) if any(o is None for o in out) else None
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _points([r for o in out for r in o or ()]), mask=mask)
 
-    return F.arrow_udf(run, T.ArrayType(POINTS) if lines else POINTS)
+    return F.arrow_udf(_by_rows(some), T.ArrayType(POINTS) if lines else POINTS)
 
 
 def chained(rows: DataFrame, key: str, segments: str) -> DataFrame:
@@ -403,6 +412,25 @@ def _deviation_of(p: np.ndarray, line: np.ndarray) -> float | None:
     return worst
 
 
+def checked_fit(p: Column, tol: float = 1.0, corner: float = np.pi / 4, flat: float = 0.05) -> Column:
+    """struct<cubics, far>: fitted(p), and the deviation of p from the cubics flattened to within flat.
+
+    The polyline, many times as long as the ring, stays within the kernel, and one Python worker does what would take three.
+    """
+
+    def some(rings: pa.Array) -> pa.Array:
+        rings = [v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in rings]
+        fits = [None if r is None else _fitted(r, tol, corner) for r in rings]
+        far = [_deviation_of(r, _flattened(np.stack(c), flat)) if c else None for r, c in zip(rings, fits)]
+        ends = np.cumsum([0, *[len(c or ()) for c in fits]])
+        mask = pa.array([c is None for c in fits])
+        cubics = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _points([r for c in fits for r in c or ()]), mask=mask)
+        return pa.StructArray.from_arrays([cubics, pa.array(far, pa.float64())], names=["cubics", "far"])
+
+    kind = T.StructType([T.StructField("cubics", T.ArrayType(POINTS)), T.StructField("far", T.DoubleType())])
+    return F.arrow_udf(_by_rows(some), kind)(_flat(p, "x", "y"))
+
+
 def deviation(p: Column, line: Column) -> Column:
     """Greatest distance of the points p from the closed polyline line; null where either is null or empty."""
 

@@ -125,12 +125,10 @@ def fitted_rings(spark, d):
     """Each vector as radii of a ring of 64 vertices, fitted by cubics: each begins where the one before ends, and no vertex lies over 1.5 from the curve."""
     turn = lambda i: 2 * 3.141592653589793 * i / 64
     p = F.transform("embedding", lambda r, i: F.struct(((60 + r) * F.cos(turn(i))).alias("x"), ((60 + r) * F.sin(turn(i))).alias("y")))
-    e = table(spark, d, "embeddings").select("vec_id", p.alias("p"))
-    e = e.select("vec_id", "p", contours.fitted(F.col("p")).alias("c")).select("vec_id", "p", "c", contours.flattened(F.col("c"), 0.05).alias("f"))
+    e = table(spark, d, "embeddings").select("vec_id", contours.checked_fit(p).alias("r")).select("vec_id", F.col("r.cubics").alias("c"), F.col("r.far").alias("far"))
     after = lambda i: F.get(F.get(F.col("c"), F.pmod(i + 1, F.size("c"))), F.lit(0))
     same = F.forall(F.sequence(F.lit(0), F.size("c") - 1), lambda i: F.get(F.get(F.col("c"), i), F.lit(3)) == after(i))
-    far = contours.deviation(F.col("p"), F.col("f"))
-    return e.select("vec_id", (F.size("c") >= 4).alias("whole"), same.alias("joined"), (far <= 1.5).alias("within"))
+    return e.select("vec_id", (F.size("c") >= 4).alias("whole"), same.alias("joined"), (F.col("far") <= 1.5).alias("within"))
 
 
 def _edges(spark, d):

@@ -99,6 +99,20 @@ def test_fit(rings):
         assert all(math.isfinite(x) for c in r["c"] for p in c for x in p)
 
 
+def test_checked_fit_in_one_worker(spark):
+    """More rings than are objects at once, small, empty and null ones among them: as fit, polyline and deviation one by one, by one kernel."""
+    from glyphmill.plans.shapes import fitted_rings
+
+    rng = random.Random(7)
+    rows = [(i, None if i % 50 == 1 else [(40 * math.cos(0.4 * k) + rng.random(), 40 * math.sin(0.4 * k)) for k in range(i % 17)]) for i in range(2 * contours.ROWS + 3)]
+    df = spark.createDataFrame(rows, "id int, p array<struct<x:double,y:double>>").repartition(1)
+    got = {r["id"]: (r["r"]["cubics"], r["r"]["far"]) for r in df.select("id", contours.checked_fit(F.col("p")).alias("r")).collect()}
+    apart = df.select("id", "p", contours.fitted(F.col("p")).alias("c")).select("id", "c", contours.deviation(F.col("p"), contours.flattened(F.col("c"), 0.05)).alias("far"))
+    assert got == {r["id"]: (r["c"], r["far"]) for r in apart.collect()}
+    assert len(got) == len(rows) and got[1] == (None, None) and got[0] == ([], None)
+    assert fitted_rings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_small_rings(spark):
     rows = [(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)]), (2, []), (3, None), (4, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)])]
     df = spark.createDataFrame(rows, "id int, p array<struct<x:double,y:double>>")
