@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def rescaled(values: Column) -> Column:
-    """Values mapped to [0, 1] by their least and greatest; a flat raster is 0."""
+def rescaled(values: Column, width: str = "double") -> Column:
+    """Values mapped to [0, 1] by their least and greatest; a flat raster is 0. width: the type in which the range is taken, and to which it is rounded."""
     lo, hi = F.array_min(values), F.array_max(values)
-    return F.transform(values, lambda v: F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(0.0))
+    return F.transform(values, lambda v: F.when(hi > lo, (v - lo) / (hi.cast(width) - lo.cast(width))).otherwise(0.0))
 
 
 def mask(values: Column, level: float = 0.5) -> Column:
