@@ -103,6 +103,74 @@ def _joined(ends: np.ndarray, node: list[int], loops: list[list[int]]) -> list[n
     return out
 
 
+def _pairs() -> np.ndarray:
+    """By which corners of a cell are inside (bits: clockwise from the top left) and whether its mean is: up to two segments from a side to a side, -1 for none."""
+    out = np.full((16, 2, 2, 2), -1)
+    for kind in range(16):
+        corner = [bool(kind >> i & 1) for i in range(4)]
+        leave, enter = ([i for i in range(4) if corner[i] == a and corner[(i + 1) % 4] != a] for a in (True, False))
+        for mean in range(2):
+            for j, pair in enumerate(zip(leave, enter if len(leave) < 2 or corner[0] == bool(mean) else enter[::-1])):
+                out[kind, mean, j] = pair
+    return out
+
+
+_PAIRS = _pairs()
+
+
+def _segments(values: np.ndarray, level: float) -> list[np.ndarray]:
+    """curves.contour_segments of rasters (rasters, h, w), flat: the same segments in the same order. Only cells on a contour are looked at by numbers."""
+    over = (values > level).astype(np.uint8)
+    kind = over[:, :-1, :-1] + 2 * over[:, :-1, 1:] + 4 * over[:, 1:, 1:] + 8 * over[:, 1:, :-1]
+    row, y, x = np.nonzero((kind > 0) & (kind < 15))
+    tl, tr, br, bl = (values[row, y + dy, x + dx] for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1)))
+    cut = lambda a, b: np.divide(level - a, b - a, out=np.full(len(a), 0.5), where=a != b)
+    sides = np.array([[x + cut(tl, tr), y], [x + 1, y + cut(tr, br)], [x + cut(bl, br), y + 1], [x, y + cut(tl, bl)]], float)
+    pairs = _PAIRS[kind[row, y, x], ((tl + tr + br + bl) / 4 > level).astype(int)]
+    cell, j = np.nonzero(pairs[:, :, 0] >= 0)
+    leave, enter = pairs[cell, j].T
+    found = np.concatenate([sides[leave, :, cell], sides[enter, :, cell]], 1)
+    long = np.hypot(found[:, 2] - found[:, 0], found[:, 3] - found[:, 1]) > 1e-9
+    row, found = row[cell][long], found[long]
+    return [f.ravel() for f in np.split(found, np.searchsorted(row, np.arange(1, len(values))))]
+
+
+#: Edges times probes that are looked at at once.
+PROBES = 1 << 20
+
+
+def _nested(rings: list[np.ndarray], least_area: float, least_perimeter: float) -> list[np.ndarray]:
+    """nested() of the rings of one key, flat: those that aren't noise, in the direction that their depth asks for."""
+    kept, areas = [], []
+    for ring in rings:
+        a = ring.reshape(-1, 2)
+        b = np.concatenate([a[1:], a[:1]])
+        area = np.cumsum(a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1])[-1] / 2
+        if abs(area) >= least_area and np.cumsum(np.sqrt(((b - a) ** 2).sum(1)))[-1] >= least_perimeter:
+            kept.append(a)
+            areas.append(area)
+    if not kept:
+        return []
+    depth = np.zeros(len(kept), int)
+    if len(kept) > 1:
+        first = np.array([min(map(tuple, r.tolist())) for r in kept])
+        lo, hi = np.array([r.min(0) for r in kept]), np.array([r.max(0) for r in kept])
+        starts = np.cumsum([0, *map(len, kept[:-1])])
+        a = np.concatenate(kept)
+        b = np.concatenate([np.concatenate([r[1:], r[:1]]) for r in kept])
+        (ax, ay), (bx, by) = a.T, b.T
+        step = max(PROBES // len(a), 1)
+        for i in range(0, len(kept), step):
+            x, y = first[i : i + step].T[:, :, None]
+            across = (ay > y) != (by > y)
+            cuts = np.divide((bx - ax) * (y - ay), by - ay, out=np.zeros(across.shape), where=across) + ax
+            odd = np.add.reduceat((across & (x < cuts)).astype(int), starts, 1) % 2 == 1
+            odd &= (x >= lo[:, 0]) & (x <= hi[:, 0]) & (y >= lo[:, 1]) & (y <= hi[:, 1])
+            odd[np.arange(len(odd)), np.arange(i, i + len(odd))] = False
+            depth[i : i + step] = odd.sum(1)
+    return [(r[::-1] if (d % 2 == 0) != (area > 0) else r).ravel() for r, d, area in zip(kept, depth, areas)]
+
+
 POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 
@@ -262,93 +330,140 @@ def simplified(p: Column, tol: float) -> Column:
 
 
 def _unit(v: np.ndarray, other: np.ndarray = np.array([1.0, 0.0])) -> np.ndarray:
-    size = np.hypot(*v)
-    return v / size if size >= 1e-12 else other
+    """Rows of v by their length; other where a row has none."""
+    size = np.hypot(*v.T)[:, None]
+    return np.where(size >= 1e-12, v / np.where(size >= 1e-12, size, 1), other)
 
 
-def _weights(t: np.ndarray) -> np.ndarray:
-    """Bernstein weights, one row for each t."""
+def _weights(t: np.ndarray) -> list[np.ndarray]:
+    """The four Bernstein weights at each t."""
     u = 1 - t
-    return np.stack([u**3, 3 * u * u * t, 3 * u * t * t, t**3], 1)
+    return [u**3, 3 * u * u * t, 3 * u * t * t, t**3]
+
+
+def _on(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Points of each cubic of c at its row of t."""
+    return sum(w[..., None] * c[:, i, None] for i, w in enumerate(_weights(t)))
 
 
 def _handles(p: np.ndarray, t: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The cubic through both ends with the given tangents that is nearest to p at t: least squares for two lengths."""
-    w = _weights(t)
-    ends = np.outer(w[:, 0] + w[:, 1], p[0]) + np.outer(w[:, 2] + w[:, 3], p[-1])
-    sides = np.stack([np.outer(w[:, 1], first).ravel(), -np.outer(w[:, 2], last).ravel()])
-    gram, right = sides @ sides.T, sides @ (p - ends).ravel()
-    third = max(float(np.hypot(*(p[-1] - p[0]))) / 3, 1e-6)
-    det = gram[0, 0] * gram[1, 1] - gram[0, 1] ** 2
-    if abs(det) < 1e-12:
-        a, b = third, third
-    else:
-        a, b = (right[0] * gram[1, 1] - right[1] * gram[0, 1]) / det, (gram[0, 0] * right[1] - gram[0, 1] * right[0]) / det
-        if not (np.isfinite(a) and np.isfinite(b) and a >= 0 and b >= 0):
-            a, b = third, third
-    return np.stack([p[0], p[0] + a * first, p[-1] - b * last, p[-1]])
+    """For each arc of p (arcs, points, 2) the cubic through both ends with the given tangents that is nearest to p at t: least squares for two lengths."""
+    w = [x[..., None] for x in _weights(t)]
+    start, end = p[:, 0], p[:, -1]
+    off = p - ((w[0] + w[1]) * start[:, None] + (w[2] + w[3]) * end[:, None])
+    one, two = w[1] * first[:, None], -w[2] * last[:, None]
+    dot = lambda a, b: (a * b).reshape(len(p), -1).sum(1)
+    aa, ab, bb, ar, br = dot(one, one), dot(one, two), dot(two, two), dot(one, off), dot(two, off)
+    det = aa * bb - ab**2
+    fine = np.abs(det) >= 1e-12
+    a, b = (np.divide(x, det, out=np.full(len(p), -1.0), where=fine) for x in (ar * bb - br * ab, aa * br - ab * ar))
+    fine &= np.isfinite(a) & np.isfinite(b) & (a >= 0) & (b >= 0)
+    third = np.maximum(np.hypot(*(end - start).T) / 3, 1e-6)
+    a, b = np.where(fine, a, third)[:, None], np.where(fine, b, third)[:, None]
+    return np.stack([start, start + a * first, end - b * last, end], 1)
 
 
 def _nearer(p: np.ndarray, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """One Newton step of each inner parameter towards the foot of its point on the cubic c."""
-    u = 1 - t
-    slope = 3 * np.stack([u * u, 2 * u * t, t * t], 1) @ np.diff(c, axis=0)
-    size = (slope**2).sum(1)
-    off = ((_weights(t) @ c - p) * slope).sum(1)
+    """One Newton step of each inner parameter towards the foot of its point on its arc's cubic."""
+    u, d = 1 - t, np.diff(c, axis=1)[:, :, None]
+    slope = 3 * ((u * u)[..., None] * d[:, 0] + (2 * u * t)[..., None] * d[:, 1] + (t * t)[..., None] * d[:, 2])
+    size = (slope**2).sum(2)
+    off = ((_on(c, t) - p) * slope).sum(2)
     t = np.clip(t - np.divide(off, size, out=np.zeros_like(off), where=size > 1e-12), 0, 1)
-    t[0], t[-1] = 0, 1
+    t[:, 0], t[:, -1] = 0, 1
     return t
 
 
-def _fitted_arc(p: np.ndarray, first: np.ndarray, last: np.ndarray, tol: float) -> list[np.ndarray]:
-    """Cubics for an open arc: one, or split at its farthest point as often as needed. A stack instead of recursion."""
-    todo, done = [(p, first, last, 0)], []
-    while todo:
-        p, first, last, depth = todo.pop()
-        n = len(p)
-        if n == 2 or np.hypot(*(p[-1] - p[0])) < 1e-9:
-            done.append(p[0] + np.outer([0, 1 / 3, 2 / 3, 1], p[-1] - p[0]))
-            continue
-        s = np.concatenate([[0], np.cumsum(np.hypot(*np.diff(p, axis=0).T))])
-        t = s / s[-1] if s[-1] >= 1e-12 else np.linspace(0, 1, n)
-        t = _nearer(p, _handles(p, t, first, last), t)
-        c = _handles(p, t, first, last)
-        far = np.hypot(*(_weights(t) @ c - p).T)
-        k = int(far.argmax())
-        if far[k] <= tol or depth >= FIT_DEPTH or n <= 4 or k in (0, n - 1):
-            done.append(c)
-            continue
-        middle = _unit(p[k + 1] - p[k - 1], first)
-        todo += [(p[k:], middle, last, depth + 1), (p[: k + 1], first, middle, depth + 1)]
-    return done
+#: Points of arcs that are fitted at once.
+ARC_POINTS = 1 << 16
 
 
-def _fitted(flat: np.ndarray, tol: float, corner: float) -> list[np.ndarray]:
-    """Cubics (four points each) around a ring: arcs between corners, or between even splits where it has none."""
-    p = np.asarray(flat, float).reshape(-1, 2)
-    n = len(p)
-    if n < 4:
-        return []
-    back, on = p - np.roll(p, 1, 0), np.roll(p, -1, 0) - p
-    sizes = np.hypot(*back.T), np.hypot(*on.T)
-    ok = (sizes[0] > 1e-9) & (sizes[1] > 1e-9)
-    cos = np.divide((back * on).sum(1), sizes[0] * sizes[1], out=np.ones(n), where=ok)
-    cuts = np.flatnonzero(np.arccos(np.clip(cos, -1, 1)) > corner).tolist()
-    smooth = not cuts
-    if smooth:
-        radius = max(float(sizes[1].sum()) / (2 * np.pi), 1.0)
-        k = int(np.clip(np.ceil(2 * np.pi / max((16384 * max(tol, 1e-3) / radius) ** 0.25, 1e-3)), 4, 32))
-        cuts = sorted({i * n // k for i in range(k)})
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], cuts[0] + n]):
-        arc = p[np.arange(a, b + 1) % n]
-        ends = [_unit(p[(i + 1) % n] - p[(i - 1) % n]) for i in (a, b)] if smooth else [_unit(arc[1] - arc[0]), _unit(arc[-1] - arc[-2])]
-        out += _fitted_arc(arc, *ends, tol)
-    for one, two in zip(out, [*out[1:], out[0]]):  # exact ends, whatever the rounding
-        one[3] = two[0]
+def _fitted_arcs(p: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each arc of p (arcs, points, 2) its cubic, the farthest of its points and how far that lies off."""
+    s = np.cumsum(np.hypot(*np.moveaxis(np.diff(p, axis=1), 2, 0)), 1)
+    s = np.concatenate([np.zeros((len(p), 1)), s], 1)
+    t = np.where(s[:, -1:] >= 1e-12, s / np.maximum(s[:, -1:], 1e-12), np.linspace(0, 1, p.shape[1]))
+    t = _nearer(p, _handles(p, t, first, last), t)
+    c = _handles(p, t, first, last)
+    far = np.hypot(*np.moveaxis(_on(c, t) - p, 2, 0))
+    k = far.argmax(1)
+    return c, k, np.take_along_axis(far, k[:, None], 1)[:, 0]
+
+
+def _even_cuts(steps: np.ndarray, tol: float) -> list[int]:
+    """Where a ring without corners is split, by its circumference."""
+    n, radius = len(steps), max(float(steps.sum()) / (2 * np.pi), 1.0)
+    k = int(np.clip(np.ceil(2 * np.pi / max((16384 * max(tol, 1e-3) / radius) ** 0.25, 1e-3)), 4, 32))
+    return sorted({i * n // k for i in range(k)})
+
+
+def _fitted_rings(rings: list[np.ndarray], tol: float, corner: float) -> list[np.ndarray]:
+    """Cubics (k, 4, 2) around each ring: arcs between corners, or between even splits where it has none; none around fewer than four points.
+
+    All arcs of one number of points are fitted at once, whichever ring they are of; those that are split go into the next round.
+    """
+    shapes = [np.asarray(r, float).reshape(-1, 2) for r in rings]
+    whole = [i for i, r in enumerate(shapes) if len(r) >= 4]
+    if not whole:
+        return [np.zeros((0, 4, 2)) for _ in rings]
+    p, n = np.concatenate([shapes[i] for i in whole]), np.array([len(shapes[i]) for i in whole])
+    base = np.cumsum(n) - n
+    at = lambda ring, i: base[ring] + i % n[ring]
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(p)) - base[of]
+    on = p[at(of, place + 1)] - p
+    back = on[at(of, place - 1)]
+    steps = np.hypot(*on.T)
+    before = steps[at(of, place - 1)]
+    cos = np.divide((back * on).sum(1), before * steps, out=np.ones(len(p)), where=(before > 1e-9) & (steps > 1e-9))
+    turns = np.arccos(np.clip(cos, -1, 1)) > corner
+    smooth = ~np.logical_or.reduceat(turns, base)
+    for r in np.flatnonzero(smooth):
+        turns[base[r] + np.array(_even_cuts(steps[base[r] : base[r] + n[r]], tol))] = True
+    ring, a = of[turns], place[turns]
+    begins = np.flatnonzero(np.diff(ring, prepend=-1))
+    b = np.append(a[1:], 0)
+    b[np.append(begins[1:], len(ring)) - 1] = a[begins] + n
+    tangent = lambda i, lo, hi: _unit(p[at(ring, i + np.where(smooth[ring], 1, hi))] - p[at(ring, i + np.where(smooth[ring], -1, lo))])
+    first, last, depth = tangent(a, 0, 1), tangent(b, -1, 0), 0
+    done = []
+    while len(ring):
+        points, start, chord = b - a + 1, p[at(ring, a)], p[at(ring, b)] - p[at(ring, a)]
+        line = (points == 2) | (np.hypot(*chord.T) < 1e-9)
+        done.append((ring[line], a[line], start[line, None] + np.array([0, 1 / 3, 2 / 3, 1])[:, None] * chord[line, None]))
+        todo, split = np.flatnonzero(~line), []
+        todo = todo[np.argsort(points[todo], kind="stable")]
+        for same in np.split(todo, np.flatnonzero(np.diff(points[todo])) + 1):
+            m = int(points[same[0]]) if len(same) else 1
+            for some in np.array_split(same, max(-(-len(same) * m // ARC_POINTS), 1)):
+                if not len(some):
+                    continue
+                c, k, far = _fitted_arcs(p[at(ring[some, None], a[some, None] + np.arange(m))], first[some], last[some])
+                fits = (far <= tol) | (depth >= FIT_DEPTH) | (m <= 4) | (k == 0) | (k == m - 1)
+                done.append((ring[some[fits]], a[some[fits]], c[fits]))
+                split.append((some[~fits], k[~fits]))
+        some, k = (np.concatenate(x) for x in zip(*split)) if split else (todo[:0], todo[:0])
+        ring, a, cut, b, first, last, depth = ring[some], a[some], a[some] + k, b[some], first[some], last[some], depth + 1
+        middle = _unit(p[at(ring, cut + 1)] - p[at(ring, cut - 1)], first)
+        ring, a, b, first, last = (np.concatenate(x) for x in ((ring, ring), (a, cut), (cut, b), (first, middle), (middle, last)))
+    ring, a, c = (np.concatenate(x) for x in zip(*done))
+    order = np.lexsort((a, ring))
+    ring, c = ring[order], c[order]
+    begins = np.flatnonzero(np.diff(ring, prepend=-1))
+    after = np.arange(1, len(ring) + 1)
+    after[np.append(begins[1:], len(ring)) - 1] = begins
+    c[:, 3] = c[after, 0]  # exact ends, whatever the rounding
+    out = [c[:0]] * len(rings)
+    for i, cubics in zip(whole, np.split(c, begins[1:])):
+        out[i] = cubics
     return out
 
 
+def _fitted(flat: np.ndarray, tol: float, corner: float) -> list[np.ndarray]:
+    """Cubics (four points each) around one ring."""
+    return list(_fitted_rings([flat], tol, corner)[0])
+
+
 def fitted(p: Column, tol: float = 1.0, corner: float = np.pi / 4) -> Column:
     """array<array<struct<x, y>>>: cubics of four points around a ring, each beginning where the one before ends, the last at the start.
 
@@ -359,6 +474,46 @@ def fitted(p: Column, tol: float = 1.0, corner: float = np.pi / 4) -> Column:
     return _kernel(lambda f: _fitted(f, tol, corner), lines=True)(_flat(p, "x", "y"))
 
 
+def _outlined(values: np.ndarray, level: float, least_area: float, least_perimeter: float, tol: float, corner: float) -> list[list[np.ndarray]]:
+    """For each raster of values (rasters, h, w) its rings in order, each as cubics (k, 4, 2)."""
+    rings = [_nested(_chained(s), least_area, least_perimeter) for s in _segments(values, level)]
+    fits = iter(_fitted_rings([r for some in rings for r in some], tol, corner))
+    return [[next(fits) for _ in some] for some in rings]
+
+
+def _tried(rows: pa.Array, w: int, h: int, work) -> pa.Array:
+    """struct<contours, failed> of rasters: work(values) of all at once, or of each by itself where that raises."""
+    values = rows.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, h, w)
+    try:
+        found = [(glyph, None) for glyph in work(values)]
+    except Exception:  # noqa: BLE001 - a row that raises is that row's result
+        found = []
+        for i in range(len(values)):
+            try:
+                found.append((work(values[i : i + 1])[0], None))
+            except Exception as e:  # noqa: BLE001
+                found.append((None, type(e).__name__))
+    left = iter(found)
+    glyphs, failed = zip(*[next(left) if ok else (None, None) for ok in rows.is_valid().to_pylist()]) if len(rows) else ((), ())
+    rings = [r for g in glyphs for r in g or ()]
+    cubics = np.concatenate([np.zeros((0, 4, 2)), *rings])
+    lists = lambda sizes, of, mask=None: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), of, mask=mask)
+    of = lists(map(len, rings), lists([4] * len(cubics), _points([cubics]).flatten()))
+    contours = lists([len(g or ()) for g in glyphs], of, pa.array([g is None for g in glyphs], pa.bool_()))
+    return pa.StructArray.from_arrays([contours, pa.array(failed, pa.string())], names=["contours", "failed"])
+
+
+def outlined(alpha: Column, w: int, h: int, level: float, least_area: float, least_perimeter: float, tol: float = 1.0, corner: float = np.pi / 4) -> Column:
+    """struct<contours, failed>: from a raster of w x h to its rings as cubics: contour_segments, chained, nested and fitted within the row, by one kernel.
+
+    Rows are worked on ROWS at a time. Where that raises, each of them is tried by itself: only for a row that raises is
+    contours null and failed the type of the exception. A null raster has neither.
+    """
+    work = lambda values: _outlined(values, level, least_area, least_perimeter, tol, corner)
+    kind = T.StructType([T.StructField("contours", T.ArrayType(T.ArrayType(POINTS))), T.StructField("failed", T.StringType())])
+    return F.arrow_udf(_by_rows(lambda rows: _tried(rows, w, h, work)), kind)(alpha)
+
+
 def four(flat: Column) -> Column:
     """Cubics from numbers, eight each."""
     at = lambda i, j: F.struct(F.get(flat, 8 * i + 2 * j).alias("x"), F.get(flat, 8 * i + 2 * j + 1).alias("y"))

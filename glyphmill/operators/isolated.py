@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.operators import contours, rasters
-from glyphmill.operators.curves import contour_segments
+from glyphmill.operators import contours
 
 #: Classes of failures, in the order in which they are looked for.
 CLASSES = ("NO_OBSERVATIONS", "BAD_SHAPE", "NOT_FINITE", "EMPTY", "NO_CONTOURS", "FIT_FAILED")
@@ -50,27 +49,17 @@ def judged(alpha: Column, w: Column, h: Column) -> Column:
     return F.when(alpha.isNull(), "NO_OBSERVATIONS").when((F.size(alpha) != w * h) | (w < 2) | (h < 2), "BAD_SHAPE").when(~finite, "NOT_FINITE").when(~F.exists(alpha, lambda v: v > 0.5), "EMPTY")
 
 
-_POINTS = T.ArrayType(contours.POINTS)
-
-
-def _fit(flat: list[float]) -> list[list[dict]]:
-    return [[{"x": float(x), "y": float(y)} for x, y in c] for c in contours._fitted(flat, 1.0, 0.7853981633974483)]
-
-
 def outlines(glyphs: DataFrame, key: str, least_area: float = contours.LEAST_AREA, least_perimeter: float = contours.LEAST_PERIMETER) -> DataFrame:
     """glyphs (key, alpha, w, h) -> key, error, contours: the fast pass from raster to cubics, one row for every glyph.
 
     contours is an array of rings, each an array of cubics; null where error is set, a class of CLASSES. A glyph fails whole:
     rings that could be fitted don't count if another could not. All glyphs of one call have rasters of equal size. Rings below
-    least_area or least_perimeter are noise: a glyph that has no others is NO_CONTOURS.
+    least_area or least_perimeter are noise: a glyph that has no others is NO_CONTOURS. All work on a glyph is done within its
+    row, so nothing is shuffled.
     """
     w, h = (glyphs.agg(F.max("w"), F.max("h")).first() or (0, 0))
     seen = glyphs.select(key, judged(F.col("alpha"), F.lit(w), F.lit(h)).alias("error"), "alpha")
-    good = seen.filter("error is null").select(key, contour_segments(F.col("alpha"), w or 2, h or 2, 0.5).alias("s"))
-    rings = contours.nested(contours.chained(good, key, "s"), key, least_area, least_perimeter)
-    flat = F.flatten(F.transform("points", lambda p: F.array(p["x"], p["y"])))
-    tried = rings.select(key, "ring", attempt(_fit, _POINTS)(flat).alias("t"))
-    fits = tried.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ring", F.col("t.value").alias("cubics")))).alias("all"), F.max("t.error").alias("failed"))
-    out = seen.select(key, "error").join(fits, key, "left")
-    error = F.coalesce("error", F.when(F.col("all").isNull(), "NO_CONTOURS").when(F.col("failed").isNotNull(), "FIT_FAILED"))
-    return out.select(key, error.alias("error"), F.when(error.isNull(), F.transform("all", lambda r: r["cubics"])).alias("contours"))
+    whole = F.when(F.col("error").isNull(), F.col("alpha").cast("array<double>"))
+    out = seen.select(key, "error", contours.outlined(whole, w or 2, h or 2, 0.5, least_area, least_perimeter).alias("t"))
+    error = F.coalesce("error", F.when(F.col("t.failed").isNotNull(), "FIT_FAILED").when(F.size("t.contours") == 0, "NO_CONTOURS"))
+    return out.select(key, error.alias("error"), F.when(error.isNull(), F.col("t.contours")).alias("contours"))

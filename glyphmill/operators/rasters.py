@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 def rescaled(values: Column, width: str = "double") -> Column:
     """Values mapped to [0, 1] by their least and greatest; a flat raster is 0. width: the type in which the range is taken, and to which it is rounded."""
     lo, hi = F.array_min(values), F.array_max(values)
-    return F.transform(values, lambda v: F.when(hi > lo, (v - lo) / (hi.cast(width) - lo.cast(width))).otherwise(0.0))
+    # Beside each value, so that the range is taken once; a lambda that holds another one's variable can't be an argument of a kernel.
+    ends = F.array_repeat(F.struct(lo.alias("lo"), hi.alias("hi"), (hi.cast(width) - lo.cast(width)).alias("range")), F.size(values))
+    return F.zip_with(values, ends, lambda v, r: F.when(r["hi"] > r["lo"], (v - r["lo"]) / r["range"]).otherwise(0.0))
 
 
 def mask(values: Column, level: float = 0.5) -> Column:
