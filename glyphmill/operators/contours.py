@@ -30,13 +30,27 @@ def _flat(segments: Column, *fields: str) -> Column:
     return F.flatten(F.transform(segments, lambda s: F.array(*[s[f] for f in fields])))
 
 
+def _nodes(ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """A number for each end, the same for those of one row that agree to three decimals."""
+    x, y = np.round(ends, 3).T
+    order = np.lexsort((y, x, row))
+    new = np.any([np.diff(c[order], prepend=c[order[:1]]) != 0 for c in (x, y, row)], 0)
+    out = np.empty(len(ends), int)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def _chained(flat: np.ndarray) -> list[np.ndarray]:
     """Rings of segments (x, y, u, v, x, ...): ends meet if they agree to three decimals; the first unused segment leads on.
 
     A segment that begins where the walk stands goes before one that ends there, so segments with a direction keep it.
     """
     ends = np.asarray(flat, float).reshape(-1, 2)
-    node = np.unique(np.round(ends, 3), axis=0, return_inverse=True)[1].ravel().tolist()
+    return _walked(ends, _nodes(ends, np.zeros(len(ends), int)).tolist())
+
+
+def _walked(ends: np.ndarray, node: list[int]) -> list[np.ndarray]:
+    """_chained from the ends of segments and the numbers of the nodes that they lie in."""
     waiting = [defaultdict(list), defaultdict(list)]
     for half in range(len(node) - 1, -1, -1):
         waiting[half & 1][node[half]].append(half)
@@ -118,8 +132,11 @@ def _pairs() -> np.ndarray:
 _PAIRS = _pairs()
 
 
-def _segments(values: np.ndarray, level: float) -> list[np.ndarray]:
-    """curves.contour_segments of rasters (rasters, h, w), flat: the same segments in the same order. Only cells on a contour are looked at by numbers."""
+def _segments(values: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """curves.contour_segments of rasters (rasters, h, w): the same segments (x, y, u, v) in the same order, and where those of each raster begin.
+
+    Only cells on a contour are looked at by numbers.
+    """
     over = (values > level).astype(np.uint8)
     kind = over[:, :-1, :-1] + 2 * over[:, :-1, 1:] + 4 * over[:, 1:, 1:] + 8 * over[:, 1:, :-1]
     row, y, x = np.nonzero((kind > 0) & (kind < 15))
@@ -132,43 +149,63 @@ def _segments(values: np.ndarray, level: float) -> list[np.ndarray]:
     found = np.concatenate([sides[leave, :, cell], sides[enter, :, cell]], 1)
     long = np.hypot(found[:, 2] - found[:, 0], found[:, 3] - found[:, 1]) > 1e-9
     row, found = row[cell][long], found[long]
-    return [f.ravel() for f in np.split(found, np.searchsorted(row, np.arange(1, len(values))))]
-
-
-#: Edges times probes that are looked at at once.
-PROBES = 1 << 20
-
-
-def _nested(rings: list[np.ndarray], least_area: float, least_perimeter: float) -> list[np.ndarray]:
-    """nested() of the rings of one key, flat: those that aren't noise, in the direction that their depth asks for."""
-    kept, areas = [], []
-    for ring in rings:
-        a = ring.reshape(-1, 2)
-        b = np.concatenate([a[1:], a[:1]])
-        area = np.cumsum(a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1])[-1] / 2
-        if abs(area) >= least_area and np.cumsum(np.sqrt(((b - a) ** 2).sum(1)))[-1] >= least_perimeter:
-            kept.append(a)
-            areas.append(area)
-    if not kept:
-        return []
-    depth = np.zeros(len(kept), int)
-    if len(kept) > 1:
-        first = np.array([min(map(tuple, r.tolist())) for r in kept])
-        lo, hi = np.array([r.min(0) for r in kept]), np.array([r.max(0) for r in kept])
-        starts = np.cumsum([0, *map(len, kept[:-1])])
-        a = np.concatenate(kept)
-        b = np.concatenate([np.concatenate([r[1:], r[:1]]) for r in kept])
-        (ax, ay), (bx, by) = a.T, b.T
-        step = max(PROBES // len(a), 1)
-        for i in range(0, len(kept), step):
-            x, y = first[i : i + step].T[:, :, None]
-            across = (ay > y) != (by > y)
-            cuts = np.divide((bx - ax) * (y - ay), by - ay, out=np.zeros(across.shape), where=across) + ax
-            odd = np.add.reduceat((across & (x < cuts)).astype(int), starts, 1) % 2 == 1
-            odd &= (x >= lo[:, 0]) & (x <= hi[:, 0]) & (y >= lo[:, 1]) & (y <= hi[:, 1])
-            odd[np.arange(len(odd)), np.arange(i, i + len(odd))] = False
-            depth[i : i + step] = odd.sum(1)
-    return [(r[::-1] if (d % 2 == 0) != (area > 0) else r).ravel() for r, d, area in zip(kept, depth, areas)]
+    return found, np.searchsorted(row, np.arange(len(values) + 1))
+
+
+#: Pairs of rings, and of points and edges, that are looked at at once.
+AT_ONCE = 1 << 20
+
+
+def _some(sizes: np.ndarray) -> list[np.ndarray]:
+    """Places of sizes in order, in parts of which each has AT_ONCE or little more, unless one alone has."""
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // AT_ONCE)) + 1)
+
+
+def _spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i in turn count[i] numbers from begin[i] on, beside i."""
+    i = np.repeat(np.arange(len(count)), count)
+    return i, begin[i] + np.arange(len(i)) - (np.cumsum(count) - count)[i]
+
+
+def _nested(rows: list[list[np.ndarray]], least_area: float, least_perimeter: float) -> list[list[np.ndarray]]:
+    """nested() of the rings of each row, flat: those that aren't noise, in the direction that their depth asks for."""
+    rings = [r.reshape(-1, 2) for some in rows for r in some]
+    if not rings:
+        return [[] for _ in rows]
+    row, size = np.repeat(np.arange(len(rows)), list(map(len, rows))), np.array(list(map(len, rings)))
+    start, a = np.cumsum(size) - size, np.concatenate(rings)
+    of = np.repeat(np.arange(len(rings)), size)
+    b = a[start[of] + (np.arange(len(a)) - start[of] + 1) % size[of]]
+    (ax, ay), (bx, by) = a.T, b.T
+    terms = np.stack([ax * by - bx * ay, np.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))])
+    sums = np.zeros((2, len(rings)))
+    for m in np.unique(size):  # in the order of the points, as an expression adds them
+        sums[:, size == m] = np.cumsum(terms[:, start[size == m, None] + np.arange(m)], 2)[:, :, -1]
+    area = sums[0] / 2
+    kept = np.flatnonzero((np.abs(area) >= least_area) & (sums[1] >= least_perimeter))
+    first = a[np.lexsort((ay, ax, of))[start]]
+    lo, hi = np.minimum.reduceat(a, start), np.maximum.reduceat(a, start)
+    begin, end = (np.searchsorted(row[kept], row[kept], side) for side in ("left", "right"))
+    depth = np.zeros(len(rings), int)
+    for some in _some(end - begin):
+        probe, other = _spread(begin[some], (end - begin)[some])
+        probe, other = kept[some[probe]], kept[other]
+        p = first[probe]
+        near = (probe != other) & (p >= lo[other]).all(1) & (p <= hi[other]).all(1)
+        probe, other = probe[near], other[near]
+        for part in _some(size[other]):
+            pair, edge = _spread(start[other[part]], size[other[part]])
+            x, y = first[probe[part]][pair].T
+            across = (ay[edge] > y) != (by[edge] > y)
+            pair, edge, x, y = pair[across], edge[across], x[across], y[across]
+            cuts = x < (bx[edge] - ax[edge]) * (y - ay[edge]) / (by[edge] - ay[edge]) + ax[edge]
+            odd = np.bincount(pair[cuts], minlength=len(part)) % 2 == 1
+            depth += np.bincount(probe[part][odd], minlength=len(rings))
+    turned = (depth % 2 == 0) != (area > 0)
+    out = [[] for _ in rows]
+    for i in kept.tolist():
+        out[row[i]].append((rings[i][::-1] if turned[i] else rings[i]).ravel())
+    return out
 
 
 POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
@@ -476,7 +513,10 @@ def fitted(p: Column, tol: float = 1.0, corner: float = np.pi / 4) -> Column:
 
 def _outlined(values: np.ndarray, level: float, least_area: float, least_perimeter: float, tol: float, corner: float) -> list[list[np.ndarray]]:
     """For each raster of values (rasters, h, w) its rings in order, each as cubics (k, 4, 2)."""
-    rings = [_nested(_chained(s), least_area, least_perimeter) for s in _segments(values, level)]
+    segments, ends = _segments(values, level)
+    node = _nodes(segments.reshape(-1, 2), np.repeat(np.arange(len(values)), 2 * np.diff(ends))).tolist()
+    chains = [_walked(segments[i:j].reshape(-1, 2), node[2 * i : 2 * j]) for i, j in zip(ends, ends[1:])]
+    rings = _nested(chains, least_area, least_perimeter)
     fits = iter(_fitted_rings([r for some in rings for r in some], tol, corner))
     return [[next(fits) for _ in some] for some in rings]
 
